@@ -37,10 +37,19 @@ Decide between genuine_bug (a security problem) and known_change (explained by a
 Answer with one JSON object: decision, confidence (0.0 to 1.0), reasoning, severity (P1, P2 or P3)."""
 
 
-def unprocessed(events: DataFrame, log: DataFrame, key: str = "event_id") -> DataFrame:
-    """Events the decision log does not have yet. An event without an id is never processed already."""
+def unprocessed(events: DataFrame, log: DataFrame, key: str = "event_id", small_batch: int | None = None) -> DataFrame:
+    """Events the decision log does not have yet. An event without an id is never processed already.
+
+    For a micro-batch set `small_batch`: while the batch has at most that many ids they are broadcast to the log, so
+    a log of any size is only scanned for its key and not shuffled.
+    """
     keyed = events.withColumn("_k", non_empty(key))
-    return anti_join(keyed, log.select(F.col(key).alias("_k")), "_k").drop("_k")
+    known = log.select(F.col(key).alias("_k"))
+    if small_batch is not None:
+        ids = keyed.select("_k").filter("_k is not null").distinct()
+        if ids.limit(small_batch + 1).count() <= small_batch:
+            known = known.join(F.broadcast(ids), "_k", "left_semi")
+    return anti_join(keyed, known, "_k").drop("_k")
 
 
 # Context -------------------------------------------------------------------------------------------------------
