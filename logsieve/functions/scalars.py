@@ -54,21 +54,29 @@ def compact_json(c: Column | str) -> Column:
     return F.coalesce(F.to_json(F.try_parse_json(col(c))), col(c))
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def json_len(c: Column | str, compact: bool = False, ascii_escapes: bool = True) -> Column:
     """Length of a JSON document printed with `", "` and `": "` separators.
 
     With `ascii_escapes` every character beyond ASCII counts as its `\\uXXXX` escape, and a character beyond
     the basic plane as two of them. Set `compact` when the text has no blanks between tokens already.
     """
-    j = col(c) if compact else compact_json(c)
-    skeleton = F.regexp_replace(j, r'"(\\.|[^"\\])*"', "S")
-    separators = F.length(skeleton) - F.length(F.regexp_replace(skeleton, "[,:]", ""))
-    n = F.length(j) + separators
-    if ascii_escapes:
+    def escapes(j: Column) -> Column:
         beyond_ascii = F.length(F.regexp_replace(j, r"[\x00-\x7F]", ""))
         beyond_plane = F.length(F.regexp_replace(j, r"[\x{0}-\x{FFFF}]", ""))
-        n = n + 5 * beyond_ascii + 6 * beyond_plane
-    return n
+        return F.when(F.octet_length(j) == F.length(j), 0).otherwise(5 * beyond_ascii + 6 * beyond_plane)
+
+    def printed(j: Column) -> Column:
+        skeleton = F.regexp_replace(j, r'"(\\.|[^"\\])*"', "S")
+        separators = let(skeleton, lambda s: F.length(s) - F.length(F.translate(s, ",:", "")))
+        n = F.length(j) + separators
+        return n + escapes(j) if ascii_escapes else n
+
+    return printed(col(c)) if compact else let(compact_json(c), printed)
 
 
 def _escape(char: Column) -> Column:
@@ -90,11 +98,11 @@ def printed_json(c: Column | str, compact: bool = False) -> Column:
 
 
 def md5_mod(c: Column | str, n: int = 1000) -> Column:
-    """The 128-bit MD5 of a text as an integer, modulo n, folded 32 bits at a time."""
+    """The 128-bit MD5 of a text as an integer, modulo n, folded from pieces that fit a long."""
     digest = F.md5(col(c))
-    step = pow(2, 32, n)
-    words = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(4)]
-    return reduce(lambda acc, w: (acc * step + w) % n, words[1:], words[0] % n).cast("int")
+    pieces = [(1, 15), (16, 15), (31, 2)]
+    values = [(F.conv(F.substring(digest, at, size), 16, 10).cast("bigint"), pow(16, size, n)) for at, size in pieces]
+    return reduce(lambda acc, v: (acc * v[1] + v[0]) % n, values, F.lit(0).cast("bigint")).cast("int")
 
 
 def unit_hash(*parts: Column | str) -> Column:
@@ -102,18 +110,22 @@ def unit_hash(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[col(p) for p in parts])), 1, 13), 16, 10).cast("double")
 
 
-def _v4_number(address: str) -> int:
-    return reduce(lambda acc, octet: acc * 256 + int(octet), address.split("."), 0)
+def _block_prefix(address: str, bits: int) -> str:
+    """The pattern that the dotted text of every address of a block starts with."""
+    octets = [int(o) for o in address.split(".")]
+    whole, rest = divmod(bits, 8)
+    parts = [str(o) for o in octets[:whole]]
+    if rest:
+        low = octets[whole]
+        parts.append("(?:" + "|".join(str(o) for o in range(low, low + 2 ** (8 - rest))) + ")")
+    return r"\.".join(parts) + r"\."
+
+
+_PRIVATE_PREFIX = "^(?:" + "|".join(_block_prefix(a, bits) for a, bits in PRIVATE_V4) + ")"
 
 
 def _v4_private(ip: Column) -> Column:
-    octets = F.split(ip, r"\.")
-    number = reduce(lambda acc, i: acc * 256 + F.get(octets, F.lit(i)).try_cast("bigint"), range(4), F.lit(0))
-    ranges = reduce(
-        lambda a, b: a | b,
-        [number.between(_v4_number(a), _v4_number(a) + 2 ** (32 - bits) - 1) for a, bits in PRIVATE_V4],
-    )
-    return ip.rlike(_V4) & ranges & ~number.isin([_v4_number(a) for a in PUBLIC_V4])
+    return ip.rlike(_PRIVATE_PREFIX) & ip.rlike(_V4) & ~ip.isin(PUBLIC_V4)
 
 
 def _v6_private(ip: Column) -> Column:
@@ -134,8 +146,9 @@ def _v6_private(ip: Column) -> Column:
 
 def is_private_ip(c: Column | str) -> Column:
     """1 for an address that is not globally reachable, 0 for any other address and for a host name."""
-    ip = F.lower(text(c))
-    return F.coalesce((_v4_private(ip) | _v6_private(ip)).cast("int"), F.lit(0))
+    ip = text(c)
+    private = F.when(ip.contains(":"), _v6_private(F.lower(ip))).otherwise(_v4_private(ip))
+    return F.coalesce(private.cast("int"), F.lit(0))
 
 
 def has_private_prefix(c: Column | str) -> Column:

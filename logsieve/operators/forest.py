@@ -303,40 +303,41 @@ def fit_forest(df: DataFrame, key: str, n_estimators: int = 100, max_samples: st
 
 @dataclass
 class PackedModel:
-    """The trees of one model in flat arrays; a leaf points to itself."""
+    """The trees of one model in flat arrays. The right child follows the left one; a leaf points to itself."""
 
     roots: np.ndarray
     feature: np.ndarray
     threshold: np.ndarray
     left: np.ndarray
-    right: np.ndarray
     path: np.ndarray
     depth: int
     scale: float
 
     def paths(self, x: np.ndarray) -> np.ndarray:
         """Path length of every row in every tree."""
-        at = np.broadcast_to(self.roots, (len(x), len(self.roots)))
+        values = np.ascontiguousarray(x, dtype=float).ravel()
+        start = (np.arange(len(x)) * x.shape[1])[:, None]
+        at = np.tile(self.roots, (len(x), 1))
         for _ in range(self.depth):
-            value = np.take_along_axis(x, self.feature[at], axis=1)
-            at = np.where(value <= self.threshold[at], self.left[at], self.right[at])
-        return self.path[at]
+            goes_right = values.take(self.feature.take(at) + start) > self.threshold.take(at)
+            at = self.left.take(at)
+            at += goes_right
+        return self.path.take(at)
 
 
 def pack(nodes: pd.DataFrame, samples: int) -> PackedModel:
+    # Level order within a tree puts the two children of a node next to each other.
     nodes = nodes.sort_values(["tree_id", "node_id"], ignore_index=True)
-    position = {(t, n): i for i, (t, n) in enumerate(zip(nodes["tree_id"], nodes["node_id"]))}
-    own = np.arange(len(nodes))
     leaf = nodes["is_leaf"].to_numpy(dtype=bool)
-    left, right = own.copy(), own.copy()
-    for i in np.flatnonzero(~leaf):
-        tree, node = nodes.at[i, "tree_id"], nodes.at[i, "node_id"]
-        left[i], right[i] = position[(tree, 2 * node)], position[(tree, 2 * node + 1)]
+    child = nodes.loc[~leaf, ["tree_id"]].assign(node_id=2 * nodes.loc[~leaf, "node_id"])
+    places = pd.MultiIndex.from_frame(nodes[["tree_id", "node_id"]])
+    left = np.arange(len(nodes))
+    left[~leaf] = places.get_indexer(pd.MultiIndex.from_frame(child))
     return PackedModel(
         roots=np.flatnonzero(nodes["node_id"].to_numpy() == 1),
         feature=np.where(leaf, 0, nodes["feature"].fillna(0).to_numpy(dtype=np.int64)),
         threshold=np.where(leaf, np.inf, nodes["threshold"].fillna(0).to_numpy(dtype=float)),
-        left=left, right=right,
+        left=left,
         path=nodes["depth"].to_numpy(dtype=float) + np.where(leaf, average_path(nodes["n_samples"]), 0.0),
         depth=int(nodes["depth"].max()),
         scale=float(average_path(samples)),

@@ -35,8 +35,8 @@ from logsieve.plans.changes import lookup_changes
 from logsieve.plans.federated import federated_rounds
 from logsieve.plans.training import SearchSpace, current_stages, draw_trials, search_trials, serving_version
 from logsieve.schema import INDEXED_CHANGE_NAMES, LABEL, LOOKUP_CHANGE_NAMES
-from logsieve.session import shared_dir
-from logsieve.sources.tables import read_runs, retained
+from logsieve.session import materialise, shared_dir
+from logsieve.sources.tables import read_runs, retained, spread
 from logsieve.streaming.batches import read_batches, start, write_batch
 from logsieve.streaming.scoring import attempt_status
 
@@ -53,16 +53,18 @@ def query(sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf: str, name: str, heavy: bool = False) -> DataFrame:
+    """A given table; `heavy` spreads a scan of few files before work that is bound by the CPU."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(scan) if heavy else scan
 
 
 # The audit log -------------------------------------------------------------------------------------------------
 
 
-def trail(spark: SparkSession, sf: str) -> DataFrame:
-    return trail_of(table(spark, sf, "events"))
+def trail(spark: SparkSession, sf: str, heavy: bool = False) -> DataFrame:
+    return trail_of(table(spark, sf, "events", heavy))
 
 
 def trail_of(events: DataFrame) -> DataFrame:
@@ -143,13 +145,13 @@ def _json_len_sql(j: str, escapes: bool = True) -> str:
     return out + ")"
 
 
-def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    t = trail(spark, sf)
+def labelled(spark: SparkSession, sf: str, heavy: bool = False) -> DataFrame:
+    t = trail(spark, sf, heavy)
     return t.withColumn(LABEL, rule_label(t["error_code"], t["event_name"], t["identity_type"]))
 
 
 def labelled_features(spark: SparkSession, sf: str) -> DataFrame:
-    return features(labelled(spark, sf), CANONICAL, FLAT, keep=("event_id", "event_source", LABEL))
+    return features(labelled(spark, sf, heavy=True), CANONICAL, FLAT, keep=("event_id", "event_source", LABEL))
 
 
 # Labels and rates ----------------------------------------------------------------------------------------------
@@ -233,12 +235,12 @@ _PREFIX_IP = "CASE WHEN source_ip IN ('10.0.0.7', '192.168.1.9', '172.32.0.1') T
 
 @query(f"WITH {TRAIL} {_features_sql(_RANGE_IP, '(isodow(event_time) - 1)', 0, _HASHED)}")
 def feature_table(spark, sf):
-    return features(trail(spark, sf), CANONICAL, FLAT, keep=("event_id",))
+    return features(trail(spark, sf, heavy=True), CANONICAL, FLAT, keep=("event_id",))
 
 
 @query(f"WITH {TRAIL} {_features_sql(_PREFIX_IP, '0', 2, _HASHED)}")
 def feature_table_serving(spark, sf):
-    return features(trail(spark, sf), SERVE, FLAT, keep=("event_id",))
+    return features(trail(spark, sf, heavy=True), SERVE, FLAT, keep=("event_id",))
 
 
 _RANKED = ", ".join(f"(DENSE_RANK() OVER (ORDER BY {c}) - 1)::BIGINT AS {c}_enc" for c in CATEGORICAL)
@@ -248,7 +250,7 @@ _RANKED = ", ".join(f"(DENSE_RANK() OVER (ORDER BY {c}) - 1)::BIGINT AS {c}_enc"
 SELECT event_id, length(user_agent) AS user_agent_len,
   {_json_len_sql('json(request_parameters)::VARCHAR', False)} AS req_params_len, 0 AS is_console, {_RANKED} FROM trail""")
 def feature_table_offline(spark, sf):
-    flat = flatten_events(trail(spark, sf), OFFLINE, FLAT, keep=("event_id",))
+    flat = flatten_events(trail(spark, sf, heavy=True), OFFLINE, FLAT, keep=("event_id",))
     coded = encode(flat, {f"{c}_raw": f"{c}_enc" for c in CATEGORICAL})
     counts = [F.col(c).cast("bigint").alias(c) for c in ("user_agent_len", "req_params_len")]
     return coded.select("event_id", *counts, "is_console", *[f"{c}_enc" for c in CATEGORICAL])
@@ -565,7 +567,7 @@ def vector_dimension_check(spark, sf):
 
 @query(r"""SELECT doc_id, 1024 AS dim, 1.0::DOUBLE AS norm FROM documents WHERE regexp_matches(text, '[\p{L}\p{N}]')""")
 def text_vectors(spark, sf):
-    documents = table(spark, sf, "documents").select("doc_id", "text")
+    documents = table(spark, sf, "documents", heavy=True).select("doc_id", "text")
     vectors = TextVectoriser(1024).fit(documents, "text").transform(documents, "text")
     v = F.col("embedding")
     return vectors.filter(v.isNotNull()).select("doc_id", F.size(v).alias("dim"), F.round(F.sqrt(dot(v, v)), 3).alias("norm"))
@@ -956,7 +958,7 @@ PRICE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 def _lines(spark, sf):
     key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
                       F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
-    return table(spark, sf, "lineitem").select(key.alias("line"), *PRICE_FEATURES, "l_returnflag", "l_linestatus")
+    return table(spark, sf, "lineitem", heavy=True).select(key.alias("line"), *PRICE_FEATURES, "l_returnflag", "l_linestatus")
 
 
 def _line_forest(spark, sf):
@@ -983,7 +985,7 @@ def forest_flagged(spark, sf):
 @query()
 def forest_on_features(spark, sf):
     """The 18-feature table of the trail: fit, score, name, count by label."""
-    rows = labelled_features(spark, sf)
+    rows = materialise(labelled_features(spark, sf))
     model = iforest.fit_forest(rows, "event_id")
     scored = iforest.score_forest(rows, model).withColumn("outcome", iforest.anomaly_name())
     return scored.groupBy("outcome", LABEL).agg(F.count("*").alias("n"))
@@ -992,7 +994,7 @@ def forest_on_features(spark, sf):
 @query()
 def trial_search(spark, sf):
     """Random search on the feature table; the forests of trials that share their sample size are shared."""
-    rows = labelled_features(spark, sf)
+    rows = materialise(labelled_features(spark, sf))
     space = SearchSpace(6, 0.95, (20, 60), (0.01, 0.15), ["auto", "0.1"])
     return search_trials(rows, "event_id", draw_trials(space))
 
@@ -1000,7 +1002,7 @@ def trial_search(spark, sf):
 @query()
 def federated_training(spark, sf):
     """Two nodes, shared threshold, ten rounds."""
-    nodes = split.node_split(labelled_features(spark, sf), "event_source", "event_id")
+    nodes = split.node_split(materialise(labelled_features(spark, sf)), "event_source", "event_id")
     return federated_rounds(nodes, "event_id", n_estimators=50)[1]
 
 
@@ -1050,7 +1052,7 @@ def stream_flagged_counts(spark, sf):
 def stream_forest_scores(spark, sf):
     """A stream of events scored with a forest that was fitted on the same features in a batch."""
     out = _work(spark)
-    model = iforest.fit_forest(labelled_features(spark, sf), "event_id", n_estimators=25)
+    model = iforest.fit_forest(materialise(labelled_features(spark, sf)), "event_id", n_estimators=25)
     schema = "event_id string, score double, prediction int"
 
     def process(batch, batch_id):

@@ -36,43 +36,54 @@ def read_documents(spark: SparkSession, path, multiline: bool = True, glob: str
     return reader.json(path).withColumn("source_file", F.col("_metadata.file_path"))
 
 
+def _texts(lists: bool) -> Column:
+    """The events of a document that does not fit the schema as a whole, each as its own text.
+
+    One member of a wrong kind makes the reader give up a document; its other events are still good.
+    """
+    wrapped = F.from_json(F.col(CORRUPT), "Records array<string>")["Records"]
+    return F.coalesce(wrapped, F.from_json(F.col(CORRUPT), "array<string>")) if lists else wrapped
+
+
+def _events(bare: bool) -> Column:
+    """All events of a document; with `bare` also a document that is one event, or a list of them."""
+    objects = F.filter(_texts(bare), lambda t: t.startswith("{"))
+    rescued = F.transform(objects, lambda t: F.from_json(t, EVENT))
+    events = F.when(F.col("Records").isNotNull(), F.col("Records")).when(F.col(CORRUPT).isNotNull(), rescued)
+    return events.otherwise(F.array(F.struct(*EVENT_FIELDS))) if bare else events
+
+
+def _is_broken(lists: bool = True) -> Column:
+    return F.col("Records").isNull() & F.col(CORRUPT).isNotNull() & _texts(lists).isNull()
+
+
 def split_corrupt(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents that parse, and the rest as `(source_file, raw)` for the dead-letter table."""
-    good = documents.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = documents.filter(F.col(CORRUPT).isNotNull()).select("source_file", F.col(CORRUPT).alias("raw"))
-    return good, bad
+    """Documents with readable events, and the rest as `(source_file, raw)` for the dead-letter table."""
+    bad = documents.filter(_is_broken()).select("source_file", F.col(CORRUPT).alias("raw"))
+    return documents.filter(~_is_broken()), bad
 
 
-def wrapped_events(documents: DataFrame) -> DataFrame:
-    """The members of every `Records` array, one row each."""
+def _exploded(documents: DataFrame, bare: bool) -> DataFrame:
     return (
-        documents.filter(F.col("Records").isNotNull())
-        .select("source_file", F.explode("Records").alias("event"))
+        documents.select("source_file", F.explode(_events(bare)).alias("event"))
         .filter(F.col("event").isNotNull())
         .select("source_file", "event.*")
     )
 
 
-def flat_events(documents: DataFrame) -> DataFrame:
-    """Documents that are one event themselves."""
-    return documents.filter(F.col("Records").isNull()).select("source_file", *EVENT_FIELDS)
+def wrapped_events(documents: DataFrame) -> DataFrame:
+    """The members of every `Records` array, one row each."""
+    return _exploded(documents, bare=False)
 
 
 def all_events(documents: DataFrame) -> DataFrame:
     """Wrapped and flat documents in one pass: a flat one is read as a list of one."""
-    itself = F.struct(*EVENT_FIELDS)
-    events = F.coalesce(F.col("Records"), F.array(itself))
-    return (
-        documents.select("source_file", F.explode(events).alias("event"))
-        .filter(F.col("event").isNotNull())
-        .select("source_file", "event.*")
-    )
+    return _exploded(documents, bare=True)
 
 
 def read_records_json(spark: SparkSession, path) -> DataFrame:
     """Files of the form `{"Records": [...]}`; a file that does not parse is left out."""
-    good, _ = split_corrupt(read_documents(spark, path))
-    return wrapped_events(good)
+    return wrapped_events(read_documents(spark, path))
 
 
 def read_ndjson(spark: SparkSession, path, path_contains: str | None = "aws|cloudtrail") -> DataFrame:
@@ -80,14 +91,12 @@ def read_ndjson(spark: SparkSession, path, path_contains: str | None = "aws|clou
     documents = read_documents(spark, path, multiline=False, glob="*.{json,ndjson,json.gz,ndjson.gz}")
     if path_contains:
         documents = documents.filter(F.lower("source_file").rlike(path_contains))
-    good, _ = split_corrupt(documents)
-    return all_events(good)
+    return all_events(documents)
 
 
 def read_json_any(spark: SparkSession, path) -> DataFrame:
     """Files that hold a list of events, a `Records` document or one bare event."""
-    good, _ = split_corrupt(read_documents(spark, path))
-    return all_events(good)
+    return all_events(read_documents(spark, path))
 
 
 def _utc(since: str | datetime) -> datetime:
@@ -123,7 +132,7 @@ def scan_since(spark: SparkSession, path, since: str | datetime, inclusive: bool
         .filter(modified_since(since, inclusive))
         .withColumn("source_file", F.col("_metadata.file_path"))
     )
-    events = wrapped_events(split_corrupt(documents)[0])
+    events = wrapped_events(documents)
     if require_rows and events.isEmpty():
         raise EmptyInputError(f"no log records since {since}: nothing to train on")
     return events

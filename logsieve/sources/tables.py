@@ -47,6 +47,15 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a scan over all cores before CPU-heavy work when its files give fewer partitions than that.
+
+    Only for a plain scan. A large table has many more partitions than there are cores and is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 # State values -------------------------------------------------------------------------------------------------
 
 

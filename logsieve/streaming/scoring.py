@@ -10,7 +10,7 @@ from logsieve.operators.forest import Forest, score_forest
 from logsieve.operators.labels import check_drift
 from logsieve.operators.triage import flagged_events, scored_message
 from logsieve.schema import CORRUPT, DOCUMENT
-from logsieve.sources.json_logs import EVENT_FIELDS, split_corrupt, stream_new_files, wrapped_events
+from logsieve.sources.json_logs import split_corrupt, stream_new_files, wrapped_events
 from logsieve.streaming.batches import read_batches, start, write_batch
 
 # Threshold, cadence, files per run, attempts before the dead-letter table, days it is kept.
@@ -82,14 +82,10 @@ def dead_letters(attempts: DataFrame, now, days: int = DEAD_LETTER_DAYS, max_att
 def retry_messages(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> tuple[DataFrame, DataFrame]:
     """Parse the kept text of failed messages again: documents that parse now, and those that fail once more."""
     open_messages = attempt_status(attempts, max_attempts).filter(~F.col("dead"))
-    members = [f for f in DOCUMENT.fields if f.name != CORRUPT]
-    schema = type(DOCUMENT)(members + [DOCUMENT[CORRUPT]])
-    parsed = open_messages.withColumn(
-        "doc", F.from_json("raw", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
-    broken = F.col("doc").isNull() | F.col(f"doc.{CORRUPT}").isNotNull()
-    good = parsed.filter(~broken).select(F.col("message_id").alias("source_file"), "doc.Records",
-                                         *[F.col(f"doc.{f}") for f in EVENT_FIELDS])
-    return good, parsed.filter(broken).select("message_id", "raw")
+    parsed = F.from_json("raw", DOCUMENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    documents = open_messages.select(F.col("message_id").alias("source_file"), parsed.alias("d")).select("source_file", "d.*")
+    good, bad = split_corrupt(documents)
+    return good, bad.withColumnRenamed("source_file", "message_id")
 
 
 def partitioned(df: DataFrame, n: int, key: str, order_by: str) -> DataFrame:
