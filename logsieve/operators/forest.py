@@ -28,6 +28,7 @@ from logsieve.session import materialise
 
 AUTO_SAMPLES = 256
 SUBTREE_ROWS = 50_000
+TREES_PER_POOL = 100
 MAX_MODELS = 1_000
 MAX_BROADCAST_NODES = 4_000_000
 MAX_BROADCAST_SPLITS = 500_000
@@ -129,15 +130,14 @@ def samples_per_tree(n: int, max_samples: str | float) -> int:
     return max(1, min(n, int(float(max_samples) * n)))
 
 
-def _rates(sizes: dict[str, int], samples: dict[str, int], trees: int) -> list[tuple]:
-    """Per model the hash cuts of the row pool and of a tree within it, with slack for chance."""
+def _rates(sizes: dict[str, int], samples: dict[str, int]) -> list[tuple]:
+    """Per model the hash cuts of the row pool of a block of trees and of a tree within it, with slack for chance."""
     out = []
     for model, n in sizes.items():
         psi = samples[model]
-        pool = min(n, trees * psi)
+        pool = min(n, TREES_PER_POOL * psi)
         pool_rate = 1.0 if pool == n else min(1.0, (pool + 6 * math.sqrt(pool)) / n)
-        least = n if pool_rate == 1.0 else pool
-        tree_rate = min(1.0, (psi + 6 * math.sqrt(psi) + 10) / max(least, 1))
+        tree_rate = min(1.0, (psi + 6 * math.sqrt(psi) + 10) / pool)
         out.append((model, int(pool_rate * _HASH_RANGE), int(tree_rate * _HASH_RANGE), psi))
     return out
 
@@ -152,22 +152,27 @@ def tree_samples(rows: DataFrame, sizes: dict[str, int], samples: dict[str, int]
                  seed: int) -> DataFrame:
     """Exactly `samples` rows per tree, without replacement, as `(model, tree_id, key, features)`.
 
-    A first hash cut leaves a pool of about trees x samples rows, so the per-tree hashes are computed for the pool
-    only and the shuffle does not grow with the table. The least hashes of each tree are its sample.
+    Every block of TREES_PER_POOL trees has a pool of rows, taken by a first hash cut, and only the pool is hashed per
+    tree; the shuffle does not grow with the table. The least hashes of a tree are its sample, which depends on the
+    tree and not on how many there are: fewer trees are a prefix of more.
     """
     spark = rows.sparkSession
-    rates = spark.createDataFrame(_rates(sizes, samples, trees),
-                                  "model string, pool_cut bigint, tree_cut bigint, psi int")
-    pooled = (
-        rows.join(F.broadcast(rates), "model")
-        .filter(_hash(F.lit(seed), F.lit("pool"), F.col("key")) < F.col("pool_cut"))
-    )
-    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
-                      lambda t: _hash(F.lit(seed), F.col("key"), t) < F.col("tree_cut"))
+    rates = spark.createDataFrame(_rates(sizes, samples), "model string, pool_cut bigint, tree_cut bigint, psi int")
+    blocks = F.filter(F.sequence(F.lit(0), F.lit((trees - 1) // TREES_PER_POOL)),
+                      lambda b: _hash(F.lit(seed), F.lit("pool"), F.col("key"), b) < F.col("pool_cut"))
+    pooled = rows.join(F.broadcast(rates), "model").withColumn("_b", blocks).filter(F.size("_b") > 0)
+
+    def of_block(b: Column) -> Column:
+        last = F.least((b + 1) * TREES_PER_POOL, F.lit(trees)) - 1
+        return F.filter(F.sequence(b * TREES_PER_POOL, last),
+                        lambda t: _hash(F.lit(seed), F.col("key"), t) < F.col("tree_cut"))
+
+    chosen = F.flatten(F.transform("_b", of_block))
     drawn = pooled.withColumn("tree_id", F.explode(chosen)).withColumn(
         "_h", _hash(F.lit(seed), F.col("key"), F.col("tree_id")))
     rank = F.row_number().over(W.partitionBy("model", "tree_id").orderBy("_h", "key"))
-    return drawn.withColumn("_r", rank).filter(F.col("_r") <= F.col("psi")).drop("_h", "_r", "pool_cut", "tree_cut", "psi")
+    return drawn.withColumn("_r", rank).filter(F.col("_r") <= F.col("psi")).drop(
+        "_h", "_r", "_b", "pool_cut", "tree_cut", "psi")
 
 
 def _tree_rows(rows: DataFrame, sizes: dict, samples: dict, trees: int, seed: int) -> DataFrame:
@@ -376,6 +381,7 @@ def score_expression(forest: Forest, prefixes: list[int] | None = None) -> Colum
     def run(batches):
         models = shared.value
         for columns in batches:
+            columns = columns if isinstance(columns, tuple) else (columns,)     # one column comes bare
             names = columns[0] if has_model else None
             x = np.column_stack([c.to_numpy(dtype=np.float32) for c in columns[1 if has_model else 0:]])
             if names is None:

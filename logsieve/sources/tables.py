@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,7 +75,7 @@ def get_state(spark: SparkSession, path: str, name: str, default: str | None = N
 def advance_watermark(spark: SparkSession, path: str, name: str = "last_train_ts",
                       at: datetime | None = None) -> str:
     """Store the time of the last complete run. Call it after every other step of the run."""
-    value = (at or datetime.utcnow()).strftime("%Y-%m-%dT%H:%M:%SZ")
+    value = (at or datetime.now(timezone.utc)).strftime("%Y-%m-%dT%H:%M:%SZ")
     put_state(spark, path, name, value)
     return value
 

@@ -1,7 +1,7 @@
 import gzip
 import json
 import os
-from datetime import datetime
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -92,7 +92,7 @@ def test_scan_since_is_inclusive_or_strict(spark, tmp_path, event):
     for name, at in (("old", 1_700_000_000), ("edge", 1_700_000_100), ("new", 1_700_000_200)):
         put(root / f"{name}.json", json.dumps({"Records": [event(eventID=name)]}))
         os.utime(root / f"{name}.json", (at, at))
-    mark = datetime.utcfromtimestamp(1_700_000_100).strftime("%Y-%m-%dT%H:%M:%SZ")
+    mark = datetime.fromtimestamp(1_700_000_100, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     assert ids(scan_since(spark, str(root), mark)) == ["edge", "new"]
     assert ids(scan_since(spark, str(root), mark, inclusive=False)) == ["new"]
     with pytest.raises(EmptyInputError):
