@@ -35,18 +35,30 @@ def dense_index(df: DataFrame, order_by: str, name: str) -> DataFrame:
     )
 
 
-def fit_dictionary(df: DataFrame, column: str, small: int = SMALL_DICTIONARY) -> tuple[DataFrame, bool]:
-    """`(value, code)` over the distinct values, and whether it is small enough to broadcast.
+def fit_dictionaries(df: DataFrame, columns: list[str], small: int = SMALL_DICTIONARY) -> dict[str, tuple[DataFrame, bool]]:
+    """Per column `(value, code)` over its distinct values, and whether it is small enough to broadcast.
 
-    The rows themselves are never sorted. Up to `small` values one window over the distinct set gives the codes;
-    beyond that they come from `dense_index`.
+    One scan collects the distinct values of all columns; the rows themselves are never sorted. Up to `small` values
+    a window over the distinct set gives the codes; beyond that they come from `dense_index`.
     """
-    values = df.select(text(column).alias("value")).distinct()
-    is_small = values.limit(small + 1).count() <= small
-    if is_small:
-        code = (F.row_number().over(W.orderBy("value")) - 1).cast("bigint")
-        return values.withColumn("code", code), True
-    return dense_index(values, "value", "code"), False
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("value")) for c in columns])).alias("p")
+    values = materialise(df.select(pairs).select("p.column", "p.value").distinct())
+    sizes = {r["column"]: r["count"] for r in values.groupBy("column").count().collect()}
+    code = (F.row_number().over(W.partitionBy("column").orderBy("value")) - 1).cast("bigint")
+    few = [c for c in columns if sizes.get(c, 0) <= small]
+    coded = values.filter(F.col("column").isin(few)).withColumn("code", code)
+    out = {}
+    for c in columns:
+        mine = F.col("column") == c
+        if c in few:
+            out[c] = coded.filter(mine).select("value", "code"), True
+        else:
+            out[c] = dense_index(values.filter(mine).select("value"), "value", "code"), False
+    return out
+
+
+def fit_dictionary(df: DataFrame, column: str, small: int = SMALL_DICTIONARY) -> tuple[DataFrame, bool]:
+    return fit_dictionaries(df, [column], small)[column]
 
 
 def encode(df: DataFrame, columns: dict[str, str], small: int = SMALL_DICTIONARY) -> DataFrame:
@@ -56,10 +68,8 @@ def encode(df: DataFrame, columns: dict[str, str], small: int = SMALL_DICTIONARY
     shuffled; a large one is joined by value, where adaptive execution splits a hot value.
     """
     out = df
-    for raw, code_column in columns.items():
-        dictionary, is_small = fit_dictionary(df, raw, small)
-        out = apply_dictionary(out, F.broadcast(dictionary) if is_small else dictionary, raw, code_column)
-        out = out.drop(raw)
+    for raw, (dictionary, is_small) in fit_dictionaries(df, list(columns), small).items():
+        out = apply_dictionary(out, F.broadcast(dictionary) if is_small else dictionary, raw, columns[raw]).drop(raw)
     return out
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from logsieve.operators.labels import check_feature_schema
 from logsieve.operators.quantiles import contamination_threshold
 from logsieve.schema import FEATURES
-from logsieve.session import materialise
+from logsieve.session import materialise, store
 
 AUTO_SAMPLES = 256
 SUBTREE_ROWS = 50_000
@@ -33,6 +33,7 @@ MAX_MODELS = 1_000
 MAX_BROADCAST_NODES = 4_000_000
 MAX_BROADCAST_SPLITS = 500_000
 LEVELS_PER_CHECKPOINT = 4
+SCORE_ROWS = 1024                  # rows scored at a time: the arrays of all trees stay in the cache
 ONE_MODEL = "all"
 
 NODES = ("model string, tree_id int, node_id bigint, depth int, is_leaf boolean, feature int, threshold double, "
@@ -152,27 +153,33 @@ def tree_samples(rows: DataFrame, sizes: dict[str, int], samples: dict[str, int]
                  seed: int) -> DataFrame:
     """Exactly `samples` rows per tree, without replacement, as `(model, tree_id, key, features)`.
 
-    Every block of TREES_PER_POOL trees has a pool of rows, taken by a first hash cut, and only the pool is hashed per
+    Every block of TREES_PER_POOL trees has a pool of rows, a range of a first hash, and only pool rows are hashed per
     tree; the shuffle does not grow with the table. The least hashes of a tree are its sample, which depends on the
     tree and not on how many there are: fewer trees are a prefix of more.
     """
     spark = rows.sparkSession
     rates = spark.createDataFrame(_rates(sizes, samples), "model string, pool_cut bigint, tree_cut bigint, psi int")
-    blocks = F.filter(F.sequence(F.lit(0), F.lit((trees - 1) // TREES_PER_POOL)),
-                      lambda b: _hash(F.lit(seed), F.lit("pool"), F.col("key"), b) < F.col("pool_cut"))
-    pooled = rows.join(F.broadcast(rates), "model").withColumn("_b", blocks).filter(F.size("_b") > 0)
+    last_block = (trees - 1) // TREES_PER_POOL
+    pooled = (
+        rows.join(F.broadcast(rates), "model").withColumn("_u", _hash(F.lit(seed), F.lit("pool"), F.col("key")))
+        .filter(F.col("_u") < F.col("pool_cut") * (last_block + 1))
+    )
 
     def of_block(b: Column) -> Column:
-        last = F.least((b + 1) * TREES_PER_POOL, F.lit(trees)) - 1
-        return F.filter(F.sequence(b * TREES_PER_POOL, last),
-                        lambda t: _hash(F.lit(seed), F.col("key"), t) < F.col("tree_cut"))
+        here = F.pmod(F.col("_u") - b * F.col("pool_cut"), F.lit(_HASH_RANGE)) < F.col("pool_cut")
+        trees_of = F.sequence(b * TREES_PER_POOL, F.least((b + 1) * TREES_PER_POOL, F.lit(trees)) - 1)
+        return F.when(here, F.filter(trees_of, lambda t: _hash(F.lit(seed), F.col("key"), t) < F.col("tree_cut")))
 
-    chosen = F.flatten(F.transform("_b", of_block))
+    chosen = F.flatten(F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(last_block)), of_block)))
     drawn = pooled.withColumn("tree_id", F.explode(chosen)).withColumn(
         "_h", _hash(F.lit(seed), F.col("key"), F.col("tree_id")))
+    # A given number of partitions keeps adaptive execution from merging these small but CPU-heavy groups.
+    width = min(trees * len(sizes), 2 * spark.sparkContext.defaultParallelism)
     rank = F.row_number().over(W.partitionBy("model", "tree_id").orderBy("_h", "key"))
-    return drawn.withColumn("_r", rank).filter(F.col("_r") <= F.col("psi")).drop(
-        "_h", "_r", "_b", "pool_cut", "tree_cut", "psi")
+    return (
+        drawn.repartition(width, "model", "tree_id").withColumn("_r", rank).filter(F.col("_r") <= F.col("psi"))
+        .drop("_h", "_r", "_u", "pool_cut", "tree_cut", "psi")
+    )
 
 
 def _tree_rows(rows: DataFrame, sizes: dict, samples: dict, trees: int, seed: int) -> DataFrame:
@@ -255,7 +262,7 @@ def build_by_levels(state: DataFrame, limits: dict[str, int], features: list[str
             .drop("is_leaf", "feature", "threshold")
         )
         if (level + 1) % LEVELS_PER_CHECKPOINT == 0:
-            state = materialise(state)
+            state = store(state)
         if n_splits == 0:
             break
     nodes = _build_in_tasks(state, limits, features, seed)
@@ -306,31 +313,8 @@ def fit_forest(df: DataFrame, key: str, n_estimators: int = 100, max_samples: st
 # Scoring -------------------------------------------------------------------------------------------------------
 
 
-@dataclass
-class PackedModel:
-    """The trees of one model in flat arrays. The right child follows the left one; a leaf points to itself."""
-
-    roots: np.ndarray
-    feature: np.ndarray
-    threshold: np.ndarray
-    left: np.ndarray
-    path: np.ndarray
-    depth: int
-    scale: float
-
-    def paths(self, x: np.ndarray) -> np.ndarray:
-        """Path length of every row in every tree."""
-        values = np.ascontiguousarray(x, dtype=float).ravel()
-        start = (np.arange(len(x)) * x.shape[1])[:, None]
-        at = np.tile(self.roots, (len(x), 1))
-        for _ in range(self.depth):
-            goes_right = values.take(self.feature.take(at) + start) > self.threshold.take(at)
-            at = self.left.take(at)
-            at += goes_right
-        return self.path.take(at)
-
-
-def pack(nodes: pd.DataFrame, samples: int) -> PackedModel:
+def pack(nodes: pd.DataFrame, samples: int) -> dict:
+    """The trees of one model as flat arrays. The right child follows the left one; a leaf points to itself."""
     # Level order within a tree puts the two children of a node next to each other.
     nodes = nodes.sort_values(["tree_id", "node_id"], ignore_index=True)
     leaf = nodes["is_leaf"].to_numpy(dtype=bool)
@@ -338,15 +322,27 @@ def pack(nodes: pd.DataFrame, samples: int) -> PackedModel:
     places = pd.MultiIndex.from_frame(nodes[["tree_id", "node_id"]])
     left = np.arange(len(nodes))
     left[~leaf] = places.get_indexer(pd.MultiIndex.from_frame(child))
-    return PackedModel(
-        roots=np.flatnonzero(nodes["node_id"].to_numpy() == 1),
-        feature=np.where(leaf, 0, nodes["feature"].fillna(0).to_numpy(dtype=np.int64)),
-        threshold=np.where(leaf, np.inf, nodes["threshold"].fillna(0).to_numpy(dtype=float)),
-        left=left,
-        path=nodes["depth"].to_numpy(dtype=float) + np.where(leaf, average_path(nodes["n_samples"]), 0.0),
-        depth=int(nodes["depth"].max()),
-        scale=float(average_path(samples)),
-    )
+    return {
+        "roots": np.flatnonzero(nodes["node_id"].to_numpy() == 1),
+        "feature": np.where(leaf, 0, nodes["feature"].fillna(0).to_numpy(dtype=np.int64)),
+        "threshold": np.where(leaf, np.inf, nodes["threshold"].fillna(0).to_numpy(dtype=float)),
+        "left": left,
+        "path": nodes["depth"].to_numpy(dtype=float) + np.where(leaf, average_path(nodes["n_samples"]), 0.0),
+        "depth": int(nodes["depth"].max()),
+        "scale": float(average_path(samples)),
+    }
+
+
+def _paths(model: dict, x: np.ndarray) -> np.ndarray:
+    """Path length of every row in every tree."""
+    values = np.ascontiguousarray(x, dtype=float).ravel()
+    start = (np.arange(len(x)) * x.shape[1])[:, None]
+    at = np.tile(model["roots"], (len(x), 1))
+    for _ in range(model["depth"]):
+        goes_right = values.take(model["feature"].take(at) + start) > model["threshold"].take(at)
+        at = model["left"].take(at)
+        at += goes_right
+    return model["path"].take(at)
 
 
 def _anomaly(paths_mean: np.ndarray, scale: float) -> np.ndarray:
@@ -367,14 +363,14 @@ def score_expression(forest: Forest, prefixes: list[int] | None = None) -> Colum
     counts = np.asarray(prefixes) if prefixes else None
     has_model = forest.by is not None
 
-    def score(x: np.ndarray, model: PackedModel) -> np.ndarray:
+    def score(x: np.ndarray, model: dict) -> np.ndarray:
         chunks = []
-        for start in range(0, len(x), 4096):
-            paths = model.paths(x[start:start + 4096])
+        for start in range(0, len(x), SCORE_ROWS):
+            paths = _paths(model, x[start:start + SCORE_ROWS])
             if counts is None:
-                chunks.append(_anomaly(paths.mean(axis=1), model.scale))
+                chunks.append(_anomaly(paths.mean(axis=1), model["scale"]))
             else:
-                chunks.append(_anomaly(paths.cumsum(axis=1)[:, counts - 1] / counts, model.scale))
+                chunks.append(_anomaly(paths.cumsum(axis=1)[:, counts - 1] / counts, model["scale"]))
         width = (len(counts),) if counts is not None else ()
         return np.concatenate(chunks) if chunks else np.empty((0, *width))
 
@@ -453,7 +449,7 @@ def score_by_join(df: DataFrame, key: str, forest: Forest, column: str = "score_
             .select("model", "key", *forest.features, "tree_id", "node_id")
         )
         if (level + 1) % LEVELS_PER_CHECKPOINT == 0:
-            at = materialise(at)
+            at = store(at)
     paths = finished[0]
     for part in finished[1:]:
         paths = paths.unionByName(part)

@@ -62,19 +62,14 @@ def best_trial(trials: DataFrame, objective: str = "f1", trial_id: str = "trial_
 
     With a goal, trials after the first one that reaches it do not count: the search would have stopped there.
     """
-    pool = trials
-    if goal is not None:
-        first = trials.filter(F.col(objective) >= goal).agg(F.min(trial_id).alias("_stop"))
-        pool = (
-            trials.join(F.broadcast(first))
-            .filter(F.col("_stop").isNull() | (F.col(trial_id) <= F.col("_stop")))
-            .drop("_stop")
-        )
     row = F.struct(*[F.col(c) for c in trials.columns])
-    order = F.struct(F.col(objective), -F.col(trial_id))
+    highest = F.max_by(row, F.struct(F.col(objective), -F.col(trial_id)))
+    best = highest
+    if goal is not None:
+        # All trials before the first that reaches the goal are below it, so that first one is the best so far.
+        best = F.coalesce(F.min_by(row, F.when(F.col(objective) >= goal, F.col(trial_id))), highest)
     return (
-        pool.filter(F.col(objective).isNotNull())
-        .agg(F.max_by(row, order).alias("best")).filter("best is not null").select("best.*")
+        trials.filter(F.col(objective).isNotNull()).agg(best.alias("best")).filter("best is not null").select("best.*")
     )
 
 

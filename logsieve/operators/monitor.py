@@ -16,24 +16,34 @@ REPEAT_HOURS = 4
 FOLD_ROWS = 1_000_000
 
 
-def _window(ts: Column | str, length: str, slide: str | None) -> Column:
-    return F.window(ts, length, slide) if slide else F.window(ts, length)
+def _per_window(df: DataFrame, ts: str, length: str, slide: str | None, late: str | None,
+                counts: dict[str, Column]) -> DataFrame:
+    """Counters per tumbling or sliding window as `(w, ...)`; `late` sets the watermark of a stream.
+
+    For a sliding window a batch is first counted per slide, so a row is not copied into every window it is in. The
+    slide must divide the length.
+    """
+    df = df.withWatermark(ts, late) if late else df
+    if slide is None or df.isStreaming:
+        window = F.window(ts, length, slide) if slide else F.window(ts, length)
+        return df.groupBy(window.alias("w")).agg(*[c.alias(n) for n, c in counts.items()])
+    steps = df.groupBy(F.window(ts, slide).alias("s")).agg(*[c.alias(n) for n, c in counts.items()])
+    steps = steps.withColumn("at", F.col("s.start"))
+    return steps.groupBy(F.window("at", length, slide).alias("w")).agg(*[F.sum(n).alias(n) for n in counts])
 
 
 def flagged_per_window(df: DataFrame, ts: str, length: str = FLAGGED_WINDOW, slide: str | None = None,
                        late: str | None = None) -> DataFrame:
-    """Flagged events per tumbling (or sliding) window; `late` sets the watermark of a stream."""
-    df = df.withWatermark(ts, late) if late else df
-    counted = df.groupBy(_window(ts, length, slide).alias("w")).agg(F.count("*").alias("n"))
+    """Flagged events per tumbling or sliding window."""
+    counted = _per_window(df, ts, length, slide, late, {"n": F.count("*")})
     return counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n")
 
 
 def decision_rate(df: DataFrame, ts: str, decision: Column | str = "decision", length: str = DECISION_WINDOW,
                   slide: str | None = None, late: str | None = None) -> DataFrame:
     """Share of genuine findings among all decisions of a window."""
-    df = df.withWatermark(ts, late) if late else df
-    counted = df.groupBy(_window(ts, length, slide).alias("w")).agg(
-        F.count_if(col(decision) == "genuine_bug").alias("genuine"), F.count("*").alias("n"))
+    counts = {"genuine": F.count_if(col(decision) == "genuine_bug"), "n": F.count("*")}
+    counted = _per_window(df, ts, length, slide, late, counts)
     return counted.select(F.col("w.start").alias("window_start"), "genuine", "n",
                           (F.col("genuine") / F.col("n")).alias("rate"))
 

@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from logsieve.functions.scalars import text
 from logsieve.operators.labels import split_by_rule, valid_dimension
+from logsieve.session import materialise
 
 MAX_QUERY_VALUES = 4_000_000       # numbers in the broadcast query matrix: 32 MB as doubles
+MAX_PAIRS = 4_000_000              # distances in memory at a time
 BLOCK_ROWS = 20_000
 LISTS = 100
 TRAIN_ROWS_PER_LIST = 10_000
@@ -107,26 +109,43 @@ class _Best:
 
     def __init__(self, n_queries: int, k: int):
         self.k = k
-        self.distance = [np.empty(0)] * n_queries
-        self.ids: list = [np.empty(0, dtype=object)] * n_queries
-
-    def offer(self, query: int, distance: np.ndarray, ids: np.ndarray) -> None:
-        distance = np.where(np.isnan(distance), np.inf, distance)
-        if len(distance) > self.k:
-            keep = distance <= np.partition(distance, self.k - 1)[self.k - 1]
-            distance, ids = distance[keep], ids[keep]
-        distance = np.concatenate([self.distance[query], distance])
-        ids = np.concatenate([self.ids[query], ids])
-        order = np.lexsort((ids, distance))[:self.k]
-        self.distance[query], self.ids[query] = distance[order], ids[order]
+        self.bound = np.full(n_queries, np.inf)
+        self.query = np.empty(0, dtype=np.int64)
+        self.distance = np.empty(0)
+        self.ids = np.empty(0, dtype=object)
+
+    def offer(self, queries: np.ndarray, vectors: np.ndarray, rows: np.ndarray, ids: np.ndarray, metric: str) -> None:
+        """Match `vectors`, the vectors of `queries`, with a batch, a bounded number of pairs at a time."""
+        if not len(rows):
+            return
+        step = max(1, MAX_PAIRS // len(rows))
+        for start in range(0, len(queries), step):
+            part = queries[start:start + step]
+            distance = _distances(vectors[start:start + step], rows, metric)
+            distance[np.isnan(distance)] = np.inf
+            bound = self.bound[part]
+            if distance.shape[1] > self.k:
+                bound = np.minimum(bound, np.partition(distance, self.k - 1, axis=1)[:, self.k - 1])
+            q, r = np.nonzero(distance <= bound[:, None])
+            self._merge(part[q], distance[q, r], ids[r])
+
+    def _merge(self, query: np.ndarray, distance: np.ndarray, ids: np.ndarray) -> None:
+        query = np.concatenate([self.query, query])
+        distance = np.concatenate([self.distance, distance])
+        ids = np.concatenate([self.ids, ids])
+        order = np.lexsort((ids, distance, query))
+        query, distance, ids = query[order], distance[order], ids[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        keep = place < self.k
+        self.query, self.distance, self.ids = query[keep], distance[keep], ids[keep]
+        full = place[keep] == self.k - 1
+        self.bound[self.query[full]] = self.distance[full]
 
     def frame(self, names) -> pd.DataFrame:
-        counts = [len(d) for d in self.distance]
-        distance = np.concatenate(self.distance) if counts else np.empty(0)
         return pd.DataFrame({
-            "_q": np.repeat(np.asarray(names), counts),
-            "_i": np.concatenate(self.ids) if counts else np.empty(0, dtype=object),
-            "distance": pd.Series(distance).replace(np.inf, np.nan).astype("Float64"),
+            "_q": np.asarray(names)[self.query],
+            "_i": self.ids,
+            "distance": pd.Series(self.distance).replace(np.inf, np.nan).astype("Float64"),
         })
 
 
@@ -172,10 +191,7 @@ def nearest(queries: DataFrame, index: DataFrame, k: int, query_id: str, row_id:
         best = _Best(len(names), k)
         for batch in batches:
             if len(batch) and len(names):
-                distance = _distances(matrix, _matrix(batch["v"], metric), metric)
-                ids = batch["i"].to_numpy()
-                for n in range(len(names)):
-                    best.offer(n, distance[n], ids)
+                best.offer(np.arange(len(names)), matrix, _matrix(batch["v"], metric), batch["i"].to_numpy(), metric)
         if len(names):
             yield best.frame(names)
 
@@ -200,9 +216,8 @@ def _nearest_by_blocks(queries: DataFrame, index: DataFrame, k: int, query_id: s
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         best = _Best(len(left), k)
         if len(left) and len(right):
-            distance = _distances(_matrix(left["v"], metric), _matrix(right["v"], metric), metric)
-            for n in range(len(left)):
-                best.offer(n, distance[n], right["id"].to_numpy())
+            best.offer(np.arange(len(left)), _matrix(left["v"], metric), _matrix(right["v"], metric),
+                       right["id"].to_numpy(), metric)
         return best.frame(left["id"].to_numpy())
 
     return q.groupBy("qb", "ib").cogroup(rows.groupBy("qb", "ib")).applyInPandas(match, schema)
@@ -296,10 +311,7 @@ def nearest_in_lists(queries: DataFrame, index: DataFrame, centres: DataFrame, k
                 hits = by_list.get(int(list_id))
                 if hits is None:
                     continue
-                distance = _distances(queries_matrix[hits], _matrix(part["v"], "cosine"), "cosine")
-                ids = part["i"].to_numpy()
-                for n, q in enumerate(hits):
-                    best.offer(q, distance[n], ids)
+                best.offer(hits, queries_matrix[hits], _matrix(part["v"], "cosine"), part["i"].to_numpy(), "cosine")
         if len(names):
             yield best.frame(names)
 
@@ -312,7 +324,8 @@ def nearest_in_lists(queries: DataFrame, index: DataFrame, centres: DataFrame, k
 def with_payload(hits: DataFrame, index: DataFrame, row_id: str, columns: list[str], small: int = 1_000_000,
                  ) -> DataFrame:
     """Add the columns of the winners. The hits are broadcast while there are at most `small` of them."""
-    few = hits.limit(small + 1).count() <= small
+    hits = materialise(hits)
+    few = hits.count() <= small
     return index.select(row_id, *columns).join(F.broadcast(hits) if few else hits, row_id)
 
 

@@ -26,10 +26,14 @@ def last_per_key(df: DataFrame, key: str | list[str], order_by: Column) -> DataF
 def anti_join(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     """Rows whose key the other table lacks; a null key is never known.
 
-    Rows with a null key do not take part in the join, so they are not all sent to one task.
+    A row with a null key gets a salt of its own that the other table cannot have, so that such rows are spread over
+    the tasks instead of meeting in one.
     """
-    keyed = df.filter(F.col(key).isNotNull()).join(other.select(key), key, "left_anti")
-    return keyed.select(*df.columns).unionByName(df.filter(F.col(key).isNull()))
+    own = F.pmod(F.xxhash64(*df.columns, F.spark_partition_id()), F.lit(2**62)) + 1
+    left = df.withColumn("_salt", F.when(F.col(key).isNull(), own).otherwise(F.lit(0).cast("bigint"))).alias("l")
+    right = other.filter(F.col(key).isNotNull()).select(key, F.lit(0).cast("bigint").alias("_salt")).alias("r")
+    same = F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")) & (F.col("l._salt") == F.col("r._salt"))
+    return left.join(right, same, "left_anti").drop("_salt")
 
 
 def rows_to_insert(target: DataFrame, source: DataFrame, key: str, order_by: Column) -> DataFrame:

@@ -35,7 +35,7 @@ from logsieve.plans.changes import lookup_changes
 from logsieve.plans.federated import federated_rounds
 from logsieve.plans.training import SearchSpace, current_stages, draw_trials, search_trials, serving_version
 from logsieve.schema import INDEXED_CHANGE_NAMES, LABEL, LOOKUP_CHANGE_NAMES
-from logsieve.session import materialise, shared_dir
+from logsieve.session import shared_dir, store
 from logsieve.sources.tables import read_runs, retained, spread
 from logsieve.streaming.batches import read_batches, start, write_batch
 from logsieve.streaming.scoring import attempt_status
@@ -958,7 +958,7 @@ PRICE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 def _lines(spark, sf):
     key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
                       F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
-    return table(spark, sf, "lineitem", heavy=True).select(key.alias("line"), *PRICE_FEATURES, "l_returnflag", "l_linestatus")
+    return spread(table(spark, sf, "lineitem").select(key.alias("line"), *PRICE_FEATURES), again=True)
 
 
 def _line_forest(spark, sf):
@@ -985,7 +985,7 @@ def forest_flagged(spark, sf):
 @query()
 def forest_on_features(spark, sf):
     """The 18-feature table of the trail: fit, score, name, count by label."""
-    rows = materialise(labelled_features(spark, sf))
+    rows = store(labelled_features(spark, sf))
     model = iforest.fit_forest(rows, "event_id")
     scored = iforest.score_forest(rows, model).withColumn("outcome", iforest.anomaly_name())
     return scored.groupBy("outcome", LABEL).agg(F.count("*").alias("n"))
@@ -994,7 +994,7 @@ def forest_on_features(spark, sf):
 @query()
 def trial_search(spark, sf):
     """Random search on the feature table; the forests of trials that share their sample size are shared."""
-    rows = materialise(labelled_features(spark, sf))
+    rows = store(labelled_features(spark, sf))
     space = SearchSpace(6, 0.95, (20, 60), (0.01, 0.15), ["auto", "0.1"])
     return search_trials(rows, "event_id", draw_trials(space))
 
@@ -1002,7 +1002,7 @@ def trial_search(spark, sf):
 @query()
 def federated_training(spark, sf):
     """Two nodes, shared threshold, ten rounds."""
-    nodes = split.node_split(materialise(labelled_features(spark, sf)), "event_source", "event_id")
+    nodes = split.node_split(store(labelled_features(spark, sf)), "event_source", "event_id")
     return federated_rounds(nodes, "event_id", n_estimators=50)[1]
 
 
@@ -1052,7 +1052,7 @@ def stream_flagged_counts(spark, sf):
 def stream_forest_scores(spark, sf):
     """A stream of events scored with a forest that was fitted on the same features in a batch."""
     out = _work(spark)
-    model = iforest.fit_forest(materialise(labelled_features(spark, sf)), "event_id", n_estimators=25)
+    model = iforest.fit_forest(store(labelled_features(spark, sf)), "event_id", n_estimators=25)
     schema = "event_id string, score double, prediction int"
 
     def process(batch, batch_id):

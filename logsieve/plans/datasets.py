@@ -12,6 +12,7 @@ from logsieve.operators.labels import constant_label, rule_label
 from logsieve.operators.quality import node_report, quality_report, union_sources, verdict
 from logsieve.operators.split import NODE_PATTERNS, node_split
 from logsieve.schema import FEATURES, LABEL
+from logsieve.session import store
 from logsieve.sources.tables import write_features, write_node_splits
 
 KEYS = ("event_id", "raw_source")
@@ -39,6 +40,7 @@ def feature_table(sources: dict[str, DataFrame], dialect: Dialect = OFFLINE,
         flat[name] = flatten_events(keyed, dialect, {**layout, "event_id": "event_id"}, (*KEYS, LABEL))
     table = union_sources(flat)
     if dialect.encode == "dictionary":
+        table = store(table)        # parse the logs once: the dictionaries need a pass of their own
         table = encode(table, {f"{c}_raw": f"{c}_enc" for c in CATEGORICAL})
     return conform(table, keep=(*KEYS, "source"), label=LABEL)
 

@@ -32,15 +32,15 @@ def federated_rounds(df: DataFrame, key: str, node: str = "node", rounds: int =
     offsets = spark.createDataFrame(list(forest.offsets.items()), "node string, offset double")
     sizes = scored.groupBy("node").agg(F.count("*").alias("n"))
     local = materialise(offsets.join(sizes, "node"))
-    shared = average_parameters(local, "n", "offset").withColumnRenamed("offset", "global_offset")
+    shared = F.lit(average_parameters(local, "n", "offset").first()["offset"]).alias("global_offset")
 
     def judged(cut: str, prefix: str) -> DataFrame:
-        rows = scored.join(F.broadcast(local.drop("n")), "node").join(F.broadcast(shared))
+        rows = scored.join(F.broadcast(local.drop("n")), "node").withColumn("global_offset", shared)
         found = binary_metrics(rows.withColumn("p", (F.col("score_sample") < F.col(cut)).cast("int")), "y", "p", ["node"])
         return found.select("node", *[F.col(c).alias(f"{prefix}_{c}") for c in ("f1", "precision", "recall")])
 
     per_node = materialise(
-        local.join(F.broadcast(shared))
+        local.withColumn("global_offset", shared)
         .join(judged("offset", "train").select("node", "train_f1"), "node")
         .join(judged("global_offset", "eval"), "node")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsieve.schema import FEATURES, LABEL
-from logsieve.session import path_exists
+from logsieve.session import path_exists, store
 
 STATE = "name string, value string, at timestamp"
 
@@ -47,13 +47,17 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def spread(scan: DataFrame) -> DataFrame:
+def spread(scan: DataFrame, again: bool = False) -> DataFrame:
     """Spread a scan over all cores before CPU-heavy work when its files give fewer partitions than that.
 
-    Only for a plain scan. A large table has many more partitions than there are cores and is returned as it is.
+    Only for a plain scan. A large table has many more partitions than there are cores and is returned as it is. With
+    `again` the spread rows are stored, for work that scans them several times.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    wide = scan.repartition(cores)
+    return store(wide) if again else wide
 
 
 # State values -------------------------------------------------------------------------------------------------

@@ -82,12 +82,16 @@ def test_partitioning_does_not_change_the_model(table, model):
         assert other.offsets == model.offsets
 
 
-def test_pool_gives_exact_samples_without_replacement(spark):
+@pytest.mark.parametrize("block", [100, 2])
+def test_pool_gives_exact_samples_without_replacement(spark, monkeypatch, block):
+    monkeypatch.setattr(fo, "TREES_PER_POOL", block)
     table = spark.range(20_000).select("id", (F.col("id") % 97).cast("float").alias("a"), F.rand(1).alias("b"))
     rows = fo._rows(table, "id", ["a", "b"], None)
     drawn = fo.tree_samples(rows, {"all": 20_000}, {"all": 64}, 5, 7)
     per_tree = drawn.groupBy("tree_id").agg(F.count("*").alias("n"), F.countDistinct("key").alias("d")).collect()
     assert [(r.n, r.d) for r in per_tree] == [(64, 64)] * 5
+    fewer = fo.tree_samples(rows, {"all": 20_000}, {"all": 64}, 3, 7)
+    assert fewer.exceptAll(drawn.filter("tree_id < 3")).count() == 0 and fewer.count() == 3 * 64
 
 
 def test_copies_of_one_key_do_not_grow_a_tree(spark):
@@ -156,3 +160,28 @@ def test_model_size_is_checked(table, model, monkeypatch):
     monkeypatch.setattr(fo, "MAX_BROADCAST_NODES", 100)
     with pytest.raises(ValueError):
         fo.score_samples(table, model)
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """From another working directory the executors cannot import the package."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from logsieve.session import get_session
+from logsieve.sources.synthetic import synthetic_trail
+from logsieve.operators import forest, retrieval
+spark = get_session("elsewhere", 2)
+table = synthetic_trail(spark, 300, 30)
+model = forest.fit_forest(table, "event_id", n_estimators=3)
+print("rows", forest.score_forest(table, model).filter("score is not null").count())
+v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id int, embedding array<float>")
+print("hits", retrieval.nearest(v.withColumnRenamed("id", "q"), v, 1, "q", "id").count())
+print("placed", retrieval.assign_lists(v, retrieval.train_lists(v, "id", lists=2)).count())
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "rows 330" in done.stdout and "hits 2" in done.stdout and "placed 2" in done.stdout, done.stderr[-2000:]

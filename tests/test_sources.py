@@ -172,5 +172,6 @@ def test_spread_only_touches_narrow_scans(spark, tmp_path):
     spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
     scan = spark.read.parquet(str(tmp_path / "one"))
     assert spread(scan).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(scan, again=True).rdd.getNumPartitions() > 1 and spread(scan, again=True).count() == 100
     wide = spark.range(0, 1000, 1, 64)
     assert spread(wide) is wide
