@@ -68,53 +68,66 @@ def height_limit(samples: int) -> int:
     return math.ceil(math.log2(max(samples, 2)))
 
 
-def _uniform(seed: int, model: str, tree: int, node: int, draw: int) -> float:
-    """A number in [0, 1) that depends on nothing but the place in the forest."""
-    x = (seed * 0x9E3779B97F4A7C15 + zlib.crc32(model.encode()) * 0xC2B2AE3D27D4EB4F
-         + tree * 0x165667B19E3779F9 + node * 0xD6E8FEB86659FD93 + draw) & (2**64 - 1)
+def _uniform(seed: int, model, tree, node, draw: int) -> np.ndarray:
+    """Numbers in [0, 1) that depend on nothing but the place in the forest (a 64-bit mix of its coordinates)."""
+    word = lambda v: np.atleast_1d(np.asarray(v)).astype(np.uint64)
+    x = (word(node) * np.uint64(0xD6E8FEB86659FD93) + word(tree) * np.uint64(0x165667B19E3779F9)
+         + word(model) * np.uint64(0xC2B2AE3D27D4EB4F) + word(seed) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(draw))
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = ((x ^ (x >> shift)) * factor) & (2**64 - 1)
-    return ((x ^ (x >> 31)) >> 11) / 2.0**53
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53
 
 
-def _choose_split(low, high, seed: int, model: str, tree: int, node: int):
-    """Uniform feature among those that vary, uniform threshold in its range; None when nothing varies."""
-    varying = np.flatnonzero(high > low)
-    if varying.size == 0:
-        return None
-    f = int(varying[int(_uniform(seed, model, tree, node, 1) * varying.size)])
-    a, b = float(low[f]), float(high[f])
+def _model_number(model: str) -> int:
+    return zlib.crc32(model.encode())
+
+
+def _choose_splits(low: np.ndarray, high: np.ndarray, seed: int, model, tree, node):
+    """Per node a uniform feature among those that vary (-1 when none does) and a uniform threshold in its range."""
+    varying = high > low
+    n_varying = varying.sum(axis=1)
+    pick = (_uniform(seed, model, tree, node, 1) * n_varying).astype(np.int64)
+    feature = (varying.cumsum(axis=1) > pick[:, None]).argmax(axis=1)
+    at = np.arange(len(feature))
+    a, b = low[at, feature].astype(float), high[at, feature].astype(float)
     threshold = a + _uniform(seed, model, tree, node, 2) * (b - a)
-    return f, threshold if threshold < b else a
+    return np.where(n_varying > 0, feature, -1), np.where(threshold < b, threshold, a)
 
 
 def build_subtree(x: np.ndarray, seed: int, model: str, tree: int, limit: int, root: int = 1,
-                  depth: int = 0) -> list[tuple]:
-    """Node rows of the tree below `root`, for the rows of one (bounded) sample."""
-    out, open_nodes = [], [(root, depth, np.arange(len(x)))]
-    while open_nodes:
-        node, d, rows = open_nodes.pop()
+                  depth: int = 0) -> pd.DataFrame:
+    """Node rows of the tree below `root` for the rows of one (bounded) sample, a whole level at a time."""
+    levels = []
+    nodes, rows, starts = np.array([root], dtype=np.int64), np.arange(len(x)), np.array([0])
+    while len(nodes):
         part = x[rows]
-        split = None
-        if d < limit and len(rows) > 1:
-            split = _choose_split(part.min(axis=0), part.max(axis=0), seed, model, tree, node)
-        if split is None:
-            out.append((model, tree, node, d, True, None, None, None, None, len(rows)))
-            continue
-        f, threshold = split
-        out.append((model, tree, node, d, False, f, threshold, 2 * node, 2 * node + 1, len(rows)))
-        goes_left = part[:, f] <= threshold
-        open_nodes.append((2 * node, d + 1, rows[goes_left]))
-        open_nodes.append((2 * node + 1, d + 1, rows[~goes_left]))
-    return out
-
-
-_NODE_COLUMNS = [c.split()[0] for c in NODES.split(", ")]
-
-
-def _node_frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=_NODE_COLUMNS)
-    return frame.astype({"feature": "Int32", "threshold": "Float64", "left": "Int64", "right": "Int64"})
+        counts = np.diff(starts, append=len(rows))
+        low, high = np.minimum.reduceat(part, starts, axis=0), np.maximum.reduceat(part, starts, axis=0)
+        feature, threshold = _choose_splits(low, high, seed, _model_number(model), tree, nodes)
+        splits = (feature >= 0) & (counts > 1) & (depth < limit)
+        levels.append((nodes, np.full(len(nodes), depth), splits, feature, threshold, counts))
+        # Rows of split nodes, grouped by child; the least and the greatest value make both children non-empty.
+        place = np.repeat(np.arange(len(nodes)), counts)
+        inside = splits[place]
+        place, rows, part = place[inside], rows[inside], part[inside]
+        goes_right = part[np.arange(len(rows)), feature[place]] > threshold[place]
+        child = 2 * place + goes_right
+        order = np.argsort(child, kind="stable")
+        rows, child = rows[order], child[order]
+        starts = np.flatnonzero(np.diff(child, prepend=-1))
+        nodes = 2 * nodes[child[starts] // 2] + child[starts] % 2
+        depth += 1
+    return _node_frame(model, tree, *[np.concatenate(c) for c in zip(*levels)])
+
+
+def _node_frame(model, tree, nodes, depth, splits, feature, threshold, counts) -> pd.DataFrame:
+    """Node rows; what only a split has is missing for a leaf."""
+    blank = lambda v, kind: pd.Series(v).astype(kind).mask(~splits)
+    return pd.DataFrame({
+        "model": model, "tree_id": tree, "node_id": nodes, "depth": depth, "is_leaf": ~splits,
+        "feature": blank(feature, "Int32"), "threshold": blank(threshold, "Float64"),
+        "left": blank(2 * nodes, "Int64"), "right": blank(2 * nodes + 1, "Int64"), "n_samples": counts,
+    })
 
 
 # Sampling ------------------------------------------------------------------------------------------------------
@@ -203,7 +216,7 @@ def _build_in_tasks(state: DataFrame, limits: dict[str, int], features: list[str
         model, tree = frame["model"].iloc[0], int(frame["tree_id"].iloc[0])
         node, depth = int(frame["node_id"].iloc[0]), int(frame["depth"].iloc[0])
         x = frame[features].to_numpy(dtype=np.float32)
-        return _node_frame(build_subtree(x, seed, model, tree, limits[model], node, depth))
+        return build_subtree(x, seed, model, tree, limits[model], node, depth)
 
     return state.groupBy("model", "tree_id", "node_id").applyInPandas(build, NODES)
 
@@ -215,17 +228,13 @@ def _split_rows(stats: DataFrame, limits: dict[str, int], features: list[str], s
         for frame in frames:
             low = frame[[f"lo_{f}" for f in features]].to_numpy(dtype=np.float32)
             high = frame[[f"hi_{f}" for f in features]].to_numpy(dtype=np.float32)
-            out = []
-            for i, (model, tree, node, depth, n) in enumerate(
-                    zip(frame["model"], frame["tree_id"], frame["node_id"], frame["depth"], frame["n"])):
-                split = None
-                if depth < limits[model] and n > 1:
-                    split = _choose_split(low[i], high[i], seed, model, int(tree), int(node))
-                if split is None:
-                    out.append((model, tree, node, depth, True, None, None, None, None, n))
-                elif n > subtree_rows:
-                    out.append((model, tree, node, depth, False, *split, 2 * node, 2 * node + 1, n))
-            yield _node_frame(out)
+            numbers = frame["model"].map(_model_number).to_numpy()
+            tree, node = frame["tree_id"].to_numpy(), frame["node_id"].to_numpy()
+            feature, threshold = _choose_splits(low, high, seed, numbers, tree, node)
+            depth, n = frame["depth"].to_numpy(), frame["n"].to_numpy()
+            splits = (feature >= 0) & (n > 1) & (depth < frame["model"].map(limits).to_numpy())
+            rows = _node_frame(frame["model"].to_numpy(), tree, node, depth, splits, feature, threshold, n)
+            yield rows[~splits | (n > subtree_rows)]
 
     return stats.mapInPandas(decide, NODES)
 

@@ -684,7 +684,7 @@ def audit_view(spark, sf):
 def _change_events(spark, sf):
     named = F.concat(F.lit('{"functionName":"f'), F.expr("substring(event_id, 2)"), F.lit('","memory":128}'))
     params = F.when(F.col("event_name") == "RunInstances", named).otherwise(F.col("request_parameters"))
-    return trail(spark, sf).withColumn("request_parameters", params)
+    return trail(spark, sf, heavy=True).withColumn("request_parameters", params)
 
 
 _TIME = "strftime(event_time, '%Y-%m-%dT%H:%M:%S')"
@@ -791,7 +791,7 @@ def prompt_rows(spark, sf):
 
 
 def _decided(spark, sf):
-    t = trail(spark, sf)
+    t = trail(spark, sf, heavy=True)
     decision = F.when(F.col("error_code") == "AccessDenied", "genuine_bug").otherwise("known_change")
     severity = F.element_at(F.array(*[F.lit(s) for s in ("P1", "P2", "P3", "P9")]),
                             (F.expr("substring(event_id, 2)").cast("bigint") % 4 + 1).cast("int"))

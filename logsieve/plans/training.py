@@ -71,12 +71,11 @@ def search_trials(df: DataFrame, key: str, trials: list[tuple], label: str = LAB
         forest = fit_forest(split.filter("is_train"), key, max(prefixes), samples, None, seed, features_used)
         scored = score_samples(split, forest, prefixes, "_scores").select(
             "is_train", F.col(label).cast("int").alias("_y"), "_scores").persist()
-        trained = scored.filter("is_train")
-        cuts = {}
-        for i, n in enumerate(prefixes):
-            asked = sorted({t[2] for t in mine if t[1] == n})
-            values = exact_quantiles(trained.select(F.col("_scores")[i].alias("v")), "v", asked)[0]
-            cuts.update({(n, c): v for c, v in zip(asked, values)})
+        # One search for the thresholds of all trials: every prefix is a group of its own.
+        trained = scored.filter("is_train").select(F.posexplode("_scores").alias("at", "v"))
+        asked = sorted({t[2] for t in mine})
+        cuts = {(prefixes[at], c): v for at, values in exact_quantiles(trained, "v", asked, "at").items()
+                for c, v in zip(asked, values)}
         rows = [(t[0], prefixes.index(t[1]), cuts[(t[1], t[2])]) for t in mine]
         table = F.array(*[F.struct(F.lit(t).alias("trial_id"), F.lit(i).alias("at"), F.lit(cut).alias("cut"))
                           for t, i, cut in rows])
