@@ -31,7 +31,9 @@ def anti_join(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     """
     own = F.pmod(F.xxhash64(*df.columns, F.spark_partition_id()), F.lit(2**62)) + 1
     left = df.withColumn("_salt", F.when(F.col(key).isNull(), own).otherwise(F.lit(0).cast("bigint"))).alias("l")
-    right = other.filter(F.col(key).isNotNull()).select(key, F.lit(0).cast("bigint").alias("_salt")).alias("r")
+    # Always 0, but not a literal: the optimiser would take a literal out of the join key.
+    zero = F.pmod(F.xxhash64(key), F.lit(1).cast("bigint"))
+    right = other.filter(F.col(key).isNotNull()).select(key, zero.alias("_salt")).alias("r")
     same = F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")) & (F.col("l._salt") == F.col("r._salt"))
     return left.join(right, same, "left_anti").drop("_salt")
 

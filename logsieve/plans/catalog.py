@@ -36,6 +36,7 @@ from logsieve.plans.federated import federated_rounds
 from logsieve.plans.training import SearchSpace, current_stages, draw_trials, search_trials, serving_version
 from logsieve.schema import INDEXED_CHANGE_NAMES, LABEL, LOOKUP_CHANGE_NAMES
 from logsieve.session import shared_dir, store
+from logsieve.sources.json_logs import all_events, read_documents
 from logsieve.sources.tables import read_runs, retained, spread
 from logsieve.streaming.batches import read_batches, start, write_batch
 from logsieve.streaming.scoring import attempt_status
@@ -243,6 +244,27 @@ def feature_table_serving(spark, sf):
     return features(trail(spark, sf, heavy=True), SERVE, FLAT, keep=("event_id",))
 
 
+@query(f"WITH {TRAIL} {_features_sql(_RANGE_IP, '(isodow(event_time) - 1)', 0, _HASHED)}")
+def ingested_features(spark, sf):
+    """The trail written as log lines, flat ones and wrapped ones, and read back: the features must be the same."""
+    t = trail(spark, sf, heavy=True)
+    event = F.struct(
+        F.col("event_id").alias("eventID"), F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("eventTime"),
+        F.col("event_name").alias("eventName"), F.col("event_source").alias("eventSource"),
+        F.col("region").alias("awsRegion"), F.col("error_code").alias("errorCode"),
+        F.struct(F.col("identity_type").alias("type"), F.col("principal").alias("arn")).alias("userIdentity"),
+        F.col("management_event").alias("managementEvent"), F.col("read_only").alias("readOnly"),
+        F.col("source_ip").alias("sourceIPAddress"), F.col("user_agent").alias("userAgent"),
+        F.col("event_version").alias("eventVersion"), F.try_parse_json("request_parameters").alias("requestParameters"))
+    wrapped = F.concat(F.lit('{"Records":['), F.to_json(event), F.lit("]}"))
+    line = F.when(F.col("event_name") == "CreateUser", wrapped).otherwise(F.to_json(event))
+    out = f"{_work(spark)}/cloudtrail.json"
+    t.select(line.alias("value")).write.option("compression", "gzip").text(out)
+    # The writer names its files .txt.gz; the reader takes lines of any name below the path.
+    lines = read_documents(spark, out, multiline=False, glob="*")
+    return features(all_events(lines), CANONICAL, keep=("eventID",)).withColumnRenamed("eventID", "event_id")
+
+
 _RANKED = ", ".join(f"(DENSE_RANK() OVER (ORDER BY {c}) - 1)::BIGINT AS {c}_enc" for c in CATEGORICAL)
 
 
