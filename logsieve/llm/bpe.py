@@ -9,6 +9,7 @@ sides) the text is cut at white space only, and failing that the library gets it
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import tokenizers
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")    # tasks are the parallelism
 
 MARK = "\x01"               # stands at the cuts; texts that hold it go to the library whole
-CACHE_PARTS = 400_000       # distinct parts that a process holds; beyond, it forgets the later half
+CACHE_PARTS = 600_000       # distinct parts that a process holds; beyond, it forgets the later half
 _EMPTY, _SPACE, _ALNUM, _OTHER = range(4)
 _LATIN_END = "ɐ"
 
@@ -30,6 +31,10 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
 
 
+def _kind(c: str) -> int:
+    return _EMPTY if not c else _SPACE if c.isspace() and not "\x1c" <= c <= "\x1f" else _ALNUM if c.isalnum() else _OTHER
+
+
 class Encoder:
     """`encode(texts)` gives the ids of all texts and where each text's begin.
 
@@ -41,7 +46,7 @@ class Encoder:
         self.tokenizer, self.byte = tokenizers.Tokenizer.from_file(path), kind == "byte"
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.codes: dict[str, int] = {}
-        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.first, self.last = np.zeros(0, np.int8), np.zeros(0, np.int8)
 
     def _forget(self) -> None:
@@ -55,36 +60,44 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
 
-    def _ids(self, parts: list[str]) -> list[list[int]]:
-        """Ids of parts; a run of Latin letters is one word to the tokenizer, so its model gets it directly."""
+    def _ids(self, parts: list[str]) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+        """(ids, kind of the first character, kind of the last) of parts.
+
+        A run of Latin letters is one word to the tokenizer, so its model gets it directly.
+        """
         out: list = [None] * len(parts)
-        rest, model, byte, letters = [], self.model.tokenize, self.byte, self.letters
+        first, last = np.full(len(parts), _ALNUM, np.int8), np.full(len(parts), _ALNUM, np.int8)
+        rest, spaced, model, byte, letters = [], [], self.model.tokenize, self.byte, self.letters
         for i, part in enumerate(parts):
-            word = part.removeprefix(" ") if byte else part.lower()
-            if word.isalpha():
+            word = part.lstrip(" ") if byte else part.lower()
+            if word.isalpha() and len(part) - len(word) <= 1:
                 if word.isascii():
-                    out[i] = [t.id for t in model("\u0120" + word if byte and len(word) < len(part) else word)]
+                    plain = word if len(word) == len(part) else "\u0120" + word
+                elif max(word) < _LATIN_END:
+                    plain = (part if byte else word).encode().decode("latin-1").translate(letters)
+                else:
+                    rest.append(i)
                     continue
-                if max(word) < _LATIN_END:
-                    out[i] = [t.id for t in model((part if byte else word).encode().decode("latin-1").translate(letters))]
-                    continue
-            rest.append(i)
+                if byte and len(word) < len(part):
+                    spaced.append(i)
+                out[i] = [t.id for t in model(plain)]
+            else:
+                rest.append(i)
+        first[spaced] = _SPACE
         for i, ids in zip(rest, self._whole([parts[i] for i in rest])):
             out[i] = ids
-        return out
+            part = parts[i] if byte else parts[i].lower()
+            first[i], last[i] = _kind(part[:1]), _kind(part[-1:])
+        return out, first, last
 
     def _learn(self, new: list[str]) -> None:
-        def kinds(letters: list[str]) -> np.ndarray:
-            return np.array([_EMPTY if not c else _SPACE if c.isspace() and not "\x1c" <= c <= "\x1f" else _ALNUM if c.isalnum() else _OTHER for c in letters], np.int8)
-
-        ids = self._ids(new)
+        ids, first, last = self._ids(new)
         self.codes.update(zip(new, range(len(self.starts), len(self.starts) + len(new))))
-        lengths = np.array([len(i) for i in ids], np.int64)
-        starts = len(self.flat) + np.cumsum(lengths) - lengths
-        self.flat = np.concatenate([self.flat, np.array([x for i in ids for x in i], np.uint32)])
+        lengths = np.array(list(map(len, ids)), np.int32)
+        starts = (len(self.flat) + np.cumsum(lengths) - lengths).astype(np.int32)
+        self.flat = np.concatenate([self.flat, np.array(list(chain.from_iterable(ids)), np.uint32)])
         self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
-        self.first = np.concatenate([self.first, kinds([p[:1] for p in new])])
-        self.last = np.concatenate([self.last, kinds([(p if self.byte else p.lower())[-1:] for p in new])])
+        self.first, self.last = np.concatenate([self.first, first]), np.concatenate([self.last, last])
 
     def _cut(self, texts: pa.Array, at_stops: bool) -> pa.ListArray:
         cuts = [(" ", MARK + " "), ("\n", f"{MARK}\n{MARK}")] if self.byte else [(" ", MARK), ("\n", MARK)]
@@ -117,19 +130,21 @@ class Encoder:
         cut = self._cut(texts, at_stops)
         parts = cut.flatten().dictionary_encode()
         known = parts.dictionary.to_pylist()
-        get = self.codes.get
-        new = [p for p in known if get(p) is None]
+        own = list(map(self.codes.get, known))
+        new = [p for p, c in zip(known, own) if c is None]
         if new:
+            fresh = iter(range(len(self.starts), len(self.starts) + len(new)))
             self._learn(new)
-        codes = np.array([get(p) for p in known], np.int64)[parts.indices.to_numpy(zero_copy_only=False)]
+            own = [next(fresh) if c is None else c for c in own]
+        codes = np.array(own, np.int32)[parts.indices.to_numpy(zero_copy_only=False)]
         sizes = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
         begins = np.cumsum(sizes) - sizes
         doubt = np.logical_or.reduceat(self._doubtful(codes, begins), begins)
         lengths = self.lengths[codes]
-        ends = np.cumsum(lengths)
+        ends = np.cumsum(lengths, dtype=np.int32)
         # the place of every id: where its part starts, plus its place in the part
-        ids = self.flat[np.repeat(self.starts[codes] - (ends - lengths), lengths) + np.arange(ends[-1])]
-        bounds = np.concatenate([[0], ends[begins + sizes - 1]])
+        ids = self.flat[np.repeat(self.starts[codes] - (ends - lengths), lengths) + np.arange(ends[-1], dtype=np.int32)]
+        bounds = np.concatenate([[0], ends[begins + sizes - 1]]).astype(np.int64)
         marked = pc.match_substring(texts, MARK).to_numpy(zero_copy_only=False)
         redo = np.flatnonzero(doubt | marked)
         if not len(redo):

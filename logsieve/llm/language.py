@@ -24,6 +24,7 @@ BUCKETS = 1 << 15
 WIDTH = 16
 SIZES = (1, 2, 3, 4)        # of the n-grams
 ROWS_PER_LANGUAGE = 200     # the sample that is fitted has about so many labelled texts of each language
+LEAST_STEPS = 300           # of gradient descent, however few the examples
 CHUNK_WORDS = 60            # training examples are so many consecutive words
 ACCURACY = 0.99             # of what is not rejected, on held-back examples
 
@@ -126,7 +127,9 @@ def fit(texts: list[str], langs: list[str], epochs: int = 3, batch: int = 32, ra
         starts = np.concatenate([[0], ends[:-1]])
         sizes = np.bincount(text, minlength=len(train))
         firsts = np.cumsum(sizes) - sizes
-        steps = epochs * -(-len(train) // batch)
+        each = -(-len(train) // batch)
+        epochs = max(epochs, -(-LEAST_STEPS // each))
+        steps = epochs * each
         done = 0
         for _ in range(epochs):
             order = rng.permutation(np.flatnonzero(sizes))

@@ -30,7 +30,7 @@ from logsieve.llm.texts import slices
 from logsieve.session import shared_dir
 
 FILE_TOKENS = 4_000_000     # a file ends with the document that reaches this
-RANGE_BYTES = 64_000_000    # of input that one shard of consecutive documents holds, about
+FILES_PER_TASK = 4          # that a task reads, about
 _HEAD = "<4sIIQQ"
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
 
@@ -186,5 +186,6 @@ def read_tokens(spark: SparkSession, folder: str, digest: bool = False) -> DataF
                 columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(tokens.astype(np.int64)))
             yield pa.RecordBatch.from_pydict(columns)
 
-    manifest = spark.read.schema("name string, docs bigint").parquet(f"{folder}/manifest").select("name").repartition("name")
+    manifest = spark.read.schema("name string, docs bigint").parquet(f"{folder}/manifest").select("name")
+    manifest = manifest.repartition(max(1, manifest.count() // FILES_PER_TASK), "name")     # a few small files hold all names
     return manifest.mapInArrow(read, "doc_id bigint, start bigint, " + ("n_tokens bigint, ids_crc32 bigint" if digest else "ids array<bigint>"))

@@ -1,10 +1,11 @@
 """Toxicity scores of whole texts from a bidirectional gated recurrent network with attention pooling.
 
-A word enters as two vectors side by side: the embedding of its hash and the mean embedding of its character trigrams'
+A word enters as two vectors side by side: the embedding of its hash and the mean embedding of its character n-grams'
 hashes. Two gated recurrent networks read a window of words from both ends, an attention layer weighs the states, and
 a logistic layer scores the weighted sum. A text is cut into overlapping windows, all of them are scored, and the
-highest counts. Only texts have labels, so training picks the windows: at first any window of a toxic text stands for
-it, later those that the network itself scores highest.
+highest counts. Only texts have labels, so training picks the window that stands for a toxic text: at first the one
+with most words that set toxic texts apart, by themselves or by an n-gram, later the one that the network itself scores
+highest. Words and n-grams that few training texts hold have no vector of their own, as unknown ones have none later.
 """
 
 from __future__ import annotations
@@ -21,11 +22,16 @@ from logsieve.llm.language import bag_of_words
 from logsieve.llm.texts import fold, slices
 
 WINDOW, STEP = 48, 32       # words; neighbours overlap by a third
-WORD_BUCKETS, CHAR_BUCKETS = 1 << 13, 1 << 12
+WORD_BUCKETS, CHAR_BUCKETS = 1 << 13, 1 << 14
+NGRAMS = (3, 5)
+APART = 4.0                 # standard errors from which a word or n-gram sets texts apart
 WIDTH, STATE, ATTENTION = 8, 8, 8
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1_000, 2_000      # labelled texts that are fitted, about
-WINDOWS_PER_TEXT = 4        # that an epoch draws
-EPOCHS = 8
+WINDOWS_PER_TEXT = 4        # of a clean text that an epoch draws
+EPOCHS, LEAST_STEPS = 8, 300
+KNOWN_TEXTS = 3             # training texts that must hold a word for it to be known
+FORGET = 0.1                # share of known words that a training step treats as unknown
+DECAY = 0.02                # pull of all weights to zero, per unit of learning rate
 PREDICT_AT = 0.7
 
 
@@ -35,7 +41,7 @@ def _mix(h: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hash, trigram hashes word by word, where each word's trigrams end)."""
+    """(word hash, n-gram hashes word by word, where each word's n-grams end); bucket 0 is for what is unknown."""
     marked = [f"<{w}>" for w in words]
     chars = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64)
     lengths = np.array([len(m) for m in marked], np.int64)
@@ -44,11 +50,19 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     for j in range(int(lengths.max()) if len(words) else 0):
         has = lengths > j
         whole[has] = _mix(whole[has], chars[(ends - lengths)[has] + j])
-    at = np.flatnonzero(np.repeat(ends, lengths) - np.arange(len(chars)) >= 3)
-    h = np.full(len(at), 0x9E3779B97F4A7C15, np.uint64)
-    for j in range(3):
-        h = _mix(h, chars[at + j])
-    return (whole % np.uint64(WORD_BUCKETS)).astype(np.int64), (h % np.uint64(CHAR_BUCKETS)).astype(np.int64), np.cumsum(lengths - 2)
+    owner, left = np.repeat(np.arange(len(words)), lengths), np.repeat(ends, lengths) - np.arange(len(chars))
+    owners, hashes = [], []
+    for n in NGRAMS:
+        at = np.flatnonzero(left >= n)
+        h = np.full(len(at), 0x9E3779B97F4A7C15 + n, np.uint64)
+        for j in range(n):
+            h = _mix(h, chars[at + j])
+        owners.append(owner[at])
+        hashes.append(h)
+    owner, h = np.concatenate(owners), np.concatenate(hashes)
+    order = np.argsort(owner, kind="stable")
+    return ((whole % np.uint64(WORD_BUCKETS - 1)).astype(np.int64) + 1, (h[order] % np.uint64(CHAR_BUCKETS - 1)).astype(np.int64) + 1,
+            np.cumsum(np.bincount(owner, minlength=len(words))))
 
 
 def windows_of(number: np.ndarray, text: np.ndarray, texts: int, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,24 +83,27 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """Parameters and both passes; `p` maps names to arrays."""
+    """Parameters and both passes; `p` maps names to arrays, `known` and `known_grams` mark the hashes of known words and n-grams."""
 
     def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
         d, s = 2 * WIDTH, STATE
+        self.known, self.known_grams = np.ones(WORD_BUCKETS, bool), np.ones(CHAR_BUCKETS, bool)
 
         def start(*shape, scale=None):
             return rng.normal(0, scale or shape[0] ** -0.5, shape).astype(np.float32)
 
-        self.p = {"words": start(WORD_BUCKETS, WIDTH, scale=0.1), "chars": start(CHAR_BUCKETS, WIDTH, scale=0.3),
+        self.p = {"words": start(WORD_BUCKETS, WIDTH, scale=0.1), "chars": start(CHAR_BUCKETS, WIDTH, scale=0.1),
                   "attend": start(2 * s, ATTENTION), "attend_bias": np.zeros(ATTENTION, np.float32), "look": start(ATTENTION, scale=0.3),
                   "out": start(2 * s, scale=0.3), "out_bias": np.full(1, -1, np.float32)}
         for way in ("ahead", "back"):
             self.p |= {f"{way}_in": start(d, 3 * s), f"{way}_bias": np.zeros(3 * s, np.float32), f"{way}_state": start(s, 3 * s)}
 
-    def inputs(self, words: list[str]) -> tuple[np.ndarray, tuple]:
+    def inputs(self, words: list[str], forget: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
         """The input vector of each word, a zero row for padding after them, and what the way back needs."""
         whole, grams, ends = word_features(words)
+        whole = np.where(self.known[whole] if forget is None else self.known[whole] & ~forget, whole, 0)
+        grams = np.where(self.known_grams[grams], grams, 0)
         starts = np.concatenate([[0], ends[:-1]])
         mean = np.add.reduceat(self.p["chars"][grams], starts, axis=0) / (ends - starts)[:, None]
         x = np.concatenate([self.p["words"][whole], mean], axis=1)
@@ -125,10 +142,11 @@ class Network:
             keep |= {"steps": steps, "both": both, "seen": seen, "a": a, "pooled": pooled, "mask": mask}
         return pooled @ p["out"] + p["out_bias"][0]
 
-    def gradients(self, words: list[str], codes: np.ndarray, length: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[dict, float]:
+    def gradients(self, words: list[str], codes: np.ndarray, length: np.ndarray, y: np.ndarray, weight: np.ndarray,
+                  forget: np.ndarray | None = None) -> tuple[dict, float]:
         """Gradients of the weighted mean log loss, and the loss."""
         p, s, keep = self.p, STATE, {}
-        x, (whole, grams, starts, ends) = self.inputs(words)
+        x, (whole, grams, starts, ends) = self.inputs(words, forget)
         logit = self.forward(x, codes, length, keep)
         q = sigmoid(logit)
         loss = float(-(weight * np.log(np.where(y > 0, q, 1 - q) + 1e-9)).sum())
@@ -193,7 +211,17 @@ class Model:
         return np.where(np.isfinite(z), sigmoid(self.slope * np.where(np.isfinite(z), z, 0.0) + self.shift), 0.0)
 
 
-def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 11, rate: float = 0.01) -> Model:
+def apart(bucket: np.ndarray, text: np.ndarray, y: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(how far each bucket's share of toxic texts is from that of clean ones, in standard errors; texts that hold it)."""
+    pairs = np.unique(bucket * len(y) + text)
+    bucket, of = pairs // len(y), pairs % len(y)
+    held, bad = np.bincount(bucket, minlength=buckets), np.bincount(bucket, y[of], buckets)
+    share, good = held / len(y), held - bad
+    error = np.sqrt(share * (1 - share) * (1 / y.sum() + 1 / (len(y) - y.sum()))) + 1e-9
+    return np.where(held >= KNOWN_TEXTS, (bad / y.sum() - good / (len(y) - y.sum())) / error, 0.0), held
+
+
+def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 11, rate: float = 0.01, batch: int = 128) -> Model:
     """Trains on four fifths of the texts, calibrates on the rest."""
     rng = np.random.default_rng(seed)
     y, column = np.array(toxic, np.float32), pa.array(texts, pa.large_string())
@@ -203,36 +231,52 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 11
         model.slope, model.shift = 0.0, 9.0 if len(y) and y.min() == 1 else -9.0
         return model
     held = rng.random(len(texts)) < 0.2
+    whole, grams, ends = word_features(words)
+    mine = ~held[text]
+    renumber = np.cumsum(~held) - 1
+    n, at = number[mine], renumber[text[mine]]
+    by_word, holders = apart(whole[n], at, y[~held], WORD_BUCKETS)
+    pair = np.unique(n * len(y) + at)               # a word counts once a text
+    n, at = pair // len(y), pair % len(y)
+    counts = np.diff(ends, prepend=0)
+    of_word = np.repeat(ends[n] - np.cumsum(counts[n]), counts[n]) + np.arange(counts[n].sum())
+    by_gram, gram_holders = apart(grams[of_word], np.repeat(at, counts[n]), y[~held], CHAR_BUCKETS)
+    model.network.known, model.network.known_grams = holders >= KNOWN_TEXTS, gram_holders >= KNOWN_TEXTS
+    # the first number of a vector starts as what its word or n-gram alone tells
+    model.network.p["words"][:, 0] = np.clip(by_word / APART, -1, 3)
+    model.network.p["chars"][:, 0] = np.clip(by_gram / APART, -1, 3)
+    distance = np.maximum(by_word[whole], np.maximum.reduceat(by_gram[grams], ends - counts))
     codes, length, of = windows_of(number, text, len(texts), len(words))
+    score = np.append(np.maximum(distance - APART, 0), 0)[codes].sum(axis=1)
     mean = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.network.p.items()}
-    score, done = rng.random(len(codes)), 0
+    windows = int(np.minimum(np.bincount(of[~held[of]]), WINDOWS_PER_TEXT).sum())
+    epochs = max(epochs, -(-LEAST_STEPS * batch // max(1, windows)))
+    done = 0
     for epoch in range(epochs):
-        # windows of an epoch: of a toxic text those scored highest (any, at first), of a clean text any
-        rank = np.where((y[of] > 0) & (epoch > 1), -score, rng.random(len(codes)))
+        # an epoch takes the highest window of a toxic text, and any few of a clean one
+        rank = np.where(y[of] > 0, -score, rng.random(len(codes)))
         order = np.lexsort((rank, of))
-        first = np.searchsorted(of[order], of[order])
-        nth = np.arange(len(order)) - first
-        take = np.where(y[of[order]] > 0, nth < (1 if epoch > 1 else WINDOWS_PER_TEXT), nth < WINDOWS_PER_TEXT)
-        chosen = order[take & ~held[of[order]]]
+        nth = np.arange(len(order)) - np.searchsorted(of[order], of[order])
+        chosen = order[(nth < np.where(y[of[order]] > 0, 1, WINDOWS_PER_TEXT)) & ~held[of[order]]]
         rng.shuffle(chosen)
-        share = y[of[chosen]].mean()
-        for a in range(0, len(chosen), 128):
-            rows = chosen[a:a + 128]
+        share = max(float(y[of[chosen]].mean()), 1e-6)
+        for a in range(0, len(chosen), batch):
+            rows = chosen[a:a + batch]
             own, local = np.unique(codes[rows], return_inverse=True)
             own = own[own < len(words)]
             label = y[of[rows]]
-            weight = np.where(label > 0, 0.35 / max(share, 1e-6), 0.65 / max(1 - share, 1e-6)) / len(rows)
-            grads, _ = model.network.gradients([words[i] for i in own], local.reshape(len(rows), -1), length[rows], label, weight)
+            weight = np.where(label > 0, 0.4 / share, 0.6 / max(1 - share, 1e-6)) / len(rows)
+            grads, _ = model.network.gradients([words[i] for i in own], local.reshape(len(rows), -1), length[rows], label, weight, rng.random(len(own)) < FORGET)
             done += 1
             step = rate * (1 - epoch / epochs)
-            for k, g in grads.items():                                      # Adam
+            for k, g in grads.items():                                      # Adam, with decay
                 m, v = mean[k]
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                model.network.p[k] -= step * (m / (1 - 0.9 ** done)) / (np.sqrt(v / (1 - 0.99 ** done)) + 1e-7)
-        if epoch >= 1:
+                model.network.p[k] -= step * ((m / (1 - 0.9 ** done)) / (np.sqrt(v / (1 - 0.99 ** done)) + 1e-7) + DECAY * model.network.p[k])
+        if epoch >= epochs // 2:
             x, _ = model.network.inputs(words)
-            positive = np.flatnonzero(y[of] > 0)
+            positive = np.flatnonzero((y[of] > 0) & ~held[of])
             for a in range(0, len(positive), 1024):
                 at = positive[a:a + 1024]
                 score[at] = model.network.forward(x, codes[at], length[at])
@@ -240,18 +284,21 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 11
 
 
 def calibrate(model: Model, texts: pa.Array, y: np.ndarray) -> Model:
-    """Slope and shift of least log loss on held-back texts, by Newton's method with a weak pull to slope 1."""
+    """Slope and shift of least log loss on held-back texts; the shift makes the mean score the share of toxic texts."""
     z = model.highest(texts)
     y, z = y[np.isfinite(z)], z[np.isfinite(z)]
     if not len(y) or y.min() == y.max():
         return model
-    x, b = np.stack([z, np.ones_like(z)], axis=1), np.array([1.0, 0.0])
-    for _ in range(25):
-        q = sigmoid(x @ b)
-        grad = x.T @ (q - y) + 0.5 * (b - [1.0, 0.0])
-        hess = (x * (q * (1 - q))[:, None]).T @ x + 0.5 * np.eye(2)
-        b = b - np.linalg.solve(hess, grad)
-    model.slope, model.shift = max(float(b[0]), 0.05), float(b[1])
+    best = np.inf
+    for slope in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0):
+        low, high = -60.0, 60.0
+        for _ in range(50):
+            shift = (low + high) / 2
+            low, high = (shift, high) if sigmoid(slope * z + shift).mean() < y.mean() else (low, shift)
+        q = np.clip(sigmoid(slope * z + shift), 1e-6, 1 - 1e-6)
+        loss = -(y * np.log(q) + (1 - y) * np.log(1 - q)).mean()
+        if loss < best:
+            best, model.slope, model.shift = loss, slope, shift
     return model
 
 
