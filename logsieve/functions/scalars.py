@@ -71,7 +71,8 @@ def json_len(c: Column | str, compact: bool = False, ascii_escapes: bool = True)
         return F.when(F.octet_length(j) == F.length(j), 0).otherwise(5 * beyond_ascii + 6 * beyond_plane)
 
     def printed(j: Column) -> Column:
-        skeleton = F.regexp_replace(j, r'"(\\.|[^"\\])*"', "S")
+        # Two flat loops: an alternation inside a repeated group would recurse once per character.
+        skeleton = F.regexp_replace(F.regexp_replace(j, r"(?s)\\.", ""), r'"[^"]*"', "S")
         separators = let(skeleton, lambda s: F.length(s) - F.length(F.translate(s, ",:", "")))
         n = F.length(j) + separators
         return n + escapes(j) if ascii_escapes else n
@@ -88,11 +89,15 @@ def _escape(char: Column) -> Column:
     return F.when(code < 128, char).when(code < 0x10000, unit(code)).otherwise(pair)
 
 
+# A JSON string, matched without backtracking and so without recursion, however long it is.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
 def printed_json(c: Column | str, compact: bool = False) -> Column:
     """A JSON document printed with `", "` and `": "` separators and ASCII escapes."""
     j = col(c) if compact else compact_json(c)
-    spaced = F.regexp_replace(j, r'("(?:\\.|[^"\\])*")|([,:])', "$1$2 ")
-    spaced = F.rtrim(F.regexp_replace(spaced, r'("(?:\\.|[^"\\])*") (?=[,:}\]])', "$1"))
+    spaced = F.regexp_replace(j, rf"(?s)({_STRING})|([,:])", "$1$2 ")
+    spaced = F.rtrim(F.regexp_replace(spaced, rf"(?s)({_STRING}) (?=[,:}}\]])", "$1"))
     escaped = F.array_join(F.transform(F.split(spaced, ""), _escape), "")
     return F.when(spaced.rlike(r"[^\x00-\x7F]"), escaped).otherwise(spaced)
 

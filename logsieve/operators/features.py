@@ -48,13 +48,15 @@ class Dialect:
     mfa_any_case: bool = True
     console_by: str = "agent"         # "agent" or "type"
     private_by: str = "range"         # "range" or "prefix"
+    hour_by: str = "time"             # "time" or "characters" 11 to 13 of the text, whatever its end looks like
 
 
 CANONICAL = Dialect("canonical")
 OFFLINE = Dialect("offline", management_default=True, identity_default="Unknown", capped=False,
                   printed_as="repr", encode="dictionary", bad_time_weekday=3, console_by="type")
 TRAIN = Dialect("train", mfa_any_case=False, private_by="prefix")
-SERVE = Dialect("serve", empty_json_len=2, weekday="zero", mfa_any_case=False, private_by="prefix")
+SERVE = Dialect("serve", empty_json_len=2, weekday="zero", mfa_any_case=False, private_by="prefix",
+                hour_by="characters")
 
 
 def member_columns(df: DataFrame, layout: dict[str, str] = CLOUDTRAIL) -> dict[str, Column]:
@@ -80,11 +82,20 @@ def _capped(c: Column, limit: int, dialect: Dialect) -> Column:
 
 
 def _document_len(c: Column, dialect: Dialect, compact: bool) -> Column:
-    empty = c.isNull() | F.trim(c).isin("", "{}", "[]", "null", '""')
+    # A length that is counted on the printed value counts the two brackets of an empty document.
+    blank = ["", "null", '""'] + ["{}", "[]"] * (dialect.printed_as == "json")
+    empty = c.isNull() | F.trim(c).isin(*blank)
     n = json_len(c, compact=compact, ascii_escapes=dialect.printed_as == "json")
     return _capped(F.when(empty, dialect.empty_json_len).otherwise(n), 5000, dialect)
 
 
+def _hour(df: DataFrame, ts: Column, dialect: Dialect, layout: dict[str, str]) -> Column:
+    path = layout["event_time"]
+    if dialect.hour_by == "time" or path in df.columns and df.schema[path].dataType.typeName() != "string":
+        return F.hour(ts)
+    return F.substring(F.col(path), 12, 2).try_cast("int")
+
+
 def feature_columns(df: DataFrame, dialect: Dialect = CANONICAL, layout: dict[str, str] = CLOUDTRAIL,
                     compact_json: bool = False) -> dict[str, Column]:
     """Feature name to column expression, all of them built-in expressions over one row."""
@@ -101,7 +112,7 @@ def feature_columns(df: DataFrame, dialect: Dialect = CANONICAL, layout: dict[st
     columns = {
         "is_error": (text(m["error_code"]) != "").cast("int"),
         "is_root": (identity == "Root").cast("int"),
-        "hour": F.coalesce(F.hour(ts), F.lit(0)),
+        "hour": F.coalesce(_hour(df, ts, dialect, layout), F.lit(0)),
         "day_of_week": weekday,
         "is_mgmt_event": F.coalesce(m["management_event"], F.lit(dialect.management_default)).cast("int"),
         "is_read_only": F.coalesce(m["read_only"], F.lit(False)).cast("int"),

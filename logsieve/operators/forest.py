@@ -314,7 +314,7 @@ def fit_forest(df: DataFrame, key: str, n_estimators: int = 100, max_samples: st
         scored = score_samples(df, forest).select(
             *([by] if by else []), F.col("score_sample"))
         cuts = contamination_threshold(scored.persist(), contamination, "score_sample", by)
-        forest.offsets = {str(m): v for m, v in cuts.items()} if by else {ONE_MODEL: cuts}
+        forest.offsets = {str(r[by]): r["threshold"] for r in cuts.collect()} if by else {ONE_MODEL: cuts}   # a row per model
         scored.unpersist()
     return forest
 

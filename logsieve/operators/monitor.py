@@ -98,11 +98,7 @@ def histogram_quantile(buckets: DataFrame, quantiles: list[float], by: list[str]
 def latency_quantiles(df: DataFrame, value: str, quantiles: list[float], by: str | None = None,
                       method: str = "linear") -> DataFrame:
     """Exact quantiles of raw samples per group; `index` takes the sorted sample at position int(n * q)."""
-    found = exact_quantiles(df, value, quantiles, by, method)
-    kind = df.schema[by].dataType.simpleString() if by else "int"
-    rows = [(g, float(q), float(v)) for g, values in found.items() for q, v in zip(quantiles, values)]
-    out = df.sparkSession.createDataFrame(rows, f"{by or 'g'} {kind}, quantile double, value double")
-    return out if by else out.drop("g")
+    return exact_quantiles(df, value, quantiles, by, method)
 
 
 # Counters and gauges -------------------------------------------------------------------------------------------

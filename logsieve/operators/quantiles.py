@@ -1,133 +1,108 @@
 """Exact order statistics without a global sort.
 
-A histogram over the current bracket finds the bin that holds the wanted rank; the bracket shrinks to that bin
-until few rows are left in it. Each pass is one aggregation with map-side combine whose result has at most
-groups x BINS rows, so no task and no driver step ever holds the data, however many rows share a value.
+A histogram over the current bracket of a group finds the bin that holds a wanted rank; the bracket shrinks to that bin
+until the rank is at one of its ends or all its values are equal. Each pass is one aggregation with map-side combine
+and a window over at most BINS rows a bracket. Brackets, bins and results are tables: the driver sees one bit a pass,
+and neither the number of groups nor of rows that share a value is bounded.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logsieve.session import store
+
 BINS = 2048
-FEW_ROWS = 20_000
-MAX_GROUPS = 10_000
-
-
-def _positions(n: int, q: float, method: str) -> tuple[int, int, float]:
-    """Zero-based ranks around the quantile and the weight of the upper one."""
-    if method == "linear":
-        at = q * (n - 1)
-        low = math.floor(at)
-        return low, min(low + 1, n - 1), at - low
-    if method == "index":
-        low = min(int(n * q), n - 1)
-        return low, low, 0.0
-    raise ValueError(f"unknown method {method}")
-
-
-def order_statistics(df: DataFrame, value: str, ranks: dict, by: str | None = None,
-                     bounds: dict | None = None) -> dict:
-    """For each group the values at the given zero-based ranks, as `{group: {rank: value}}`."""
-    spark = df.sparkSession
-    group = F.col(by) if by else F.lit(0)
-    rows = df.select(group.alias("g"), F.col(value).cast("double").alias("v")).filter("v is not null")
-    if bounds is None:
-        bounds = group_bounds(df, value, by)
-    wanted = {g: sorted(set(r)) for g, r in ranks.items() if r}
-    # Open work: (group, low, high, rows below low, ranks looked for between low and high).
-    work = [(g, bounds[g][1], bounds[g][2], 0, r) for g, r in wanted.items()]
-    found: dict = {g: {} for g in wanted}
-    sizes = {(g, bounds[g][1], bounds[g][2]): bounds[g][0] for g in wanted}
-
-    while work:
-        done, small, wide = [], [], []
-        for item in work:
-            g, lo, hi, below, r = item
-            if lo == hi:
-                found[g].update({k: lo for k in r})
-            elif sizes[(g, lo, hi)] <= FEW_ROWS:
-                small.append(item)
-            else:
-                wide.append(item)
-        work = []
-        if small:
-            counts = _in_brackets(spark, rows, small).groupBy("i", "v").count().toPandas()
-            for i, (g, _, _, below, r) in enumerate(small):
-                part = counts[counts["i"] == i].sort_values("v")
-                ends = below + part["count"].cumsum().to_numpy()
-                values = part["v"].to_numpy()
-                found[g].update({k: float(values[(ends > k).argmax()]) for k in r})
-        if wide:
-            bracketed = _in_brackets(spark, rows, wide)
-            width = (F.col("hi") / BINS - F.col("lo") / BINS)
-            place = F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(BINS - 1))
-            bins = (
-                bracketed.withColumn("b", place).groupBy("i", "b")
-                .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-                .toPandas()
-            )
-            for i, (g, _, _, below, r) in enumerate(wide):
-                part = bins[bins["i"] == i].sort_values("b")
-                start = below
-                for n, lo, hi in zip(part["n"], part["lo"], part["hi"]):
-                    inside = [k for k in r if start <= k < start + n]
-                    if inside:
-                        # The first and last value of a bin are known already.
-                        found[g].update({k: lo for k in inside if k == start})
-                        found[g].update({k: hi for k in inside if k == start + n - 1})
-                        open_ranks = [k for k in inside if k not in found[g]]
-                        if open_ranks:
-                            work.append((g, lo, hi, start, open_ranks))
-                            sizes[(g, lo, hi)] = n
-                    start += n
-    return found
-
-
-def _in_brackets(spark, rows: DataFrame, items: list) -> DataFrame:
-    """Rows that fall into one of the open brackets; the brackets are a handful of literal rows."""
-    brackets = spark.createDataFrame(
-        [(i, g, float(lo), float(hi)) for i, (g, lo, hi, _, _) in enumerate(items)],
-        f"i int, g {rows.schema['g'].dataType.simpleString()}, lo double, hi double")
-    joined = rows.join(F.broadcast(brackets), "g")
-    return joined.filter(F.col("v").between(F.col("lo"), F.col("hi")))
-
-
-def group_bounds(df: DataFrame, value: str, by: str | None = None) -> dict:
-    """`{group: (rows, least, greatest)}` over the non-null values."""
-    group = F.col(by) if by else F.lit(0)
-    stats = (
-        df.select(group.alias("g"), F.col(value).cast("double").alias("v")).filter("v is not null")
-        .groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .limit(MAX_GROUPS + 1).collect()
-    )
-    if len(stats) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups: aggregate with percentile_approx instead")
-    return {r["g"]: (r["n"], r["lo"], r["hi"]) for r in stats}
+
+
+def _rows(df: DataFrame, value: str, by: str | None) -> DataFrame:
+    """(g, v): the group, 0 where there are none, and the value of the rows that have one."""
+    return df.select((F.col(by) if by else F.lit(0)).alias("g"), F.col(value).cast("double").alias("v")).filter("v is not null")
+
+
+def _same_group(a: str, b: str = "g") -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def group_sizes(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
+    """(g, n, lo, hi) over the non-null values."""
+    return _rows(df, value, by).groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+
+
+def order_statistics(df: DataFrame, value: str, wanted: DataFrame, by: str | None = None) -> DataFrame:
+    """(g, k, value): for each group the value at the zero-based ranks that `wanted` (g, k) asks for."""
+    rows = _rows(df, value, by)
+    sizes = group_sizes(df, value, by)
+    asked = wanted.filter("k is not null").groupBy(F.col("g").alias("_w")).agg(F.collect_set("k").alias("ks"))
+    # A step holds answers (value set) and brackets that are open (ks set): ranks are counted from `below` rows on.
+    step = store(
+        sizes.join(asked, _same_group("_w")).filter(F.size("ks") > 0)
+        .select("g", "lo", "hi", F.lit(0).cast("bigint").alias("below"), "ks", F.lit(None).cast("bigint").alias("k"),
+                F.lit(None).cast("double").alias("value")))
+    steps = [step]
+    while not step.filter("ks is not null").isEmpty():
+        brackets = step.filter("ks is not null").select(F.col("g").alias("_g"), "lo", "hi", "below", "ks")
+        inside = rows.join(brackets.select("_g", "lo", "hi"), _same_group("_g") & F.col("v").between(F.col("lo"), F.col("hi")))
+        width = F.col("hi") / BINS - F.col("lo") / BINS
+        place = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(BINS - 1))).otherwise(F.lit(0))
+        bins = (
+            inside.groupBy("g", F.col("lo").alias("of"), place.alias("b"))
+            .agg(F.count("*").alias("n"), F.min("v").alias("first"), F.max("v").alias("last")))
+        upto = F.sum("n").over(W.partitionBy("g", "of").orderBy("b"))
+        placed = (
+            bins.withColumn("upto", upto).join(brackets, _same_group("_g") & (F.col("of") == F.col("lo")))
+            .withColumn("start", F.col("below") + F.col("upto") - F.col("n"))
+            .withColumn("mine", F.filter("ks", lambda k: (k >= F.col("start")) & (k < F.col("start") + F.col("n"))))
+            .filter(F.size("mine") > 0))
+        at_end = lambda k: (F.col("first") == F.col("last")) | (k == F.col("start")) | (k == F.col("start") + F.col("n") - 1)
+        answers = F.transform(F.filter("mine", at_end), lambda k: F.struct(
+            F.lit(None).cast("array<bigint>").alias("ks"), k.alias("k"), F.when(k == F.col("start"), F.col("first")).otherwise(F.col("last")).alias("value")))
+        rest = F.filter("mine", lambda k: ~at_end(k))
+        left = F.when(F.size(rest) > 0, F.array(F.struct(
+            rest.alias("ks"), F.lit(None).cast("bigint").alias("k"), F.lit(None).cast("double").alias("value")))).otherwise(F.array().cast("array<struct<ks:array<bigint>,k:bigint,value:double>>"))
+        step = store(
+            placed.select("g", F.col("first").alias("lo"), F.col("last").alias("hi"), F.col("start").alias("below"), F.explode(F.concat(answers, left)).alias("r"))
+            .select("g", "lo", "hi", "below", "r.ks", "r.k", "r.value"))
+        steps.append(step)
+    out = steps[0]
+    for step in steps[1:]:
+        out = out.unionByName(step)
+    return out.filter("k is not null").select("g", "k", "value")
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: list[float], by: str | None = None,
-                    method: str = "linear") -> dict:
-    """`{group: [quantile, ...]}`; `linear` interpolates, `index` takes the value at position int(n * q)."""
-    bounds = group_bounds(df, value, by)
-    places = {g: [_positions(n, q, method) for q in qs] for g, (n, _, _) in bounds.items()}
-    ranks = {g: [k for low, high, _ in p for k in (low, high)] for g, p in places.items()}
-    found = order_statistics(df, value, ranks, by, bounds)
-    return {
-        g: [found[g][low] + (found[g][high] - found[g][low]) * w if w else found[g][low] for low, high, w in p]
-        for g, p in places.items()
-    }
+                    method: str = "linear") -> DataFrame:
+    """(`by`, quantile, value) of each group that has a value, without the first column if there are no groups.
+
+    `linear` interpolates, `index` takes the value at position int(n * q).
+    """
+    if method not in ("linear", "index"):
+        raise ValueError(f"unknown method {method}")
+    places = group_sizes(df, value, by).select(F.col("g").alias("_p"), "n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("quantile"))
+    at = F.col("quantile") * (F.col("n") - 1) if method == "linear" else F.least(F.floor(F.col("n") * F.col("quantile")), F.col("n") - 1)
+    places = store(
+        places.withColumn("at", at).withColumn("low", F.floor("at").cast("bigint"))
+        .withColumn("high", F.least(F.ceil("at").cast("bigint"), F.col("n") - 1)).withColumn("weight", F.col("at") - F.col("low")))
+    wanted = places.select(F.col("_p").alias("g"), F.explode(F.array("low", "high")).alias("k")).distinct()
+    found = order_statistics(df, value, wanted, by)
+    low = found.select(F.col("g").alias("_l"), F.col("k").alias("_lk"), F.col("value").alias("_lv"))
+    high = found.select(F.col("g").alias("_h"), F.col("k").alias("_hk"), F.col("value").alias("_hv"))
+    both = (
+        places.join(low, _same_group("_l", "_p") & (F.col("low") == F.col("_lk")))
+        .join(high, _same_group("_h", "_p") & (F.col("high") == F.col("_hk"))))
+    mixed = F.when(F.col("weight") > 0, F.col("_lv") + (F.col("_hv") - F.col("_lv")) * F.col("weight")).otherwise(F.col("_lv"))
+    return both.select(*([F.col("_p").alias(by)] if by else []), "quantile", mixed.alias("value"))
 
 
 def contamination_threshold(scores: DataFrame, contamination: float, score: str = "score",
-                            by: str | None = None):
-    """Score below which the given share of the training rows lies."""
-    result = exact_quantiles(scores, score, [contamination], by)
+                            by: str | None = None) -> DataFrame | float:
+    """Score below which the given share of the training rows lies: (`by`, threshold), or a number without groups."""
+    found = exact_quantiles(scores, score, [contamination], by)
     if by:
-        return {g: v[0] for g, v in result.items()}
-    if not result:
+        return found.select(by, F.col("value").alias("threshold"))
+    first = found.first()
+    if first is None:
         raise ValueError("no scores to take a threshold from")
-    return result[0][0]
+    return first["value"]

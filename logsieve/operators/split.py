@@ -5,58 +5,80 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logsieve.functions.scalars import unit_hash
 from logsieve.operators.labels import source_matches
-from logsieve.operators.quantiles import group_bounds, order_statistics
+from logsieve.operators.quantiles import group_sizes, order_statistics
+from logsieve.session import store
 
 # Which node holds the events of which services, and the size below which a half split is used.
 NODE_PATTERNS = {"node1": "iam", "node2": "s3|ec2|compute"}
 MIN_NODE_ROWS = 1000
 
 
-def _shares(sizes: dict, total: int) -> dict:
-    """Split `total` over the groups in proportion to their sizes, rest to the largest remainders."""
-    n = sum(sizes.values())
-    exact = {g: size * total / n for g, size in sizes.items()}
-    shares = {g: math.floor(x) for g, x in exact.items()}
-    rest = total - sum(shares.values())
-    for g in sorted(exact, key=lambda g: (shares[g] - exact[g], str(g)))[:rest]:
-        shares[g] += 1
-    return shares
+def _cut(hashed: DataFrame, wanted: DataFrame, by: str | None) -> DataFrame:
+    """(_g, cut, cut2): per group the hash pair up to which exactly k + 1 rows lie, for `wanted` (g, k).
+
+    Rows with the same key have the same first hash. Where a cut falls among such rows the second hash, of the whole
+    row, decides; only copies of a whole row cannot be told apart.
+    """
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    cuts = order_statistics(hashed, "_h", wanted, by).select(F.col("g").alias("_g"), "k", F.col("value").alias("cut"))
+    group = F.col(by) if by else F.lit(0)
+    marked = hashed.select(group.alias("_of"), "_h", "_h2").join(cuts, same("_of", "_g"))
+    ties = store(
+        marked.groupBy("_g", "k", "cut").agg(F.count_if(F.col("_h") < F.col("cut")).alias("under"), F.count_if(F.col("_h") == F.col("cut")).alias("tied")))
+    inside = ties.filter(F.col("under") + F.col("tied") > F.col("k") + 1)
+    if inside.isEmpty():
+        return ties.select("_g", "cut", F.lit(float("inf")).alias("cut2"))
+    tied = marked.join(inside.select(F.col("_g").alias("_t")), same("_g", "_t"), "left_semi").filter(F.col("_h") == F.col("cut"))
+    second = order_statistics(tied, "_h2", inside.select(F.col("_g").alias("g"), (F.col("k") - F.col("under")).alias("k")), "_of")
+    second = second.select(F.col("g").alias("_s"), F.col("value").alias("cut2"))
+    return ties.join(second, same("_g", "_s"), "left").select("_g", "cut", F.coalesce("cut2", F.lit(float("inf"))).alias("cut2"))
+
+
+def _flag(hashed: DataFrame, cuts: DataFrame, by: str | None, column: str) -> DataFrame:
+    group = F.col(by) if by else F.lit(0)
+    joined = hashed.withColumn("_of", group).join(cuts, F.col("_of").eqNullSafe(F.col("_g")), "left")
+    within = (F.col("_h") < F.col("cut")) | (F.col("_h") == F.col("cut")) & (F.col("_h2") <= F.col("cut2"))
+    return joined.withColumn(column, F.coalesce(within, F.lit(False))).drop("_h", "_h2", "_of", "_g", "cut", "cut2")
+
+
+def _second_hash(df: DataFrame) -> Column:
+    return F.pmod(F.xxhash64(*df.columns), F.lit(1 << 52)).cast("double")
 
 
 def stratified_split(df: DataFrame, key: str, label: str = "label", test_size: float = 0.2,
                      seed: int = 42, column: str = "is_train") -> DataFrame:
     """Add a flag that is true for the training rows; every label keeps its share and the sizes are exact.
 
-    Per label the rows with the smallest key hashes train. The cut is an exact order statistic of the hash, found
-    by counting, so a label that holds most rows is as cheap as any other.
+    Per label the rows with the smallest key hashes train; among rows with one key a hash of the whole row decides.
+    The cut is an exact order statistic of the hash, found by counting, so a label that holds most rows is as cheap as
+    any other. Rows are told apart by their columns: copies of a whole row stay together.
     """
-    hashed = df.withColumn("_h", unit_hash(F.lit(str(seed)), F.col(key).cast("string")))
-    bounds = group_bounds(hashed, "_h", label)
-    sizes = {g: n for g, (n, _, _) in bounds.items()}
-    if not sizes:
+    hashed = df.withColumn("_h", unit_hash(F.lit(str(seed)), F.col(key).cast("string"))).withColumn("_h2", _second_hash(df))
+    sizes = store(group_sizes(hashed, "_h", label))
+    total = sizes.agg(F.sum("n").alias("n")).first()["n"]
+    if not total:
         raise ValueError("cannot split an empty table")
-    total = sum(sizes.values())
     n_train = total - math.ceil(test_size * total)
-    train = _shares(sizes, n_train)
-    ranks = {g: [n - 1] for g, n in train.items() if n}
-    cuts = order_statistics(hashed, "_h", ranks, label, bounds)
-    cut = F.lit(-1.0)
-    for g, found in cuts.items():
-        cut = F.when(F.col(label) == F.lit(g), F.lit(found[train[g] - 1])).otherwise(cut)
-    return hashed.withColumn(column, F.col("_h") <= cut).drop("_h")
+    # Every label gets its share rounded down; what is left goes to the largest remainders.
+    share = F.col("n") * F.lit(n_train) / F.lit(total)
+    shares = store(sizes.select("g", share.alias("exact"), F.floor(share).cast("bigint").alias("k")))
+    rest = n_train - shares.agg(F.sum("k").alias("k")).first()["k"]
+    order = W.orderBy((F.col("k") - F.col("exact")).asc(), F.col("g").cast("string"))
+    topped = shares.withColumn("k", F.col("k") + (F.row_number().over(order) <= rest).cast("bigint"))
+    cuts = _cut(hashed, topped.filter("k > 0").select("g", (F.col("k") - 1).alias("k")), label)
+    return _flag(hashed, cuts, label, column)
 
 
 def half_split(df: DataFrame, key: str, column: str = "is_first") -> DataFrame:
-    """True for exactly floor(n / 2) rows, those with the smallest key hashes."""
-    hashed = df.withColumn("_h", unit_hash(F.col(key).cast("string")))
-    bounds = group_bounds(hashed, "_h")
-    half = bounds[0][0] // 2 if bounds else 0
-    cut = order_statistics(hashed, "_h", {0: [half - 1]}, None, bounds)[0][half - 1] if half else -1.0
-    return hashed.withColumn(column, F.col("_h") <= cut).drop("_h")
+    """True for exactly floor(n / 2) rows, those with the smallest key hashes; ties as in `stratified_split`."""
+    hashed = df.withColumn("_h", unit_hash(F.col(key).cast("string"))).withColumn("_h2", _second_hash(df))
+    wanted = group_sizes(hashed, "_h").select("g", (F.floor(F.col("n") / 2) - 1).cast("bigint").alias("k")).filter("k >= 0")
+    return _flag(hashed, _cut(hashed, wanted, None), None, column)
 
 
 def node_membership(source: Column, patterns: dict[str, str] = NODE_PATTERNS) -> Column:

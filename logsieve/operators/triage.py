@@ -146,8 +146,11 @@ def pager_severity(severity: Column) -> Column:
     return F.coalesce(F.try_element_at(known, text(severity)), F.lit(PAGER_SEVERITY[DEFAULT_SEVERITY]))
 
 
-def pager_payload(df: DataFrame, layout: dict[str, str] = CLOUDTRAIL) -> DataFrame:
-    """`(event_id, severity, payload)` for the pager; the event id is its dedup key."""
+# The member names, titles and lead words of the payloads below, which the receivers read.
+
+
+def pager_payload(df: DataFrame, layout: dict[str, str] = CLOUDTRAIL, source: str = "logsieve") -> DataFrame:
+    """`(event_id, severity, payload)` for the pager; the event id is its dedup key, `source` names the sender."""
     m = member_columns(df, layout)
     summary = F.concat(F.lit("Anomaly: "), F.coalesce(m["event_name"], F.lit("?")), F.lit(" by "),
                        F.coalesce(m["principal"], F.lit("unknown")))
@@ -157,7 +160,7 @@ def pager_payload(df: DataFrame, layout: dict[str, str] = CLOUDTRAIL) -> DataFra
         F.struct(
             summary.alias("summary"),
             pager_severity(F.col("severity")).alias("severity"),
-            F.lit("anomaly-detector").alias("source"),
+            F.lit(source).alias("source"),
             m["event_time"].cast("string").alias("timestamp"),
             F.struct(F.col("score"), F.col("reasoning"), m["region"].alias("region"),
                      m["error_code"].alias("error")).alias("custom_details"),

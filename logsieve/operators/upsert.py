@@ -73,10 +73,13 @@ def upsert_replace(target: DataFrame, source: DataFrame, key: str, columns: list
 
 
 def upsert_counts(target: DataFrame, source: DataFrame, key: str, batch: str | None = None) -> DataFrame:
-    """Keys inserted and updated, per batch when the source says to which one a row belongs."""
-    known = target.select(F.col(key).alias("_known"))
-    marked = source.join(known, F.col(key) == F.col("_known"), "left")
+    """Keys inserted and updated, per batch when the source says to which one a row belongs.
+
+    Copies of a key in the source count once in a batch, and copies in the target not at all.
+    """
     by = [batch] if batch else []
+    known = target.select(F.col(key).alias("_known")).distinct()
+    marked = source.select(key, *by).distinct().join(known, F.col(key) == F.col("_known"), "left")
     return marked.groupBy(*by).agg(
         F.count_if(F.col("_known").isNull()).alias("inserted"),
         F.count_if(F.col("_known").isNotNull()).alias("updated"),

@@ -280,15 +280,48 @@ def feature_table_offline(spark, sf):
 
 @query(f"""WITH docs AS (
   SELECT conv_id, turn, '{{"role":"' || role || '","turn":' || turn || ',"text":"'
-         || regexp_replace(text, '[\\x00-\\x1F"\\\\]', '_', 'g') || '"}}' AS j FROM conversations)
+         || replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n') || '"}}' AS j FROM conversations)
 SELECT conv_id, turn, {_json_len_sql('j')}::BIGINT AS n FROM docs""")
 def json_len_feature(spark, sf):
-    clean = F.regexp_replace("text", r'[\x00-\x1F"\\]', "_")
-    j = F.concat(F.lit('{"role":"'), F.col("role"), F.lit('","turn":'), F.col("turn").cast("string"),
-                 F.lit(',"text":"'), clean, F.lit('"}'))
+    j = F.to_json(F.struct("role", "turn", "text"))
     return table(spark, sf, "conversations").select("conv_id", "turn", json_len(j).cast("bigint").alias("n"))
 
 
+_AS_JSON = """'{"id":' || doc_id || ',"said":"' || replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n') || '"}'"""
+_QUOTED = """replace(text, ' ', CASE WHEN doc_id % 3 = 0 THEN '" ' ELSE ' \\' END)"""
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_QUOTED} AS text FROM documents), j AS (SELECT doc_id, {_AS_JSON} AS j, text FROM d)
+SELECT doc_id, ({_json_len_sql('j')})::BIGINT AS n,
+  length(j) + 3 + 5 * length(regexp_replace(j, '[\\x00-\\x7F]', '', 'g')) AS printed_chars,
+  substr(j, 7 + length(doc_id::VARCHAR), 8) AS begins FROM j""")
+def long_parameters(spark, sf):
+    """Whole texts, with a quote or a backslash at every blank, as parameters: counted, and printed."""
+    docs = table(spark, sf, "documents", heavy=True)
+    mark = F.when(F.col("doc_id") % 3 == 0, '" ').otherwise(" \\")
+    j = F.to_json(F.struct(F.col("doc_id").alias("id"), F.replace("text", F.lit(" "), mark).alias("said")))
+    rows = docs.select("doc_id", j.alias("j"), printed_json(j).alias("p"))
+    return rows.select("doc_id", json_len("j").cast("bigint").alias("n"), F.length("p").cast("bigint").alias("printed_chars"),
+                       F.substring(F.replace("p", F.lit(", "), F.lit(",")), 8 + F.length(F.col("doc_id").cast("string")), 8).alias("begins"))
+
+
+@query(f"""WITH {TRAIL} SELECT event_id, hour(event_time)::INTEGER AS hour,
+  CASE event_id[-1] WHEN '0' THEN 0 WHEN '1' THEN 2 WHEN '2' THEN 2 WHEN '3' THEN 0 WHEN '4' THEN 8 ELSE length(json(request_parameters)::VARCHAR) + 1
+    + length(json(request_parameters)::VARCHAR) - length(replace(json(request_parameters)::VARCHAR, ',', '')) END AS offline_len FROM trail""")
+def odd_documents(spark, sf):
+    """Times with fractions in the serving dialect; absent and empty documents in the offline one."""
+    last = F.right("event_id", F.lit(1))
+    made = {"0": None, "1": "{}", "2": " []", "3": "null", "4": '{"a":1}'}
+    params = F.col("request_parameters")
+    for digit, document in made.items():
+        params = F.when(last == digit, F.lit(document).cast("string")).otherwise(params)
+    t = trail(spark, sf).withColumn("request_parameters", params)
+    t = t.withColumn("event_time", F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    served = flatten_events(t, SERVE, FLAT, keep=("event_id",)).select("event_id", "hour")
+    offline = flatten_events(t, OFFLINE, FLAT, keep=("event_id",)).select("event_id", F.col("req_params_len").cast("bigint").alias("offline_len"))
+    return served.join(offline, "event_id")
+
+
 @query(f"""SELECT c_custkey, {_md5_sql('c_name')}::INTEGER AS name_code, {_md5_sql('c_mktsegment')}::INTEGER AS segment_code
 FROM customer""")
 def hash_codes(spark, sf):
@@ -365,6 +398,20 @@ def node_split_counts(spark, sf):
     return nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum(LABEL).cast("bigint").alias("n_anomaly"))
 
 
+@query("""WITH n AS (SELECT l_returnflag AS label, COUNT(*) AS c FROM lineitem GROUP BY 1),
+t AS (SELECT SUM(c) AS n, SUM(c) - CEIL(0.2::DOUBLE * SUM(c)) AS train FROM n),
+e AS (SELECT label, c, c * train / n::DOUBLE AS x FROM n, t),
+f AS (SELECT *, FLOOR(x) AS base, ROW_NUMBER() OVER (ORDER BY FLOOR(x) - x, label) AS pos FROM e)
+SELECT label, (base + CASE WHEN pos <= (SELECT train FROM t) - (SELECT SUM(base) FROM f) THEN 1 ELSE 0 END)::BIGINT AS train,
+  (SELECT SUM(c) FROM n)::BIGINT // 2 AS first_half FROM f""")
+def splits_of_repeated_keys(spark, sf):
+    """The key of a line is its supplier, which many lines share."""
+    lines = table(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "label")
+    train = split.stratified_split(lines, "l_suppkey").groupBy("label").agg(F.count_if("is_train").alias("train"))
+    halves = split.half_split(lines, "l_suppkey").agg(F.count_if("is_first").alias("first_half"))
+    return train.join(F.broadcast(halves))      # one row
+
+
 @query(f"""WITH {TRAIL}, t AS (SELECT contains(event_source, 'iam')::INTEGER
   + regexp_matches(event_source, 's3|ec2|compute')::INTEGER AS k FROM trail)
 SELECT SUM((k = 0)::INTEGER)::BIGINT AS uncovered, SUM((k = 1)::INTEGER)::BIGINT AS single,
@@ -476,7 +523,15 @@ def best_trial_without_goal(spark, sf):
 @query("""SELECT l_returnflag, ROUND(quantile_cont(l_extendedprice, 0.08), 6) AS threshold FROM lineitem GROUP BY 1""")
 def contamination_threshold(spark, sf):
     cuts = quantiles.contamination_threshold(table(spark, sf, "lineitem"), 0.08, "l_extendedprice", "l_returnflag")
-    return spark.createDataFrame([(g, round(v, 6)) for g, v in cuts.items()], "l_returnflag string, threshold double")
+    return cuts.withColumn("threshold", F.round("threshold", 6))
+
+
+@query("""SELECT l_orderkey, q AS quantile, ROUND(value, 6) AS value FROM (
+  SELECT l_orderkey, unnest([0.25, 0.9])::DOUBLE AS q, unnest(quantile_cont(l_extendedprice, [0.25, 0.9])) AS value FROM lineitem GROUP BY 1)""")
+def quantiles_of_many_groups(spark, sf):
+    """A group for each order."""
+    found = quantiles.exact_quantiles(table(spark, sf, "lineitem"), "l_extendedprice", [0.25, 0.9], "l_orderkey")
+    return found.withColumn("value", F.round("value", 6))
 
 
 @query("""SELECT event_type, q AS quantile, ROUND(value, 6) AS value FROM (
@@ -647,6 +702,16 @@ def upsert_batch_counts(spark, sf):
     return upsert.upsert_counts(target, latest, "principal", "event_name")
 
 
+@query(_upsert_sql("DESC") + """
+SELECT COUNT(DISTINCT CASE WHEN principal NOT IN (SELECT principal FROM target) THEN principal END) AS inserted,
+  COUNT(DISTINCT CASE WHEN principal IN (SELECT principal FROM target) THEN principal END) AS updated,
+  COUNT(DISTINCT principal) AS upserted FROM trail""")
+def upsert_repeated_counts(spark, sf):
+    """The source holds most keys several times."""
+    target, source = _upsert_sides(spark, sf)
+    return upsert.upsert_counts(target, source, "principal")
+
+
 @query("""SELECT o_custkey, o_orderkey, o_orderstatus FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1""")
 def latest_per_key(spark, sf):

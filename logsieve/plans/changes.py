@@ -103,8 +103,8 @@ def change_documents(changes: DataFrame, layout: dict[str, str] = CLOUDTRAIL) ->
 
 def question(event_source: str = "") -> str:
     if event_source:
-        return f"infrastructure changes affecting {event_source}"
-    return "infrastructure changes deployed to cloud environment"
+        return f"recent changes around {event_source}"
+    return "recent changes of the environment"
 
 
 def last_training(runs: DataFrame, experiment: str) -> Column:

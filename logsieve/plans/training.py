@@ -74,8 +74,7 @@ def search_trials(df: DataFrame, key: str, trials: list[tuple], label: str = LAB
         # One search for the thresholds of all trials: every prefix is a group of its own.
         trained = scored.filter("is_train").select(F.posexplode("_scores").alias("at", "v"))
         asked = sorted({t[2] for t in mine})
-        cuts = {(prefixes[at], c): v for at, values in exact_quantiles(trained, "v", asked, "at").items()
-                for c, v in zip(asked, values)}
+        cuts = {(prefixes[r["at"]], r["quantile"]): r["value"] for r in exact_quantiles(trained, "v", asked, "at").collect()}
         rows = [(t[0], prefixes.index(t[1]), cuts[(t[1], t[2])]) for t in mine]
         table = F.array(*[F.struct(F.lit(t).alias("trial_id"), F.lit(i).alias("at"), F.lit(cut).alias("cut"))
                           for t, i, cut in rows])
@@ -134,7 +133,7 @@ def schema_document(spark: SparkSession, version: str, columns: list[str] = FEAT
 class ModelRegistry:
     """Models as tables under one root: nodes by version, one registry row per version, stage events."""
 
-    def __init__(self, spark: SparkSession, root: str, name: str = "anomaly-detector"):
+    def __init__(self, spark: SparkSession, root: str, name: str = "forest"):
         self.spark, self.root, self.name = spark, root.rstrip("/"), name
 
     def register(self, forest: Forest, version: str, metrics: DataFrame | None = None,

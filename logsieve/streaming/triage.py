@@ -65,7 +65,7 @@ def start_triage(spark: SparkSession, flagged: DataFrame, out: str, checkpoint:
         done = classify(batch, log, chunks(), since_ts, vectoriser, respond).persist()
         if not done.isEmpty():
             rows = decision_rows(done).filter(F.col("event_id").isNotNull())
-            blank = rows.filter("event_id = ''").limit(1)
+            blank = rows.filter("event_id = ''").orderBy("kafka_offset", "created_at").limit(1)
             named = rows.filter("event_id <> ''")
             if not log.filter("event_id = ''").isEmpty():
                 blank = blank.limit(0)

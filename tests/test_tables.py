@@ -25,9 +25,14 @@ from logsieve.sources.synthetic import synthetic_trail
 
 @pytest.fixture
 def few(monkeypatch):
-    """Small limits, so that the narrowing passes run on small data."""
-    monkeypatch.setattr(qn, "FEW_ROWS", 20)
-    monkeypatch.setattr(qn, "BINS", 8)
+    """Few bins, so that several narrowing passes run on small data."""
+    monkeypatch.setattr(qn, "BINS", 64)
+
+
+def asked(found, qs):
+    """The values in the order of the quantiles."""
+    by = {r["quantile"]: r["value"] for r in found.collect()}
+    return [by[q] for q in qs]
 
 
 @pytest.mark.parametrize("kind", ["uniform", "skewed", "hot", "constant", "wide"])
@@ -40,17 +45,18 @@ def test_quantiles_equal_numpy(spark, few, kind):
     }[kind]
     df = spark.createDataFrame(pd.DataFrame({"v": values}))
     qs = [0.0, 0.01, 0.08, 0.5, 0.731, 0.99, 1.0]
-    got = qn.exact_quantiles(df, "v", qs)[0]
+    got = asked(qn.exact_quantiles(df, "v", qs), qs)
     assert got == pytest.approx(list(np.quantile(values, qs)), rel=1e-12)
     ordered = np.sort(values)
-    assert qn.exact_quantiles(df, "v", [0.5, 0.99], method="index")[0] == [ordered[int(len(values) * q)] for q in (0.5, 0.99)]
+    assert asked(qn.exact_quantiles(df, "v", [0.5, 0.99], method="index"), [0.5, 0.99]) == [ordered[int(len(values) * q)] for q in (0.5, 0.99)]
 
 
 def test_quantiles_per_group_and_nulls(spark, few):
     rng = np.random.default_rng(4)
     frame = pd.DataFrame({"g": rng.choice(["a", "b", "c"], 3000, p=[0.8, 0.19, 0.01]), "v": rng.normal(size=3000)})
     df = spark.createDataFrame(frame).unionByName(spark.createDataFrame([("a", None), ("d", None)], "g string, v double"))
-    got = qn.exact_quantiles(df, "v", [0.08, 0.5], "g")
+    found = qn.exact_quantiles(df, "v", [0.08, 0.5], "g")
+    got = {g: asked(found.filter(F.col("g") == g), [0.08, 0.5]) for g in {r.g for r in found.collect()}}
     assert set(got) == {"a", "b", "c"}
     for g, values in got.items():
         assert values == pytest.approx(list(np.quantile(frame[frame.g == g].v, [0.08, 0.5])))
@@ -78,6 +84,20 @@ def test_stratified_split_is_exact_and_stable(spark, few):
         stratified_split(df.limit(0), "id")
 
 
+def test_splits_are_exact_when_keys_repeat(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("key"), F.col("id").alias("row"), (F.col("id") % 2).cast("int").alias("label"))
+    halves = half_split(df, "key")
+    assert halves.filter("is_first").count() == 500
+    sizes = {(r.label, r.is_train): r["count"] for r in stratified_split(df, "key").groupBy("label", "is_train").count().collect()}
+    assert sizes == {(0, True): 400, (0, False): 100, (1, True): 400, (1, False): 100}
+    assert half_split(df.repartition(7), "key").exceptAll(halves).count() == 0
+
+
+def test_quantiles_of_a_null_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0)], "g string, v double")
+    assert {r.g: r.value for r in qn.exact_quantiles(df, "v", [0.5], "g").collect()} == {None: 2.0, "a": 2.0}
+
+
 def test_half_split_is_exact(spark, few):
     assert half_split(spark.range(101), "id").filter("is_first").count() == 50
     assert half_split(spark.range(1), "id").filter("is_first").count() == 0

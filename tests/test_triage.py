@@ -70,7 +70,7 @@ def test_pager_only_for_genuine(decided):
     body = json.loads(rows[0].payload)
     assert body["dedup_key"] == "1" and body["event_action"] == "trigger"
     assert body["payload"] == {
-        "summary": "Anomaly: RunInstances by arn:aws:iam::1:user/a", "severity": "critical", "source": "anomaly-detector",
+        "summary": "Anomaly: RunInstances by arn:aws:iam::1:user/a", "severity": "critical", "source": "logsieve",
         "timestamp": "2026-05-08T10:00:00Z",
         "custom_details": {"score": -0.25, "reasoning": "because", "region": "us-east-1", "error": "AccessDenied"}}
 
