@@ -2,8 +2,8 @@
 
 Fitting: Spark draws the per-tree samples by row-key hash and shuffles only sampled rows, then each tree is built in
 its own task. A sample too large for one task is split level by level with distributed aggregations until every
-open node fits. Scoring: the packed nodes are broadcast behind a size check and rows pass through a vectorised
-Arrow UDF; a model beyond the bound is scored by joins with the node table.
+open node fits. Scoring: whole trees are packed and broadcast in chunks of a checked size, rows pass through vectorised
+Arrow UDFs and their path sums are added up; a tree beyond the bound is walked by joins with the node table.
 
 Model, tree and node seed every random draw and rows are chosen by key hash, so partitioning never changes a result.
 """
@@ -29,8 +29,7 @@ from logsieve.session import materialise, store
 AUTO_SAMPLES = 256
 SUBTREE_ROWS = 50_000
 TREES_PER_POOL = 100
-MAX_MODELS = 1_000
-MAX_BROADCAST_NODES = 4_000_000
+MAX_BROADCAST_NODES = 4_000_000    # of a chunk of trees: 20 bytes each
 MAX_BROADCAST_SPLITS = 500_000
 LEVELS_PER_CHECKPOINT = 4
 SCORE_ROWS = 1024                  # rows scored at a time: the arrays of all trees stay in the cache
@@ -196,14 +195,34 @@ def tree_samples(rows: DataFrame, sizes: dict[str, int], samples: dict[str, int]
 
 
 def _tree_rows(rows: DataFrame, sizes: dict, samples: dict, trees: int, seed: int) -> DataFrame:
-    """Each row once per tree that takes it, for samples that are a large share of the table."""
-    cuts = [(m, int(samples[m] / sizes[m] * _HASH_RANGE)) for m in sizes]
-    rates = rows.sparkSession.createDataFrame(cuts, "model string, tree_cut bigint")
-    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
-                      lambda t: _hash(F.lit(seed), F.col("key"), t) < F.col("tree_cut"))
+    """Exactly `samples` rows per tree, each row once per tree that takes it, for samples too large for a task.
+
+    As in `tree_samples` the least hashes of a tree are its sample. The cut of a tree lies within a few standard
+    deviations of its expected place, so it is found among the few rows there and a count of those below; copies of a
+    key at the cut are told apart by a second hash, of the whole row.
+    """
+    spark = rows.sparkSession
+    own = F.pmod(F.xxhash64(*rows.columns), F.lit(_HASH_RANGE))
+    around = []
+    for m, n in sizes.items():
+        psi = samples[m]
+        slack = (8 * math.sqrt(psi * (1 - psi / n)) + 10) / n
+        around.append((m, int(max(0.0, psi / n - slack) * _HASH_RANGE), int(min(1.0, psi / n + slack) * _HASH_RANGE), psi))
+    near = spark.createDataFrame(around, "model string, lo bigint, hi bigint, psi bigint")
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree_id"), _hash(F.lit(seed), F.col("key"), t).alias("h")))
+    placed = rows.join(F.broadcast(near), "model").withColumn("_t", F.explode(hashes)).select("*", "_t.tree_id", "_t.h", own.alias("_own")).drop("_t")
+    below = placed.filter("h < lo").groupBy("model", "tree_id").agg(F.count("*").alias("below"))
+    window = store(placed.filter("h >= lo and h < hi").select(F.col("model").alias("_m"), F.col("tree_id").alias("_i"), "h", "_own", "psi"))
+    rank = F.row_number().over(W.partitionBy("_m", "_i").orderBy("h", "_own"))
+    ranked = window.withColumn("_r", rank).join(below, (F.col("_m") == F.col("model")) & (F.col("_i") == F.col("tree_id")), "left")
+    wanted = F.col("psi") - F.coalesce("below", F.lit(0))
+    cuts = store(
+        ranked.filter(F.col("_r") <= wanted).groupBy("_m", "_i")
+        .agg(F.max(F.struct("h", "_own")).alias("c")).select("_m", "_i", F.col("c.h").alias("cut"), F.col("c._own").alias("cut_own")))
+    taken = (F.col("h") < F.col("cut")) | (F.col("h") == F.col("cut")) & (F.col("_own") <= F.col("cut_own"))
     return (
-        rows.join(F.broadcast(rates), "model").withColumn("tree_id", F.explode(chosen))
-        .drop("tree_cut")
+        placed.filter("h < hi").join(F.broadcast(cuts), (F.col("model") == F.col("_m")) & (F.col("tree_id") == F.col("_i")))   # a row per tree
+        .filter(taken).drop("_m", "_i", "cut", "cut_own", "lo", "hi", "psi", "h", "_own")
     )
 
 
@@ -281,11 +300,9 @@ def build_by_levels(state: DataFrame, limits: dict[str, int], features: list[str
 
 
 def model_sizes(rows: DataFrame) -> dict[str, int]:
-    found = rows.groupBy("model").count().limit(MAX_MODELS + 1).collect()
+    found = rows.groupBy("model").count().collect()      # a row per model
     if not found:
         raise ValueError("cannot fit a forest on an empty table")
-    if len(found) > MAX_MODELS:
-        raise ValueError(f"more than {MAX_MODELS} models in one fit")
     return {r["model"]: r["count"] for r in found}
 
 
@@ -294,8 +311,8 @@ def fit_forest(df: DataFrame, key: str, n_estimators: int = 100, max_samples: st
                by: str | None = None, subtree_rows: int = SUBTREE_ROWS) -> Forest:
     """Fit one forest, or one per value of `by`, and set the offset at the contamination quantile.
 
-    `key` identifies a row; copies of a key are drawn together. Samples of a fixed size are exact; a sample that is
-    a share of the table and does not fit one task takes every row with that chance.
+    `key` identifies a row; copies of a key are drawn together as far as the sample has room. Samples have their
+    exact size, whatever it is: the rows with the least hashes of the tree.
     """
     check_feature_schema(df, features)
     rows = _rows(df, key, features, by)
@@ -322,7 +339,7 @@ def fit_forest(df: DataFrame, key: str, n_estimators: int = 100, max_samples: st
 # Scoring -------------------------------------------------------------------------------------------------------
 
 
-def pack(nodes: pd.DataFrame, samples: int) -> dict:
+def pack(nodes: pd.DataFrame) -> dict:
     """The trees of one model as flat arrays. The right child follows the left one; a leaf points to itself."""
     # Level order within a tree puts the two children of a node next to each other.
     nodes = nodes.sort_values(["tree_id", "node_id"], ignore_index=True)
@@ -333,12 +350,11 @@ def pack(nodes: pd.DataFrame, samples: int) -> dict:
     left[~leaf] = places.get_indexer(pd.MultiIndex.from_frame(child))
     return {
         "roots": np.flatnonzero(nodes["node_id"].to_numpy() == 1),
-        "feature": np.where(leaf, 0, nodes["feature"].fillna(0).to_numpy(dtype=np.int64)),
+        "feature": np.where(leaf, 0, nodes["feature"].fillna(0).to_numpy(dtype=np.int64)).astype(np.int16),
         "threshold": np.where(leaf, np.inf, nodes["threshold"].fillna(0).to_numpy(dtype=float)),
-        "left": left,
+        "left": left.astype(np.int32),
         "path": nodes["depth"].to_numpy(dtype=float) + np.where(leaf, average_path(nodes["n_samples"]), 0.0),
         "depth": int(nodes["depth"].max()),
-        "scale": float(average_path(samples)),
     }
 
 
@@ -354,34 +370,38 @@ def _paths(model: dict, x: np.ndarray) -> np.ndarray:
     return model["path"].take(at)
 
 
-def _anomaly(paths_mean: np.ndarray, scale: float) -> np.ndarray:
-    ratio = paths_mean / scale if scale else np.ones_like(paths_mean)
-    return -(2.0 ** -ratio)
+def tree_chunks(forest: Forest) -> list[tuple[int, int]] | None:
+    """Ranges of tree numbers whose nodes, of all models, may be broadcast together; None if one tree alone is too large."""
+    counts = {r["tree_id"]: r["n"] for r in forest.nodes.groupBy("tree_id").agg(F.count("*").alias("n")).collect()}    # a row per tree
+    chunks, first, held = [], 0, 0
+    for t in range(forest.n_estimators):
+        n = counts.get(t, 0)
+        if n > MAX_BROADCAST_NODES:
+            return None
+        if held + n > MAX_BROADCAST_NODES:
+            chunks.append((first, t))
+            first, held = t, 0
+        held += n
+    return [*chunks, (first, forest.n_estimators)]
 
 
-def score_expression(forest: Forest, prefixes: list[int] | None = None) -> Column:
-    """Score of a row, or with `prefixes` one score per number of leading trees, as a column.
+def _path_sums(forest: Forest, trees: tuple[int, int], prefixes: list[int]) -> Column:
+    """Per prefix the sum of a row's path lengths over those of the trees `trees` that it covers, as an array column.
 
-    The packed model is broadcast once per executor and only the feature columns cross to Python.
+    The packed trees are broadcast once per executor and only the feature columns cross to Python.
     """
-    nodes = forest.nodes.limit(MAX_BROADCAST_NODES + 1).toPandas()
-    if len(nodes) > MAX_BROADCAST_NODES:
-        raise ValueError("the model is too large to broadcast: use score_by_join")
-    packed = {m: pack(part, forest.samples[m]) for m, part in nodes.groupby("model")}
+    nodes = forest.nodes.filter((F.col("tree_id") >= trees[0]) & (F.col("tree_id") < trees[1])).toPandas()
+    packed = {m: pack(part) for m, part in nodes.groupby("model")}
     shared = forest.nodes.sparkSession.sparkContext.broadcast(packed)
-    counts = np.asarray(prefixes) if prefixes else None
+    counts = np.clip(np.asarray(prefixes) - trees[0], 0, trees[1] - trees[0])
     has_model = forest.by is not None
 
-    def score(x: np.ndarray, model: dict) -> np.ndarray:
-        chunks = []
+    def sums(x: np.ndarray, model: dict) -> np.ndarray:
+        out = np.zeros((len(x), len(counts)))
         for start in range(0, len(x), SCORE_ROWS):
-            paths = _paths(model, x[start:start + SCORE_ROWS])
-            if counts is None:
-                chunks.append(_anomaly(paths.mean(axis=1), model["scale"]))
-            else:
-                chunks.append(_anomaly(paths.cumsum(axis=1)[:, counts - 1] / counts, model["scale"]))
-        width = (len(counts),) if counts is not None else ()
-        return np.concatenate(chunks) if chunks else np.empty((0, *width))
+            paths = _paths(model, x[start:start + SCORE_ROWS]).cumsum(axis=1)
+            out[start:start + SCORE_ROWS] = np.where(counts > 0, paths[:, np.maximum(counts, 1) - 1], 0.0)
+        return out
 
     def run(batches):
         models = shared.value
@@ -390,17 +410,16 @@ def score_expression(forest: Forest, prefixes: list[int] | None = None) -> Colum
             names = columns[0] if has_model else None
             x = np.column_stack([c.to_numpy(dtype=np.float32) for c in columns[1 if has_model else 0:]])
             if names is None:
-                result = score(x, models[ONE_MODEL])
+                result = sums(x, models[ONE_MODEL])
             else:
-                width = (len(counts),) if counts is not None else ()
-                result = np.full((len(x), *width), np.nan)
+                result = np.full((len(x), len(counts)), np.nan)
                 for name in names.unique():
                     rows = (names == name).to_numpy()
                     if name in models:
-                        result[rows] = score(x[rows], models[name])
-            yield pd.Series(list(result) if result.ndim > 1 else result)
+                        result[rows] = sums(x[rows], models[name])
+            yield pd.Series(list(result))
 
-    @F.pandas_udf("array<double>" if prefixes else "double")
+    @F.pandas_udf("array<double>")
     def udf(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         yield from run(batches)
 
@@ -408,10 +427,39 @@ def score_expression(forest: Forest, prefixes: list[int] | None = None) -> Colum
     return udf(*lead, *[F.col(f).cast("float") for f in forest.features])
 
 
+def _scales(forest: Forest, model: Column) -> Column:
+    """Normal path length of the samples of each model."""
+    return F.element_at(F.create_map(*[F.lit(v) for m, s in forest.samples.items() for v in (m, float(average_path(s)))]), model)
+
+
+def score_expression(forest: Forest, prefixes: list[int] | None = None) -> Column | None:
+    """Score of a row, or with `prefixes` one score per number of leading trees; None if a tree cannot be broadcast."""
+    chunks = tree_chunks(forest)
+    if chunks is None:
+        return None
+    counts = prefixes or [forest.n_estimators]
+    sums = None
+    for trees in chunks:
+        part = _path_sums(forest, trees, counts)
+        sums = part if sums is None else F.zip_with(sums, part, lambda a, b: a + b)
+    scale = _scales(forest, F.col(forest.by).cast("string") if forest.by else F.lit(ONE_MODEL))
+    numbers = F.array(*[F.lit(float(c)) for c in counts])
+    scores = F.zip_with(sums, numbers, lambda s, n: F.when(F.isnan(s), F.lit(float("nan"))).otherwise(
+        -F.pow(F.lit(2.0), -F.when(scale > 0, s / n / scale).otherwise(F.lit(1.0)))))
+    return scores if prefixes else F.get(scores, F.lit(0))
+
+
 def score_samples(df: DataFrame, forest: Forest, prefixes: list[int] | None = None,
                   column: str = "score_sample") -> DataFrame:
-    """Add the raw score, the lower the more unusual."""
-    return df.withColumn(column, score_expression(forest, prefixes))
+    """Add the raw score, the lower the more unusual; an array of scores with `prefixes`.
+
+    A table whose model has a tree too large to broadcast gets a row number first and is scored by joins.
+    """
+    scores = score_expression(forest, prefixes)
+    if scores is not None:
+        return df.withColumn(column, scores)
+    numbered = store(df.withColumn("_row", F.monotonically_increasing_id()))
+    return score_by_join(numbered, "_row", forest, column, prefixes).drop("_row")
 
 
 def score_forest(df: DataFrame, forest: Forest) -> DataFrame:
@@ -431,14 +479,14 @@ def decide(scored: DataFrame, forest: Forest) -> DataFrame:
     )
 
 
-def score_by_join(df: DataFrame, key: str, forest: Forest, column: str = "score_sample") -> DataFrame:
-    """The same raw score for a model of any size: rows walk down the node table by equi joins, level by level.
+def score_by_join(df: DataFrame, key: str, forest: Forest, column: str = "score_sample", prefixes: list[int] | None = None) -> DataFrame:
+    """The same raw score for trees of any size: rows walk down the node table by equi joins, level by level.
 
     `key` must identify a row. All rows start at the same roots; adaptive execution splits such hot keys, as each
     of them meets one node row.
     """
     group = ["model", "tree_id", "node_id"]
-    nodes = forest.nodes.select(*group, "depth", "is_leaf", "feature", "threshold", "n_samples")
+    nodes = store(forest.nodes.select(*group, "depth", "is_leaf", "feature", "threshold", "n_samples"))
     trees = F.explode(F.sequence(F.lit(0), F.lit(forest.n_estimators - 1)))
     at = (
         _rows(df, key, forest.features, forest.by)
@@ -451,7 +499,7 @@ def score_by_join(df: DataFrame, key: str, forest: Forest, column: str = "score_
     finished = []
     for level in range(max(height_limit(s) for s in forest.samples.values()) + 1):
         joined = at.join(nodes, group)
-        finished.append(joined.filter("is_leaf").select("model", "key", (F.col("depth") + extra).alias("path")))
+        finished.append(joined.filter("is_leaf").select("model", "key", "tree_id", (F.col("depth") + extra).alias("path")))
         at = (
             joined.filter("not is_leaf")
             .withColumn("node_id", 2 * F.col("node_id") + (value > F.col("threshold")).cast("bigint"))
@@ -462,13 +510,11 @@ def score_by_join(df: DataFrame, key: str, forest: Forest, column: str = "score_
     paths = finished[0]
     for part in finished[1:]:
         paths = paths.unionByName(part)
-    scale = F.element_at(
-        F.create_map(*[F.lit(v) for m, s in forest.samples.items() for v in (m, float(average_path(s)))]),
-        F.col("model"))
-    scores = (
-        paths.groupBy("model", "key").agg(F.avg("path").alias("_path"))
-        .select(F.col("key").alias("_key"), (-F.pow(F.lit(2.0), -F.col("_path") / scale)).alias(column))
-    )
+    counts = prefixes or [forest.n_estimators]
+    sums = paths.groupBy("model", "key").agg(*[F.sum(F.when(F.col("tree_id") < c, F.col("path"))).alias(f"_s{i}") for i, c in enumerate(counts)])
+    scale = _scales(forest, F.col("model"))
+    score = [-F.pow(F.lit(2.0), -F.when(scale > 0, F.col(f"_s{i}") / c / scale).otherwise(F.lit(1.0))) for i, c in enumerate(counts)]
+    scores = sums.select(F.col("key").alias("_key"), (F.array(*score) if prefixes else score[0]).alias(column))
     return df.join(scores, F.col(key).cast("string") == F.col("_key"), "left").drop("_key")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +21,12 @@ from logsieve.operators.upsert import last_per_key
 from logsieve.schema import FEATURES, LABEL, STAGES, feature_hash
 from logsieve.sources.json_logs import scan_since
 from logsieve.sources.tables import advance_watermark, get_state, read_or_empty
-from logsieve.session import materialise
+from logsieve.session import materialise, store
 
 # Trial search --------------------------------------------------------------------------------------------------
 
+MAX_FAILED_TRIALS = 5       # fixed value: the allowance of both search spaces
+SIDE_BY_SIDE = 3            # fixed value: trials that run at the same time
 TRIALS = "trial_id int, n_estimators int, contamination double, max_samples string"
 
 
@@ -55,17 +58,17 @@ def draw_trials(space: SearchSpace, seed: int = 42) -> list[tuple]:
 
 
 def search_trials(df: DataFrame, key: str, trials: list[tuple], label: str = LABEL, seed: int = 42,
-                  features_used: list[str] = FEATURES) -> DataFrame:
+                  features_used: list[str] = FEATURES, max_failed: int = MAX_FAILED_TRIALS) -> DataFrame:
     """Metrics of every trial on the held-out part: `trial_id, parameters, n, precision, recall, f1`.
 
     With one seed, tree i of two trials with equal `max_samples` is the same tree. So one forest with the most trees
-    is fitted per `max_samples`, each row is scored once with all of its tree prefixes, and a trial only adds a
-    threshold and three counters.
+    is fitted per `max_samples`, side by side, each row is scored once with all of its tree prefixes, and a trial only
+    adds a threshold and three counters. A trial that fails has no metrics; more than `max_failed` of them end the search.
     """
     spark = df.sparkSession
-    split = stratified_split(df, key, label, 0.2, seed)
-    results: list[DataFrame] = []
-    for samples in sorted({t[3] for t in trials}):
+    split = store(stratified_split(df, key, label, 0.2, seed))
+
+    def judge(samples: str) -> DataFrame:
         mine = [t for t in trials if t[3] == samples]
         prefixes = sorted({t[1] for t in mine})
         forest = fit_forest(split.filter("is_train"), key, max(prefixes), samples, None, seed, features_used)
@@ -82,12 +85,22 @@ def search_trials(df: DataFrame, key: str, trials: list[tuple], label: str = LAB
             scored.filter("not is_train").select("_y", "_scores", F.explode(table).alias("t"))
             .select("t.trial_id", "_y", (F.col("_scores")[F.col("t.at")] < F.col("t.cut")).cast("int").alias("_p"))
         )
-        results.append(materialise(binary_metrics(judged, "_y", "_p", ["trial_id"])))
+        found = materialise(binary_metrics(judged, "_y", "_p", ["trial_id"]))
         scored.unpersist()
-    out = results[0]
-    for part in results[1:]:
-        out = out.unionByName(part)
-    return spark.createDataFrame(trials, TRIALS).join(out, "trial_id")
+        return found
+
+    choices = sorted({t[3] for t in trials})
+    out, failed, error = None, 0, None
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        for samples, job in [(c, pool.submit(judge, c)) for c in choices]:
+            try:
+                part = job.result()
+                out = part if out is None else out.unionByName(part)
+            except Exception as e:      # whatever ends a trial counts as its failure
+                failed, error = failed + sum(t[3] == samples for t in trials), e
+    if out is None or failed > max_failed:
+        raise RuntimeError(f"{failed} of {len(trials)} trials failed") from error
+    return spark.createDataFrame(trials, TRIALS).join(out, "trial_id", "left")
 
 
 def best_parameters(trials: DataFrame, space: SearchSpace) -> DataFrame:

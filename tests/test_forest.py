@@ -113,8 +113,9 @@ def test_levels_build_the_same_trees_as_tasks(table):
 def test_a_share_of_the_table_as_sample(table):
     model = fo.fit_forest(table, "event_id", n_estimators=4, max_samples=0.5, subtree_rows=500)
     roots = model.nodes.filter("node_id = 1").collect()
-    assert model.samples == {"all": 1650} and len(roots) == 4
-    assert all(abs(r.n_samples - 1650) < 200 for r in roots)
+    assert model.samples == {"all": 1650} and [r.n_samples for r in roots] == [1650] * 4
+    whole = fo.fit_forest(table, "event_id", n_estimators=4, max_samples=0.5)
+    assert whole.nodes.exceptAll(model.nodes).count() == 0      # the rule is one, whatever fits a task
     assert model.nodes.agg(F.max("depth")).first()[0] <= 11
 
 
@@ -156,10 +157,20 @@ def test_wrong_input_is_an_error(table, model):
         fo.fit_forest(table.limit(0), "event_id")
 
 
-def test_model_size_is_checked(table, model, monkeypatch):
-    monkeypatch.setattr(fo, "MAX_BROADCAST_NODES", 100)
-    with pytest.raises(ValueError):
-        fo.score_samples(table, model)
+@pytest.mark.parametrize("bound", [1_000, 100])
+def test_models_beyond_the_bound_get_the_same_scores(table, monkeypatch, bound):
+    """First in chunks of trees, then, when no tree may be broadcast, by joins."""
+    model = fo.fit_forest(table, "event_id", n_estimators=12)
+    few = table.limit(400).persist()
+    want = fo.score_samples(few, model, [5, 12], "want").select("event_id", "want")
+    monkeypatch.setattr(fo, "MAX_BROADCAST_NODES", bound)
+    chunks = fo.tree_chunks(model)
+    assert chunks is None if bound == 100 else len(chunks) > 1 and chunks[0][0] == 0 and chunks[-1][1] == 12
+    got = fo.score_samples(few, model, [5, 12], "got").select("event_id", "got")
+    both = want.join(got, "event_id")
+    assert both.count() == 400
+    assert both.filter("abs(got[0] - want[0]) > 1e-12 or abs(got[1] - want[1]) > 1e-12 or got is null").count() == 0
+    assert fo.score_forest(few, model).filter("prediction is null").count() == 0
 
 
 def test_workers_need_no_copy_of_the_package(tmp_path):
