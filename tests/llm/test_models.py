@@ -1,6 +1,7 @@
 """Language identification and toxicity: features, gradients, held-out accuracy, odd inputs."""
 
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -102,19 +103,25 @@ def test_every_word_is_in_a_window_and_padding_does_not_count():
     assert net.forward(x, np.array([[0, 1, 2, 2, 2]]), np.array([2])) == pytest.approx(short, abs=1e-5)
 
 
-@pytest.fixture(scope="module")
-def scored(spark, sf):
+def test_toxicity_query(spark, sf):
     from logsieve.llm.queries import op1_toxicity
-    return {r.doc_id: r for r in op1_toxicity(spark, sf).collect()}
-
-
-def test_toxicity_on_held_out_documents(spark, sf, scored):
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    assert len(scored) == spark.read.parquet(f"{sf}/documents.parquet").count()
-    assert all(r.held_out == (fold_of(r.doc_id, 3) == 1) and r.predicted == int(r.score >= 0.7) and 0 <= r.score <= 1 for r in scored.values())
-    held = [(scored[i].score, y) for i, y in labels.items() if i in scored and scored[i].held_out]
-    bad, good = [s for s, y in held if y], [s for s, y in held if not y]
-    assert np.mean([[a > b for b in good] for a in bad]) > 0.9       # 399 labels in all at this size
+    rows = op1_toxicity(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
+    assert all(r.held_out == (fold_of(r.doc_id, 3) == 1) and r.predicted == int(r.score >= 0.7) and 0 <= r.score <= 1 for r in rows)
+
+
+def test_toxicity_on_held_out_documents(spark):
+    """About 3,600 labels, a tenth of them toxic, some without any sign of it in the text."""
+    sf = "/root/testdata/sf0.1"
+    if not Path(sf).exists():
+        pytest.skip("no test data")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    known = docs.join(labels, "doc_id")
+    scores = {r.doc_id: r for r in T.toxicity(known.select("doc_id", "text"), labels).collect()}
+    held = [(scores[r.doc_id], r.toxic) for r in known.select("doc_id", "toxic").collect() if scores[r.doc_id].held_out]
+    bad, good = np.array([s.score for s, y in held if y]), np.array([s.score for s, y in held if not y])
+    assert np.mean(bad[:, None] > good) > 0.92
+    assert np.mean(good >= 0.7) < 0.02 and np.mean(bad >= 0.7) > 0.6
 
 
 def test_toxicity_cases(table, clashes):
