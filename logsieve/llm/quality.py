@@ -33,39 +33,56 @@ def _words(text: Column) -> Column:
 
 
 def _n_dup_lines(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda line: F.rtrim(F.translate(line, "\t\x0b\x0c\r", "    ")) != "")
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike("[^ \\t-\\r]"))
     return _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
 def _n_repeat_words(text: Column) -> Column:
     """Words that stand in a window of three words found twice or more.
 
-    Windows are sorted by their hash with their place, so equal ones are neighbours: no lookup per word.
+    A text whose windows have different hashes has none. Else hashes are sorted with the window's number in their
+    lowest bits, so equal windows are neighbours, and no window is ever looked up among all. Should two different
+    hashes agree in the bits that are left, hash and number are sorted side by side instead.
     """
-    def windows(w: Column) -> Column:
-        return F.sort_array(F.transform(
-            F.sequence(F.lit(0), F.size(w) - 3),
-            lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))))
+    def hashes(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
-    def covered(s: Column) -> Column:
-        again = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (
-            F.coalesce(F.get(s, j)["h"] == F.get(s, j + 1)["h"], F.lit(False))
-            | F.coalesce(F.get(s, j)["h"] == F.get(s, j - 1)["h"], F.lit(False))))
-        return _let(F.transform(again, lambda j: F.get(s, j)["i"]), lambda p: F.size(F.array_distinct(
-            F.concat(p, F.transform(p, lambda i: i + 1), F.transform(p, lambda i: i + 2)))))
+    def covered(places: Column) -> Column:
+        return _let(places, lambda p: F.size(F.array_distinct(F.concat(p, F.transform(p, lambda i: i + 1), F.transform(p, lambda i: i + 2)))))
 
-    return _let(_words(text), lambda w: F.when(F.size(w) < 4, F.lit(0)).otherwise(_let(windows(w), covered))).cast("long")
+    def side_by_side(h: Column) -> Column:
+        both = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("i"))))
+        return _let(both, lambda s: covered(F.transform(F.filter(s, lambda x, j: (
+            F.coalesce(x["h"] == F.get(s, j + 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(s, j - 1)["h"], F.lit(False)))), lambda x: x["i"])))
+
+    def by_number(h: Column, mask: Column) -> Column:
+        keys = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))))
+
+        def near(s: Column) -> Column:
+            pairs = F.filter(F.sequence(F.lit(0), F.size(s) - 2), lambda j: F.get(s, j).bitwiseXOR(F.get(s, j + 1)).between(F.lit(0), mask))
+            return _let(pairs, lambda at: F.when(
+                F.exists(at, lambda j: F.get(h, F.get(s, j).bitwiseAND(mask).cast("int")) != F.get(h, F.get(s, j + 1).bitwiseAND(mask).cast("int"))),
+                side_by_side(h),
+            ).otherwise(covered(F.concat(F.transform(at, lambda j: F.get(s, j).bitwiseAND(mask)), F.transform(at, lambda j: F.get(s, j + 1).bitwiseAND(mask))))))
+
+        return _let(keys, near)
+
+    def repeats(h: Column) -> Column:
+        mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.size(h)))) - 1      # holds any number
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_let(mask, lambda m: by_number(h, m)))
+
+    return _let(_words(text), lambda w: F.when(F.size(w) < 4, F.lit(0)).otherwise(_let(hashes(w), repeats))).cast("long")
 
 
 FEATURES: dict[str, Callable[[Column], Column]] = {
     "n_words": lambda t: F.size(_words(t)).cast("long"),
-    "word_chars": lambda t: F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long"),
-    "n_symbols": lambda t: (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+    "word_chars": lambda t: F.length(F.regexp_replace(t, _SPACES + "+", "")).cast("long"),
+    "n_symbols": lambda t: F.length(F.regexp_replace(t, f"[^{SYMBOLS}]++", "")).cast("long"),
     "n_dup_lines": _n_dup_lines,
     "n_repeat_words": _n_repeat_words,
     "n_lines": lambda t: F.size(F.split(t, "\n")).cast("long"),
-    "n_shouts": lambda t: (F.length(t) - F.length(F.translate(t, "!", ""))).cast("long"),
-    "n_upper": lambda t: (F.length(t) - F.length(F.regexp_replace(t, "\\p{Lu}", ""))).cast("long"),
+    "n_shouts": lambda t: (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))).cast("long"),
+    "n_upper": lambda t: F.length(F.regexp_replace(t, "\\P{Lu}++", "")).cast("long"),
 }
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 Feature = Callable[[str], Column]
