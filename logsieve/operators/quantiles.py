@@ -17,9 +17,14 @@ from logsieve.session import store
 BINS = 2048
 
 
+def group_column(value: str, by: str | None) -> Column:
+    """The group of a row. Without groups it is 0, but not a literal: the optimiser would take a literal out of a join."""
+    return F.col(by) if by else F.pmod(F.xxhash64(value), F.lit(1).cast("bigint"))
+
+
 def _rows(df: DataFrame, value: str, by: str | None) -> DataFrame:
-    """(g, v): the group, 0 where there are none, and the value of the rows that have one."""
-    return df.select((F.col(by) if by else F.lit(0)).alias("g"), F.col(value).cast("double").alias("v")).filter("v is not null")
+    """(g, v): the group and the value of the rows that have one."""
+    return df.select(group_column(value, by).alias("g"), F.col(value).cast("double").alias("v")).filter("v is not null")
 
 
 def _same_group(a: str, b: str = "g") -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logsieve.functions.scalars import unit_hash
 from logsieve.operators.labels import source_matches
-from logsieve.operators.quantiles import group_sizes, order_statistics
+from logsieve.operators.quantiles import group_column, group_sizes, order_statistics
 from logsieve.session import store
 
 # Which node holds the events of which services, and the size below which a half split is used.
@@ -26,8 +26,7 @@ def _cut(hashed: DataFrame, wanted: DataFrame, by: str | None) -> DataFrame:
     """
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     cuts = order_statistics(hashed, "_h", wanted, by).select(F.col("g").alias("_g"), "k", F.col("value").alias("cut"))
-    group = F.col(by) if by else F.lit(0)
-    marked = hashed.select(group.alias("_of"), "_h", "_h2").join(cuts, same("_of", "_g"))
+    marked = hashed.select(group_column("_h", by).alias("_of"), "_h", "_h2").join(cuts, same("_of", "_g"))
     ties = store(
         marked.groupBy("_g", "k", "cut").agg(F.count_if(F.col("_h") < F.col("cut")).alias("under"), F.count_if(F.col("_h") == F.col("cut")).alias("tied")))
     inside = ties.filter(F.col("under") + F.col("tied") > F.col("k") + 1)
@@ -40,8 +39,7 @@ def _cut(hashed: DataFrame, wanted: DataFrame, by: str | None) -> DataFrame:
 
 
 def _flag(hashed: DataFrame, cuts: DataFrame, by: str | None, column: str) -> DataFrame:
-    group = F.col(by) if by else F.lit(0)
-    joined = hashed.withColumn("_of", group).join(cuts, F.col("_of").eqNullSafe(F.col("_g")), "left")
+    joined = hashed.withColumn("_of", group_column("_h", by)).join(cuts, F.col("_of").eqNullSafe(F.col("_g")), "left")
     within = (F.col("_h") < F.col("cut")) | (F.col("_h") == F.col("cut")) & (F.col("_h2") <= F.col("cut2"))
     return joined.withColumn(column, F.coalesce(within, F.lit(False))).drop("_h", "_h2", "_of", "_g", "cut", "cut2")
 

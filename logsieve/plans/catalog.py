@@ -402,14 +402,14 @@ def node_split_counts(spark, sf):
 t AS (SELECT SUM(c) AS n, SUM(c) - CEIL(0.2::DOUBLE * SUM(c)) AS train FROM n),
 e AS (SELECT label, c, c * train / n::DOUBLE AS x FROM n, t),
 f AS (SELECT *, FLOOR(x) AS base, ROW_NUMBER() OVER (ORDER BY FLOOR(x) - x, label) AS pos FROM e)
-SELECT label, (base + CASE WHEN pos <= (SELECT train FROM t) - (SELECT SUM(base) FROM f) THEN 1 ELSE 0 END)::BIGINT AS train,
-  (SELECT SUM(c) FROM n)::BIGINT // 2 AS first_half FROM f""")
+SELECT label, (base + CASE WHEN pos <= (SELECT train FROM t) - (SELECT SUM(base) FROM f) THEN 1 ELSE 0 END)::BIGINT AS first FROM f
+UNION ALL SELECT 'all in halves', SUM(c)::BIGINT // 2 FROM n""")
 def splits_of_repeated_keys(spark, sf):
     """The key of a line is its supplier, which many lines share."""
     lines = table(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "label")
-    train = split.stratified_split(lines, "l_suppkey").groupBy("label").agg(F.count_if("is_train").alias("train"))
-    halves = split.half_split(lines, "l_suppkey").agg(F.count_if("is_first").alias("first_half"))
-    return train.join(F.broadcast(halves))      # one row
+    train = split.stratified_split(lines, "l_suppkey").groupBy("label").agg(F.count_if("is_train").alias("first"))
+    halves = split.half_split(lines, "l_suppkey").agg(F.count_if("is_first").alias("first"))
+    return train.unionByName(halves.select(F.lit("all in halves").alias("label"), "first"))
 
 
 @query(f"""WITH {TRAIL}, t AS (SELECT contains(event_source, 'iam')::INTEGER

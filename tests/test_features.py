@@ -124,13 +124,13 @@ def test_change_texts(read, event):
                      change_document(m, m["event_time"]).alias("doc"),
                      changed_resource(m["request_parameters"]).alias("resource"), retrieval_query(m).alias("query")).collect()
     printed = json.dumps(params)
-    assert rows[0].line == f"RunInstances on {printed} by arn:aws:iam::1:user/a at 2026-05-08T10:00:00Z"
-    assert rows[0].summary == ("[2026-05-08T10:00:00Z] RunInstances on ec2.amazonaws.com in us-east-1 "
+    assert rows[0].line == f"RunInstances on {printed} by arn:aws:iam::1:user/a at 2025-03-14T10:00:00Z"
+    assert rows[0].summary == ("[2025-03-14T10:00:00Z] RunInstances on ec2.amazonaws.com in us-east-1 "
                                f"by arn:aws:iam::1:user/a. Params: {printed}")
-    assert rows[0].doc == f"RunInstances at 2026-05-08T10:00:00Z by a via ec2.amazonaws.com in us-east-1: {printed}"
+    assert rows[0].doc == f"RunInstances at 2025-03-14T10:00:00Z by a via ec2.amazonaws.com in us-east-1: {printed}"
     assert rows[0].resource == "fé" and rows[0].query == "RunInstances ec2.amazonaws.com"
-    assert rows[1].line == "RunInstances on {} by unknown at 2026-05-08T10:00:00Z"
-    assert rows[1].summary == "[2026-05-08T10:00:00Z] RunInstances on ? in ? by Unknown. Params: {}"
+    assert rows[1].line == "RunInstances on {} by unknown at 2025-03-14T10:00:00Z"
+    assert rows[1].summary == "[2025-03-14T10:00:00Z] RunInstances on ? in ? by Unknown. Params: {}"
     assert rows[1].resource is None and rows[1].query == "RunInstances"
     assert " by u. Params: " in rows[2].summary
     long = json.dumps({"k": "v" * 900})

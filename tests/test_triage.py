@@ -71,7 +71,7 @@ def test_pager_only_for_genuine(decided):
     assert body["dedup_key"] == "1" and body["event_action"] == "trigger"
     assert body["payload"] == {
         "summary": "Anomaly: RunInstances by arn:aws:iam::1:user/a", "severity": "critical", "source": "logsieve",
-        "timestamp": "2026-05-08T10:00:00Z",
+        "timestamp": "2025-03-14T10:00:00Z",
         "custom_details": {"score": -0.25, "reasoning": "because", "region": "us-east-1", "error": "AccessDenied"}}
 
 
@@ -80,9 +80,9 @@ def test_chat_for_every_decision(decided):
     assert rows["1"].color == "#FF0000" and rows["1"].header == ":rotating_light: Genuine Anomaly: RunInstances"
     assert rows["2"].color == "#36a64f" and rows["2"].header == ":white_check_mark: Known Change: RunInstances"
     fields = [f["text"] for f in json.loads(rows["1"].payload)["attachments"][0]["blocks"][1]["fields"]]
-    assert fields == ["*Score:*\n-0.2500", "*Time:*\n2026-05-08T10:00:00Z", "*Principal:*\narn:aws:iam::1:user/a", "*Region:*\nus-east-1"]
+    assert fields == ["*Score:*\n-0.2500", "*Time:*\n2025-03-14T10:00:00Z", "*Principal:*\narn:aws:iam::1:user/a", "*Region:*\nus-east-1"]
     blocks = json.loads(rows["2"].payload)["attachments"][0]["blocks"]
-    assert [f["text"] for f in blocks[1]["fields"]] == ["*Score:*\n?", "*Time:*\n2026-05-08T10:00:00Z", "*Principal:*\n?", "*Region:*\n?"]
+    assert [f["text"] for f in blocks[1]["fields"]] == ["*Score:*\n?", "*Time:*\n2025-03-14T10:00:00Z", "*Principal:*\n?", "*Region:*\n?"]
     assert blocks[2]["text"]["text"] == "*Reasoning:*\nn/a"
 
 
@@ -94,7 +94,7 @@ def test_severity_of_unknown_level(spark):
 def test_log_rows(decided):
     rows = {r.event_id: r for r in tr.decision_rows(decided).collect()}
     assert rows["1"].pagerduty_id == "1" and rows["2"].pagerduty_id is None and rows["1"].slack_ts is None
-    assert rows["1"].anomaly_score == -0.25 and rows["1"].kafka_offset == 7 and str(rows["1"].event_time) == "2026-05-08 10:00:00"
+    assert rows["1"].anomaly_score == -0.25 and rows["1"].kafka_offset == 7 and str(rows["1"].event_time) == "2025-03-14 10:00:00"
     view = tr.audit_view(tr.decision_rows(decided), decided.select(F.col("eventID").alias("event_id"), "score"))
     assert {(r.event_id, r.decision) for r in view.collect()} == {("1", "genuine_bug"), ("2", "known_change")}
 
