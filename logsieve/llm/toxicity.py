@@ -29,6 +29,7 @@ WIDTH, STATE, ATTENTION = 8, 8, 8
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1_000, 2_000      # labelled texts that are fitted, about
 WINDOWS_PER_TEXT = 4        # of a clean text that an epoch draws
 EPOCHS, LEAST_STEPS = 8, 300
+BLOCK_TEXTS = 200           # whose n-grams are counted at once
 KNOWN_TEXTS = 3             # training texts that must hold a word for it to be known
 FORGET = 0.1                # share of known words that a training step treats as unknown
 DECAY = 0.02                # pull of all weights to zero, per unit of learning rate
@@ -211,14 +212,19 @@ class Model:
         return np.where(np.isfinite(z), sigmoid(self.slope * np.where(np.isfinite(z), z, 0.0) + self.shift), 0.0)
 
 
-def apart(bucket: np.ndarray, text: np.ndarray, y: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(how far each bucket's share of toxic texts is from that of clean ones, in standard errors; texts that hold it)."""
+def holders(bucket: np.ndarray, text: np.ndarray, y: np.ndarray, buckets: int) -> np.ndarray:
+    """(texts that hold each bucket, toxic ones among them)."""
     pairs = np.unique(bucket * len(y) + text)
     bucket, of = pairs // len(y), pairs % len(y)
-    held, bad = np.bincount(bucket, minlength=buckets), np.bincount(bucket, y[of], buckets)
-    share, good = held / len(y), held - bad
-    error = np.sqrt(share * (1 - share) * (1 / y.sum() + 1 / (len(y) - y.sum()))) + 1e-9
-    return np.where(held >= KNOWN_TEXTS, (bad / y.sum() - good / (len(y) - y.sum())) / error, 0.0), held
+    return np.stack([np.bincount(bucket, minlength=buckets), np.bincount(bucket, y[of], buckets)])
+
+
+def apart(counts: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How far each bucket's share of toxic texts is from that of clean ones, in standard errors; 0 if few texts hold it."""
+    (held, bad), n_bad, n_good = counts, y.sum(), len(y) - y.sum()
+    share = held / len(y)
+    error = np.sqrt(share * (1 - share) * (1 / n_bad + 1 / n_good)) + 1e-9
+    return np.where(held >= KNOWN_TEXTS, (bad / n_bad - (held - bad) / n_good) / error, 0.0)
 
 
 def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 11, rate: float = 0.01, batch: int = 128) -> Model:
@@ -235,13 +241,17 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 11
     mine = ~held[text]
     renumber = np.cumsum(~held) - 1
     n, at = number[mine], renumber[text[mine]]
-    by_word, holders = apart(whole[n], at, y[~held], WORD_BUCKETS)
-    pair = np.unique(n * len(y) + at)               # a word counts once a text
-    n, at = pair // len(y), pair % len(y)
+    by_word = holders(whole[n], at, y[~held], WORD_BUCKETS)
     counts = np.diff(ends, prepend=0)
-    of_word = np.repeat(ends[n] - np.cumsum(counts[n]), counts[n]) + np.arange(counts[n].sum())
-    by_gram, gram_holders = apart(grams[of_word], np.repeat(at, counts[n]), y[~held], CHAR_BUCKETS)
-    model.network.known, model.network.known_grams = holders >= KNOWN_TEXTS, gram_holders >= KNOWN_TEXTS
+    by_gram = np.zeros((2, CHAR_BUCKETS))
+    edges = np.searchsorted(at, np.arange(0, int(at.max()) + 1 + BLOCK_TEXTS, BLOCK_TEXTS)) if len(at) else [0]
+    for a, b in zip(edges[:-1], edges[1:]):         # some texts at a time: their n-grams are many
+        pair = np.unique(n[a:b] * len(y) + at[a:b])
+        word, t = pair // len(y), pair % len(y)
+        places = np.repeat(ends[word] - np.cumsum(counts[word]), counts[word]) + np.arange(counts[word].sum())
+        by_gram += holders(grams[places], np.repeat(t, counts[word]), y[~held], CHAR_BUCKETS)
+    model.network.known, model.network.known_grams = by_word[0] >= KNOWN_TEXTS, by_gram[0] >= KNOWN_TEXTS
+    by_word, by_gram = apart(by_word, y[~held]), apart(by_gram, y[~held])
     # the first number of a vector starts as what its word or n-gram alone tells
     model.network.p["words"][:, 0] = np.clip(by_word / APART, -1, 3)
     model.network.p["chars"][:, 0] = np.clip(by_gram / APART, -1, 3)
