@@ -79,12 +79,12 @@ def fuzzy_keys(fingerprints: np.ndarray, table: np.ndarray) -> tuple[np.ndarray,
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def shingle_hashes(text: str | None) -> list[int]:
-    """XXH64 of the text's shingles: A-Z in lower case, runs of [\\x20\\x09-\\x0D] as separators."""
+def shingle_hashes(text: str | None, n: int = SHINGLE_WORDS) -> list[int]:
+    """XXH64 of the text's shingles of n words: A-Z in lower case, runs of [\\x20\\x09-\\x0D] as separators."""
     words = (text or "").encode().lower().split()
     if not words:
         return []
-    joined, n = b" ".join(words), SHINGLE_WORDS
+    joined = b" ".join(words)
     if len(words) <= n:
         return [xxhash.xxh64_intdigest(joined, SEED)]
     ends = np.cumsum([len(w) + 1 for w in words])

@@ -1,0 +1,78 @@
+"""Near-duplicate classes of the pipeline against comparing all pairs of shingle sets."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from logsieve.llm import similar as N
+from logsieve.llm import simhash
+
+
+def shingles(text, n=5):
+    words = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").translate({ord(c): " " for c in "\t\n\x0b\x0c\r"}).split(" ") if w]
+    return {" ".join(words[i:i + n]) for i in range(len(words) - n + 1)} or ({" ".join(words)} if words else set())
+
+
+def kept(texts, share=0.8):
+    """The smallest id of each class."""
+    sets = {i: shingles(t) for i, t in texts.items()}
+    up = {i: i for i in texts}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            both = len(sets[i] & sets[j])
+            if i < j and both >= share * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                a, b = sorted((up[i], up[j]))
+                up = {k: a if v == b else v for k, v in up.items()}
+    return {i for i in texts if up[i] == i}
+
+
+def edited(rng, text, edits):
+    words = text.split()
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_planted_near_copies_leave_the_stage(spark, table):
+    rng = random.Random(3)
+    base = [" ".join(f"w{rng.randrange(3000)}" for _ in range(400)) for _ in range(15)]
+    texts = dict(enumerate(base)) | {100 + k: edited(rng, t, 4) for k, t in enumerate(base)} | {200 + k: edited(rng, t, 60) for k, t in enumerate(base)}
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, table(list(texts.items())).repartition(4), "").collect()}
+    prints = simhash.fingerprints_of([texts[k] for k in range(15)] + [texts[100 + k] for k in range(15)])
+    assert sum((int(a) ^ int(b)).bit_count() > 2 for a, b in zip(prints[:15], prints[15:])) > 5      # out of reach of two bits
+    assert got == kept(texts) == set(range(15)) | set(range(200, 215))
+
+
+@pytest.mark.parametrize("common_from", [1, 4, 10**9])
+def test_classes_match_all_pairs(table, monkeypatch, common_from):
+    """Chains around a shared passage and one large group, whatever the order of the hashes."""
+    monkeypatch.setattr(N, "COMMON", common_from)
+    monkeypatch.setattr(N, "SAMPLE", 1)
+    rng = random.Random(common_from)
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts, at = {}, 0
+    for size in (3, 9, 40, 150):
+        for _ in range(4):
+            t = " ".join(f"w{rng.randrange(4000)}" for _ in range(size)) + " " + (passage if rng.random() < 0.7 else "")
+            for _ in range(10):
+                texts[at], at = t, at + 1
+                t = edited(rng, t, rng.choice([0, 1, 1, 2, 3, 5]))
+    texts |= {at + k: edited(rng, passage, rng.choice([0, 1, 1, 2])) for k in range(90)} | {at + 90: "", at + 91: None, at + 92: " \n", at + 93: "One two", at + 94: "one  TWO"}
+    ids = list(texts)
+    rng.shuffle(ids)
+    got = [r.doc_id for r in N.keep_one(table([(i, texts[i]) for i in ids]).repartition(5)).collect()]
+    assert len(got) == len(set(got)) and set(got) == kept(texts)
+
+
+def test_rows_and_columns(table, clashes):
+    rows = [(5, "same words in here"), (2, "same words in here"), (2, "same words in here"), (9, "other things altogether, nothing alike"), (None, "same words in here")]
+    df = N.keep_one(table(rows, **clashes))
+    assert df.columns == table([], **clashes).columns
+    assert sorted(repr(r.doc_id) for r in df.collect()) == ["2", "9", "None"]
+    assert N.keep_one(table([])).count() == 0
+
+
+def test_each_class_keeps_a_text_where_an_id_repeats(table):
+    rows = [(1, "a text about one thing"), (1, "quite another text of the same id"), (2, "quite another text of the same id"), (3, "a text about one thing")]
+    assert sorted((r.doc_id, r.text) for r in N.keep_one(table(rows)).collect()) == sorted(rows[:2])
