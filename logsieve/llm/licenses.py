@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from logsieve.llm.texts import slices
 
 THRESHOLD = 0.8
-BLOCK_WORDS = 64            # a block is a line, cut into windows of so many words where longer
+BLOCK_WORDS = 64            # a block is a line, or a window of so many words over a longer line or over the whole text
 BLOCK_STEP = 32             # from window to window; templates are not longer than this
 
 #: Lower case, and every ASCII character but letters and digits as a space.
@@ -104,8 +104,11 @@ def blocks_around(lines: list[int], at: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def scan(text: str | None, join: Join) -> tuple[int, int, int | None, int | None, list[str], list[str], float]:
-    """(words, phrase places, first and last of them, their labels, all labels, score) of one text."""
+def scan(text: str | None, join: Join, across: bool = False) -> tuple[int, int, int | None, int | None, list[str], list[str], float]:
+    """(words, phrase places, first and last of them, their labels, all labels, score) of one text.
+
+    Blocks are those of the lines and, with `across`, the windows over the whole text as well.
+    """
     by_line = [words_of(line) for line in (text or "").encode().split(b"\n")]
     words = [w for line in by_line for w in line]
     joined = b" " + b" ".join(words) + b" "
@@ -123,7 +126,10 @@ def scan(text: str | None, join: Join) -> tuple[int, int, int | None, int | None
     hits = [i for i, p in enumerate(places) if p >= 0 and p in join.prefixes]
     if hits:
         ends = np.cumsum([len(line) for line in by_line]).tolist()
-        for a, b in blocks_around(ends, hits):
+        blocks = blocks_around(ends, hits)
+        if across and len(by_line) > 1:
+            blocks = sorted({*blocks, *blocks_around([len(words)], hits)})
+        for a, b in blocks:
             for label, share in join.held([p for p in places[a:b] if p >= 0]):
                 labels.add(label)
                 score = max(score, share)
@@ -150,7 +156,8 @@ def find_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
 
     A-Z count as lower case; words are runs of ASCII letters and digits and of all other characters beyond ASCII.
     `n_base` counts the places of `PHRASES`, `first_word` and `last_word` are the first and last word number where one
-    starts, null if none does. `labels` adds those of the templates that a block holds. The score is the largest share
+    starts, null if none does. `labels` adds those of the templates that a block holds; as blocks are the lines and the
+    windows over the whole text, a notice may be wrapped. The score is the largest share
     of a template that a block holds, 1 where a phrase stands, 0 where there are no labels. Null texts are empty and
     have no words. Every row gives a row, equal or null ids included; only doc_id and text are read, so extra columns
     cannot clash; an empty table gives no rows.
@@ -161,7 +168,7 @@ def find_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         join = sent.value
         for batch in slices(batches):
-            n, base, first, last, own, labels, score = zip(*(scan(t, join) for t in batch.column("text").to_pylist()))
+            n, base, first, last, own, labels, score = zip(*(scan(t, join, across=True) for t in batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(base, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64()),
                  pa.array(own, pa.list_(pa.string())), pa.array(labels, pa.list_(pa.string())), pa.array(score, pa.float64())],
