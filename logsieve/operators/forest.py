@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logsieve.operators.labels import check_feature_schema
-from logsieve.operators.quantiles import contamination_threshold
+from logsieve.operators.quantiles import contamination_threshold, order_statistics
 from logsieve.schema import FEATURES
 from logsieve.session import materialise, store
 
@@ -197,9 +197,11 @@ def tree_samples(rows: DataFrame, sizes: dict[str, int], samples: dict[str, int]
 def _tree_rows(rows: DataFrame, sizes: dict, samples: dict, trees: int, seed: int) -> DataFrame:
     """Exactly `samples` rows per tree, each row once per tree that takes it, for samples too large for a task.
 
-    As in `tree_samples` the least hashes of a tree are its sample. The cut of a tree lies within a few standard
-    deviations of its expected place, so it is found among the few rows there and a count of those below; copies of a
-    key at the cut are told apart by a second hash, of the whole row.
+    As in `tree_samples` the least hashes of a tree are its sample. Copies of a key share that hash, and are told apart
+    by a second one, of the whole row. Where keys are unique the cut of a tree lies within a few standard deviations
+    of its expected place and is found among the few rows there and a count of those below. A tree whose cut lies
+    elsewhere, or with too many rows there, gets it from order statistics. Of equal rows at the cut as many are taken
+    as the sample has room for.
     """
     spark = rows.sparkSession
     own = F.pmod(F.xxhash64(*rows.columns), F.lit(_HASH_RANGE))
@@ -207,23 +209,52 @@ def _tree_rows(rows: DataFrame, sizes: dict, samples: dict, trees: int, seed: in
     for m, n in sizes.items():
         psi = samples[m]
         slack = (8 * math.sqrt(psi * (1 - psi / n)) + 10) / n
-        around.append((m, int(max(0.0, psi / n - slack) * _HASH_RANGE), int(min(1.0, psi / n + slack) * _HASH_RANGE), psi))
-    near = spark.createDataFrame(around, "model string, lo bigint, hi bigint, psi bigint")
+        around.append((m, int(max(0.0, psi / n - slack) * _HASH_RANGE), int(min(1.0, psi / n + slack) * _HASH_RANGE), psi, int(2 * slack * n) + SUBTREE_ROWS))
+    near = spark.createDataFrame(around, "model string, lo bigint, hi bigint, psi bigint, most bigint")
     hashes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree_id"), _hash(F.lit(seed), F.col("key"), t).alias("h")))
-    placed = rows.join(F.broadcast(near), "model").withColumn("_t", F.explode(hashes)).select("*", "_t.tree_id", "_t.h", own.alias("_own")).drop("_t")
-    below = placed.filter("h < lo").groupBy("model", "tree_id").agg(F.count("*").alias("below"))
-    window = store(placed.filter("h >= lo and h < hi").select(F.col("model").alias("_m"), F.col("tree_id").alias("_i"), "h", "_own", "psi"))
-    rank = F.row_number().over(W.partitionBy("_m", "_i").orderBy("h", "_own"))
-    ranked = window.withColumn("_r", rank).join(below, (F.col("_m") == F.col("model")) & (F.col("_i") == F.col("tree_id")), "left")
-    wanted = F.col("psi") - F.coalesce("below", F.lit(0))
-    cuts = store(
-        ranked.filter(F.col("_r") <= wanted).groupBy("_m", "_i")
-        .agg(F.max(F.struct("h", "_own")).alias("c")).select("_m", "_i", F.col("c.h").alias("cut"), F.col("c._own").alias("cut_own")))
-    taken = (F.col("h") < F.col("cut")) | (F.col("h") == F.col("cut")) & (F.col("_own") <= F.col("cut_own"))
+    placed = (
+        rows.join(F.broadcast(near), "model").withColumn("_t", F.explode(hashes))
+        .select(F.struct(*rows.columns).alias("row"), "model", "lo", "hi", F.col("_t.tree_id").alias("tree_id"), F.col("_t.h").alias("h"), own.alias("own")))
+    counts = placed.groupBy(F.col("model").alias("_m"), F.col("tree_id").alias("_i")).agg(F.count_if(F.col("h") < F.col("lo")).alias("below"), F.count_if(F.col("h") < F.col("hi")).alias("upto"))
+    counts = store(
+        counts.join(F.broadcast(near), F.col("_m") == F.col("model"))
+        .select("_m", "_i", "psi", "below", ((F.col("below") < F.col("psi")) & (F.col("psi") <= F.col("upto")) & (F.col("upto") - F.col("below") <= F.col("most"))).alias("inside")))
+    same_tree = (F.col("model") == F.col("_m")) & (F.col("tree_id") == F.col("_i"))
+
+    # Per tree the cut, the row there and how many of its copies belong to the sample.
+    window = placed.filter("h >= lo and h < hi").join(F.broadcast(counts.filter("inside")), same_tree)     # a row per tree
+    by_place = W.partitionBy("_m", "_i").orderBy("h", "own")
+    cuts = (
+        window.withColumn("_r", F.row_number().over(by_place)).withColumn("_first", F.rank().over(by_place))
+        .filter(F.col("_r") == F.col("psi") - F.col("below"))
+        .select("_m", "_i", F.col("h").alias("cut"), F.col("own").alias("cut_own"), "row", (F.col("_r") - F.col("_first") + 1).alias("copies")))
+    elsewhere = counts.filter("not inside")
+    if not elsewhere.isEmpty():
+        cuts = cuts.unionByName(_cuts_elsewhere(placed.join(F.broadcast(elsewhere), same_tree)))
+    cuts = store(cuts)
+    before = (F.col("h") < F.col("cut")) | (F.col("h") == F.col("cut")) & (F.col("own") < F.col("cut_own"))
+    columns = [*[F.col(f"row.`{c}`") for c in rows.columns], "tree_id"]
+    at_cut = (
+        cuts.withColumn("_from", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies").cast("bigint"), F.lit(SUBTREE_ROWS).cast("bigint")))).repartition("_m", "_i", "_from")
+        .withColumn("_copy", F.explode(F.sequence(F.col("_from"), F.least(F.col("copies"), F.col("_from") + SUBTREE_ROWS - 1))))
+        .select("row", F.col("_i").alias("tree_id")))
+    return placed.join(F.broadcast(cuts.drop("row")), same_tree).filter(before).select(*columns).unionByName(at_cut.select(*columns))
+
+
+def _cuts_elsewhere(placed: DataFrame) -> DataFrame:
+    """(_m, _i, cut, cut_own, row, copies) of the trees of `placed`, whatever shares a hash."""
+    group = F.to_json(F.struct("_m", "_i"))
+    placed = placed.withColumn("_g", group)
+    asked = placed.select("_g", "psi").distinct()
+    cut = store(order_statistics(placed, "h", asked.select(F.col("_g").alias("g"), (F.col("psi") - 1).alias("k")), "_g").select(F.col("g").alias("_c"), F.col("value").cast("bigint").alias("cut")))
+    met = placed.join(F.broadcast(cut), F.col("_g") == F.col("_c")).filter("h <= cut")      # a row per tree
+    left = store(met.groupBy("_g").agg((F.first("psi") - F.count_if(F.col("h") < F.col("cut"))).alias("left")))
+    here = met.filter("h = cut")
+    second = store(order_statistics(here, "own", left.select(F.col("_g").alias("g"), (F.col("left") - 1).alias("k")), "_g").select(F.col("g").alias("_o"), F.col("value").cast("bigint").alias("cut_own")))
     return (
-        placed.filter("h < hi").join(F.broadcast(cuts), (F.col("model") == F.col("_m")) & (F.col("tree_id") == F.col("_i")))   # a row per tree
-        .filter(taken).drop("_m", "_i", "cut", "cut_own", "lo", "hi", "psi", "h", "_own")
-    )
+        here.join(F.broadcast(second), F.col("_g") == F.col("_o")).filter("own <= cut_own").join(F.broadcast(left.withColumnRenamed("_g", "_l")), F.col("_g") == F.col("_l"))
+        .groupBy("_m", "_i", "cut", "cut_own", "left").agg(F.count_if(F.col("own") < F.col("cut_own")).alias("less"), F.min(F.when(F.col("own") == F.col("cut_own"), F.col("row"))).alias("row"))
+        .select("_m", "_i", "cut", "cut_own", "row", (F.col("left") - F.col("less")).alias("copies")))
 
 
 # Fitting -------------------------------------------------------------------------------------------------------
