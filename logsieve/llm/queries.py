@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsieve.llm import chat, decontam, language, licenses, line_dedup, packing, quality, simhash, token_files, toxicity
+from logsieve.llm import chat, decontam, language, licenses, line_dedup, middle, packing, pii, quality, simhash, token_files, toxicity, trie
 from logsieve.llm.texts import fold
 
 
@@ -80,10 +80,33 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    return df.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, conversations = trie.heads_exchanged(_table(spark, sf_dir, "conversations"))
+    return trie.prefix_trie(turns, conversations)
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = pii.find_personal_data(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return df.select("doc_id", *[count(kind.name) for kind in pii.BASE], F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_toxicity, op2_benchmark_decontamination, op3_chat_formatting, op4_simhash_near_dedup, op5_license_scans, op6_language_id,
-        op7_quality_rules, op8_line_dedup, op9_token_id_output, op10_best_fit_packing)
+        op7_quality_rules, op8_line_dedup, op9_token_id_output, op10_best_fit_packing,
+        op11_fill_in_middle, op12_prefix_trie, op13_personal_data)
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -131,4 +154,38 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM d GROUP BY doc_id""",
+    "op11_fill_in_middle": r"""
+        WITH u AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS d,
+                          regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+        h AS (SELECT *, len(u) AS n, ('0x' || d[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || d[9:16])::BIGINT % (len(u) + 1) AS b,
+                     CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || d[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+                          WHEN ('0x' || d[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+        p AS (SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m,
+                     array_to_string(u[greatest(a, b) + 1:], '') AS s FROM h)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                                ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p""",
+    "op12_prefix_trie": r"""
+        WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base,
+                     xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')]), lambda a, b:
+                         list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, (r & 1) * 3988292384))), 4294967295) % 9 AS h FROM t),
+        r AS (SELECT c.conv_id, i, role, text FROM c JOIN t ON t.conv_id = c.base WHERE i < h
+              UNION ALL SELECT c.conv_id, i, role, text FROM c JOIN t ON t.conv_id = c.conv_id WHERE i >= h),
+        d AS (SELECT conv_id, row_number() OVER w AS depth, text, string_agg(sha256(length(role) || ':' || role || text), '/') OVER w AS path FROM r
+              WINDOW w AS (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+        p AS (SELECT conv_id, depth, text, path FROM d UNION ALL SELECT conv_id, 0, '', '' FROM c),
+        m AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS last, lag(path) OVER (PARTITION BY conv_id ORDER BY depth) AS up FROM p),
+        n AS (SELECT path, depth, min(conv_id) AS conv_id, any_value(up) AS up, count(*) AS n_convs, any_value(strlen(text)) AS bytes,
+                     coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '') AS ends FROM m GROUP BY path, depth),
+        k AS (SELECT up AS path, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+        v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+        s AS (SELECT p.path, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum((n_convs - 1) * bytes)::BIGINT AS saved_tokens
+              FROM v JOIN p ON p.conv_id = v.conv_id AND p.depth <= v.depth GROUP BY p.path)
+        SELECT v.conv_id, v.depth, x.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, sha256(v.ends) AS ends_sha256
+        FROM v JOIN s ON s.path = v.path LEFT JOIN n x ON x.path = v.up""",
 }
