@@ -170,3 +170,9 @@ def encoder(path: str, kind: str) -> Encoder:
     if (path, kind) not in held:
         held[path, kind] = Encoder(path, kind)
     return held[path, kind]
+
+
+def release_encoders() -> None:
+    """Frees what `encoder` keeps: a stage that does not encode calls it, as workers are used again."""
+    if vars(tokenizers).pop("held_encoders", None):
+        pa.default_memory_pool().release_unused()

@@ -50,8 +50,10 @@ def ids_of(path, text, end):
     return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids + [end]
 
 
-def test_files_round_trip(spark, table, clashes, monkeypatch):
-    monkeypatch.setattr(token_files, "FILE_TOKENS", 50)
+@pytest.mark.parametrize("file_tokens, block_tokens", [(50, 12), (10 ** 6, 30), (1, 1)])
+def test_files_round_trip(spark, table, clashes, monkeypatch, file_tokens, block_tokens):
+    monkeypatch.setattr(token_files, "FILE_TOKENS", file_tokens)
+    monkeypatch.setattr(token_files, "BLOCK_TOKENS", block_tokens)
     folder = token_files.write_tokens(table(ROWS, **clashes).repartition(4), BYTE)
     rows = token_files.read_tokens(spark, folder).collect()
     rows.sort(key=lambda r: r.start)
