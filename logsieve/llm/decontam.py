@@ -7,14 +7,18 @@ parallel edit distance, the item's characters being the bits of one integer.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from logsieve.llm.texts import slices
+from logsieve.llm.texts import packed, shipped, slices
+from logsieve.session import shared_dir, store
 
 CHARS_PER_EDIT = 16         # an item may differ in one character of so many
 BLOCK_CHARS = 1_000_000     # of items that one pass over the documents searches: the bound on what is sent out
@@ -101,68 +105,78 @@ class Searcher:
         return sorted(found)
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     block, chars = [], 0
     rows = benchmark.select("item_id", "text").filter("item_id is not null and text is not null").distinct()
     for row in rows.toLocalIterator(prefetchPartitions=True):
         item = plain(row.text)
         if not item:
             continue
-        if block and chars + len(item) > BLOCK_CHARS:
+        if block and chars + len(item) > block_chars:
             yield block
             block, chars = [], 0
         block.append((row.item_id, item))
         chars += len(item)
-    yield block
+    if block:
+        yield block
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+def _search(docs: DataFrame, block: Callable[[], list[tuple[int, str]]], item_type: DataType, chars_per_edit: int) -> DataFrame:
+    """(doc_id, item_id, edits) of one block of items."""
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {item_type.simpleString()}, edits int"
+    arrow = to_arrow_type(item_type)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searcher = Searcher(block(), chars_per_edit)
+        for batch in slices(batches):
+            at, items, edits = [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                for item_id, e in searcher.find(plain(text)) if text else ():
+                    at.append(i)
+                    items.append(item_id)
+                    edits.append(e)
+            if at:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(at)), pa.array(items, arrow), pa.array(edits, pa.int32())], names=["doc_id", "item_id", "edits"])
+
+    return docs.select("doc_id", "text").mapInArrow(apply, schema)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, edits): every document and item that stands in it within the item's budget.
 
     Texts and items are compared whole, in lower case, with runs of ASCII punctuation and white space as one space; an
     item of n such characters may differ by n // `chars_per_edit` edits. Null or empty texts contain nothing, null or
     empty items are in nothing. Equal rows give equal results; a benchmark with the same id twice gives a row for each
-    of its texts. The items are searched in blocks of `BLOCK_CHARS`, one pass over the documents for each. Only
-    doc_id, item_id and text are read, so extra columns cannot clash; an empty table on either side gives no rows.
+    of its texts. The items are searched in blocks of `block_chars`, one pass over the documents for each; where there
+    are several, a pass is written before the next block is read, so the driver holds one at a time. Ids may be of any
+    type. Only doc_id, item_id and text are read, so extra columns cannot clash; an empty table on either side gives no
+    rows.
+    """
+    spark, item_type = docs.sparkSession, benchmark.schema["item_id"].dataType
+    blocks = _blocks(benchmark, block_chars)
+    block, after = next(blocks, None), next(blocks, None)
+    if block is None:
+        return _search(docs.filter(F.lit(False)), list, item_type, chars_per_edit)
+    if after is None:
+        return _search(docs, shipped(spark, block), item_type, chars_per_edit)
+    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    while block:
+        out = _search(docs, shipped(spark, block), item_type, chars_per_edit)
+        out.write.mode("append").parquet(path)
+        block, after = after, next(blocks, None)
+    return spark.read.schema(out.schema).parquet(path)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents that contain no item, with their columns.
+
+    A row is judged by its text alone, so rows without an id or with the same one are kept or go like any other. Null
+    and empty texts stay; very long texts are searched whole; extra columns stay whatever their names; an empty table
+    gives an empty result, an empty benchmark all rows. The distinct digests of leaking texts are written, a block of
+    the benchmark at a time, and rows are taken out by them; the join broadcasts them only where their table is small.
     """
-    spark, id_type, item_type = docs.sparkSession, docs.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType
-    schema = f"doc_id {id_type.simpleString()}, item_id {item_type.simpleString()}, edits int"
-
-    def search(sent):
-        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(sent.value, chars_per_edit)
-            for batch in slices(batches):
-                at, items, edits = [], [], []
-                for i, text in enumerate(batch.column("text").to_pylist()):
-                    for item_id, e in searcher.find(plain(text)) if text else ():
-                        at.append(i)
-                        items.append(item_id)
-                        edits.append(e)
-                if at:
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(at)), pa.array(items, pa.int64()).cast(_ARROW[item_type.simpleString()]), pa.array(edits, pa.int32())],
-                        names=["doc_id", "item_id", "edits"])
-        return apply
-
-    out = spark.createDataFrame([], schema)
-    for block in _blocks(benchmark):
-        if block:
-            sent = spark.sparkContext.broadcast(block)
-            out = out.union(docs.select("doc_id", "text").mapInArrow(search(sent), schema))
-    return out
-
-
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16()}
-
-
-def without_leaks(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
-    """The documents that contain no item, with their columns; a row without an id is judged by its text as well."""
-    spark = docs.sparkSession
-    dirty = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark) if b]
-
-    @F.pandas_udf("boolean")
-    def clean(texts):
-        searchers = [Searcher(b.value, chars_per_edit) for b in dirty]
-        return texts.map(lambda t: not t or not any(s.find(plain(t)) for s in searchers)).astype(bool)
-
-    return docs.filter(clean(F.coalesce("text", F.lit(""))))
+    digest = F.unhex(F.sha2("text", 256))
+    found = store(matches(docs.select(digest.alias("doc_id"), "text").filter("text <> ''"), benchmark, chars_per_edit, block_chars)
+                  .select(F.col("doc_id").alias("_dirty")).distinct())
+    return packed(docs).join(found, F.unhex(F.sha2("_row.text", 256)) == F.col("_dirty"), "left_anti").select("_row.*")

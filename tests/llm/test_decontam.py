@@ -62,18 +62,26 @@ def bench(spark):
     return spark.createDataFrame(rows, "item_id bigint, text string")
 
 
-def test_matches_and_cases(table, bench, clashes, monkeypatch):
+def test_matches_and_cases(table, bench, clashes):
     leak = "so the QUICK brown fox jumps over -- the lazy dog near the river bank."
     rows = [(1, leak), (2, "x " * 50_000 + leak), (3, leak.replace("jumps", "jumped")), (4, "nothing here"), (5, None), (6, ""), (None, leak), (1, leak),
             (7, "un été chaud"), (8, leak[:40]), (9, "a second text under the same number long enough to be found")]
     got = sorted((repr(r.doc_id), r.item_id, r.edits) for r in D.matches(table(rows, **clashes).repartition(3), bench).collect())
     want = sorted([("1", 1, 0), ("1", 1, 0), ("2", 1, 0), ("3", 1, 2), ("None", 1, 0), ("7", 4, 0), ("9", 1, 0)])
     assert got == want
-    monkeypatch.setattr(D, "BLOCK_CHARS", 10)       # a block for each item
-    assert sorted((repr(r.doc_id), r.item_id, r.edits) for r in D.matches(table(rows), bench).collect()) == want
-    kept = D.without_leaks(table(rows, **clashes), bench)
-    assert kept.columns == table([], **clashes).columns
-    assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 6, 8]
+    in_blocks = D.matches(table(rows), bench, block_chars=10)       # a block for each item
+    assert sorted((repr(r.doc_id), r.item_id, r.edits) for r in in_blocks.collect()) == want
+    for block_chars in (10, 10 ** 6):
+        kept = D.without_leaks(table(rows, _dirty="x", **clashes), bench, block_chars=block_chars)
+        assert kept.columns == table([], _dirty="x", **clashes).columns
+        assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 6, 8]
+
+
+def test_ids_of_any_type(spark, table):
+    items = spark.createDataFrame([("a/1", "some words that are in the text"), ("b", "others")], "item_id string, text string")
+    docs = spark.createDataFrame([("x", "Some words that are, in the text!"), ("y", "none")], "doc_id string, text string")
+    assert [tuple(r) for r in D.matches(docs, items).collect()] == [("x", "a/1", 0)]
+    assert [r.doc_id for r in D.without_leaks(docs, items).collect()] == ["y"]
 
 
 def test_empty_sides(spark, table, bench):
