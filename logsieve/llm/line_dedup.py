@@ -10,7 +10,8 @@ lines count as suspects; `bits` is the parameter to raise.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,13 +20,15 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from logsieve.llm.texts import SPACE, packed, slices
+from logsieve.llm.texts import SPACE, packed, shipped, slices
 from logsieve.session import store
 
 BITS = 1 << 27              # of each filter: 16 MB, the size of what is broadcast
 HASHES = 4
 SEGMENT = 1 << 20           # bits that merge together
+MOST_SENT = 1 << 18         # repeated keys whose digests are sent to the tasks, 24 bytes each
 FAN_IN = 64                 # partial filters that one merge step reads
 _STRIP = SPACE.encode()
 
@@ -119,8 +122,8 @@ def twice_seen(docs: DataFrame, min_chars: int, bits: int) -> bytes:
     return merged.tobytes()
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits: int = BITS) -> DataFrame:
-    """(`_id`, `_drops` array of line keys): for each document the keys whose lines it loses."""
+def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """Suspects (key, doc_id), and (repeated, keeper): the keys that `min_docs` documents hold and the largest id of them."""
     if bits % SEGMENT:
         raise ValueError(f"bits must be a multiple of {SEGMENT}")
     docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
@@ -147,12 +150,18 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits
     repeated = store(
         suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
         .filter(F.col("n") >= min_docs).select(F.col("key").alias("repeated"), "keeper"))
-    return (
-        suspects.join(repeated, F.col("key") == F.col("repeated")).filter("doc_id <> keeper")
-        .groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("key").alias("_drops")))
+    return suspects, repeated
+
+
+def _without(text: str | None, goes: Callable[[bytes], bool]) -> tuple[str, int, int]:
+    """(text, lines, dropped lines) of a text whose lines go where `goes` says so of their key."""
+    text = text or ""
+    lines = text.split("\n")
+    kept = [line for line, key in zip(lines, line_keys(text)) if not goes(key)]
+    return (text if len(kept) == len(lines) else "\n".join(kept)), len(lines), len(lines) - len(kept)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits: int = BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits: int = BITS, most_sent: int = MOST_SENT) -> DataFrame:
     """`docs` as struct `_row` and struct `_cut` (text, n_lines, n_dropped): the text without repeated lines.
 
     A line's key is the line stripped of [\\x20\\x09-\\x0D] at both ends with A-Z in lower case. Keys of `min_chars`
@@ -160,21 +169,36 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits: i
     largest id that holds them. A null or empty text is one empty line, and a text that loses all its lines is empty.
     Rows without an id keep their text and count for no key. Rows with the same id are one document. Extra columns,
     whatever their names, stay in `_row`; an empty table gives an empty result.
+
+    Where ids are integers and `most_sent` or fewer keys repeat, their digests and keepers are sent to the tasks and
+    texts are cut where they are read; else each document is joined with the keys that it loses.
     """
-    drops = repeated_lines(docs, min_chars, min_docs, bits)
+    suspects, repeated = repeated_lines(docs, min_chars, min_docs, bits)
+    schema = "text string, n_lines bigint, n_dropped bigint"
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType) and repeated.count() <= most_sent:
+        rows = repeated.select(F.unhex(F.md5("repeated")).alias("digest"), "keeper").toLocalIterator()
+        sent = shipped(docs.sparkSession, {bytes(r.digest): str(r.keeper) for r in rows})
+
+        @F.pandas_udf(schema)
+        def cut_here(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+            keepers = sent()
+            for texts, ids in parts:
+                out = []
+                for text, own in zip(texts, ids):
+                    def goes(key: bytes, own: str | None = own) -> bool:
+                        return len(key) >= min_chars and own is not None and keepers.get(hashlib.md5(key).digest(), own) != own
+                    out.append(_without(text, goes))
+                yield pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
+
+        return packed(docs).select("_row", cut_here("_row.text", F.col("_row.doc_id").cast("string")).alias("_cut"))
+
+    drops = (
+        suspects.join(repeated, F.col("key") == F.col("repeated")).filter("doc_id <> keeper")
+        .groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("key").alias("_drops")))
 
-    @F.pandas_udf("text string, n_lines bigint, n_dropped bigint")
+    @F.pandas_udf(schema)
     def cut(texts: pd.Series, dropped: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, gone in zip(texts, dropped):
-            text = text or ""
-            if gone is None:
-                out.append((text, text.count("\n") + 1, 0))
-                continue
-            gone = {k.encode() for k in gone}
-            lines = text.split("\n")
-            kept = [line for line, key in zip(lines, line_keys(text)) if key not in gone]
-            out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
+        out = [_without(text, (set() if gone is None else {k.encode() for k in gone}).__contains__) for text, gone in zip(texts, dropped)]
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
     joined = packed(docs).join(drops, F.col("_row.doc_id") == F.col("_id"), "left")

@@ -37,6 +37,8 @@ def test_lines_match_a_plain_version(table, clashes):
     got = run(table(rows, **clashes).repartition(7), min_chars=20, min_docs=5, bits=1 << 20)
     assert got == plain(rows, 20, 5)
     assert any(r[3] for r in got)
+    joined = run(table(rows, **clashes).repartition(7), min_chars=20, min_docs=5, bits=1 << 20, most_sent=0)
+    assert joined == got
 
 
 def test_a_tiny_filter_only_costs_work(table):
