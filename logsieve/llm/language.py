@@ -17,12 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsieve.llm.texts import slices
+from logsieve.llm.texts import longest_within, shipped, slices
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
 WIDTH = 16
 SIZES = (1, 2, 3, 4)        # of the n-grams
+SAMPLE_BYTES = 1 << 26      # that the fitted texts have together, at most; the longest are left out where they pass it
 ROWS_PER_LANGUAGE = 200     # the sample that is fitted has about so many labelled texts of each language
 LEAST_STEPS = 300           # of gradient descent, however few the examples
 CHUNK_WORDS = 60            # training examples are so many consecutive words
@@ -174,14 +175,15 @@ def calibrate(model: Model, held: list[tuple[str, int]]) -> Model:
 
 
 def sample_of(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> tuple[list[str], list[str]]:
-    """About `rows_per_language` labelled texts of each language, whole, chosen by a hash of their id."""
+    """About `rows_per_language` labelled texts of each language, whole, chosen by a hash of their id; `SAMPLE_BYTES` at most."""
     labelled = labelled.filter("lang is not null and text is not null")
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}   # a row per language
     chance = F.lit(0.0)
     for lang, n in counts.items():
         chance = F.when(F.col("lang") == lang, F.lit(rows_per_language / n)).otherwise(chance)
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    rows = labelled.filter(drawn < chance).select("text", "lang").collect()
+    chosen = labelled.filter(drawn < chance).select("text", "lang")
+    rows = chosen.filter(F.octet_length("text") <= longest_within(chosen, "text", SAMPLE_BYTES)).collect()
     rows = sorted(rows, key=lambda r: (r.lang, r.text))
     return [r.text for r in rows], [r.lang for r in rows]
 
@@ -194,11 +196,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     no answer to a doubtful one filters on it. Ties go to the first language by name. Every row gives a row; only
     doc_id and text are read, so extra columns cannot clash; an empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)      # buckets x languages numbers
+    sent = shipped(docs.sparkSession, model)        # buckets x languages numbers
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = sent()
         for batch in slices(batches, bytes_each=8_000_000):
             k, p, has = m.scores(batch.column("text"))
             yield pa.RecordBatch.from_arrays(

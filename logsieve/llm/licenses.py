@@ -1,7 +1,7 @@
 """License notices in text blocks: an exact set-similarity join of blocks with templates by containment.
 
-A template is a set of words, and a block holds it if at least a share `threshold` of them stands in the block. Words
-are ordered by their frequency in all documents, rarest first. A block that holds a template of n words, o = ceil of
+A template is a set of words, and a block holds it if at least a share `threshold` of them stands in the block; of a
+template of few words, where a single one tells licenses apart, all must stand there. Words are ordered by their frequency in all documents, rarest first. A block that holds a template of n words, o = ceil of
 threshold * n of them, must hold one of the template's first n - o + 1 words, so only these are looked up (prefix
 filter). Blocks with fewer than o different template words are skipped (length filter), and so are pairs whose words
 after the first common one are too few on either side (positional filter). What is left is compared word by word.
@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsieve.llm.texts import slices
+from logsieve.llm.texts import shipped, slices
 
 THRESHOLD = 0.8
-BLOCK_WORDS = 64            # a block is a line, or a window of so many words over a longer line or over the whole text
-BLOCK_STEP = 32             # from window to window; templates are not longer than this
+BLOCK_WORDS = 64            # a block is a line, or a window of so many words, or twice the longest template, over a longer line or the whole text
+WHOLE_BELOW = 10            # templates of fewer words must stand whole: one word tells such licenses apart
 
 #: Lower case, and every ASCII character but letters and digits as a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -59,6 +59,7 @@ class Join:
     order: dict[bytes, int]                         # word: place in the global order
     templates: list[tuple[str, list[int], int]]     # label, places in order, words needed
     prefixes: dict[int, list[tuple[int, int]]]      # place: (template, position in it)
+    block: int = BLOCK_WORDS                        # words of a window; the next begins half of them further on
 
     def held(self, block: list[int]) -> Iterator[tuple[str, float]]:
         """(label, containment) of each template that a block, its words as places, holds."""
@@ -79,28 +80,29 @@ class Join:
 
 def make_join(counts: dict[bytes, int], templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> Join:
     sets = [(label, set(words_of(text))) for label, text in templates]
-    if any(len(words_of(text)) > BLOCK_STEP or not words for (_, text), (_, words) in zip(templates, sets)):
-        raise ValueError(f"a template must have 1 to {BLOCK_STEP} words")
+    if not all(words for _, words in sets):
+        raise ValueError("a template must have a word")
+    block = max([BLOCK_WORDS, *(2 * len(words_of(text)) for _, text in templates)])
     order = {w: k for k, w in enumerate(sorted(set().union(*(s for _, s in sets)), key=lambda w: (counts.get(w, 0), w)))}
-    rows = [(label, sorted(order[w] for w in s), max(1, math.ceil(threshold * len(s) - 1e-9))) for label, s in sets]
+    rows = [(label, sorted(order[w] for w in s), len(s) if len(s) < WHOLE_BELOW else max(1, math.ceil(threshold * len(s) - 1e-9))) for label, s in sets]
     prefixes: dict[int, list[tuple[int, int]]] = {}
     for t, (_, words, need) in enumerate(rows):
         for i, place in enumerate(words[:len(words) - need + 1]):
             prefixes.setdefault(place, []).append((t, i))
-    return Join(order, rows, prefixes)
+    return Join(order, rows, prefixes, block)
 
 
-def blocks_around(lines: list[int], at: list[int]) -> list[tuple[int, int]]:
-    """The blocks (first word, end) that hold one of the word numbers `at`; `lines` are the ends of the lines."""
+def blocks_around(lines: list[int], at: list[int], width: int = BLOCK_WORDS) -> list[tuple[int, int]]:
+    """The blocks (first word, end) of `width` words that hold one of the word numbers `at`; `lines` are the ends of the lines."""
     out = set()
-    ends = np.array(lines)
+    ends, step = np.array(lines), width // 2
     for place in at:
         n = int(np.searchsorted(ends, place, side="right"))
         begin, end = int(ends[n - 1]) if n else 0, int(ends[n])
-        last = max(0, -(-(end - begin - BLOCK_WORDS) // BLOCK_STEP))
-        for k in range(max(0, (place - begin - BLOCK_WORDS) // BLOCK_STEP + 1), min(last, (place - begin) // BLOCK_STEP) + 1):
-            a = begin + k * BLOCK_STEP
-            out.add((a, min(a + BLOCK_WORDS, end)))
+        last = max(0, -(-(end - begin - width) // step))
+        for k in range(max(0, (place - begin - width) // step + 1), min(last, (place - begin) // step) + 1):
+            a = begin + k * step
+            out.add((a, min(a + width, end)))
     return sorted(out)
 
 
@@ -115,9 +117,11 @@ def scan(text: str | None, join: Join, across: bool = False) -> tuple[int, int,
     starts, base = [], set()
     for phrase, label in PHRASES:
         needle = f" {phrase} ".encode()
-        at = joined.find(needle)
+        at, before, place = joined.find(needle), 0, 0
         while at >= 0:
-            starts.append(joined.count(b" ", 0, at))
+            place += joined.count(b" ", before, at)         # each byte is counted once
+            before = at
+            starts.append(place)
             base.add(label)
             at = joined.find(needle, at + 1)
     labels, score = set(base), 1.0 if starts else 0.0
@@ -126,9 +130,9 @@ def scan(text: str | None, join: Join, across: bool = False) -> tuple[int, int,
     hits = [i for i, p in enumerate(places) if p >= 0 and p in join.prefixes]
     if hits:
         ends = np.cumsum([len(line) for line in by_line]).tolist()
-        blocks = blocks_around(ends, hits)
+        blocks = blocks_around(ends, hits, join.block)
         if across and len(by_line) > 1:
-            blocks = sorted({*blocks, *blocks_around([len(words)], hits)})
+            blocks = sorted({*blocks, *blocks_around([len(words)], hits, join.block)})
         for a, b in blocks:
             for label, share in join.held([p for p in places[a:b] if p >= 0]):
                 labels.add(label)
@@ -156,17 +160,17 @@ def find_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
 
     A-Z count as lower case; words are runs of ASCII letters and digits and of all other characters beyond ASCII.
     `n_base` counts the places of `PHRASES`, `first_word` and `last_word` are the first and last word number where one
-    starts, null if none does. `labels` adds those of the templates that a block holds; as blocks are the lines and the
-    windows over the whole text, a notice may be wrapped. The score is the largest share
+    starts, null if none does. `labels` adds those of the templates that a block holds (see above); blocks are the lines and
+    windows over the whole text, twice as wide as the longest template, so a notice may be wrapped. The score is the largest share
     of a template that a block holds, 1 where a phrase stands, 0 where there are no labels. Null texts are empty and
     have no words. Every row gives a row, equal or null ids included; only doc_id and text are read, so extra columns
     cannot clash; an empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(make_join(word_counts(docs, templates), templates, threshold))
+    sent = shipped(docs.sparkSession, make_join(word_counts(docs, templates), templates, threshold))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        join = sent.value
+        join = sent()
         for batch in slices(batches):
             n, base, first, last, own, labels, score = zip(*(scan(t, join, across=True) for t in batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays(

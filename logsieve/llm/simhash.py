@@ -170,15 +170,32 @@ def near_duplicates(docs: DataFrame, pair_bucket: int = PAIR_BUCKET) -> DataFram
     return prints.join(by_print, F.col("fp") == F.col("print")).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The document of each class that has its smallest id, with its columns.
+def keep_one(docs: DataFrame, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
+    """One document of each class of `near_duplicates`, that with its smallest id, with its columns.
 
-    Rows that share this id are one document: the one with the least text stays. Rows without an id all stay, as no
-    class can name them.
+    Of rows that share the id, those whose own fingerprint is the least in the class are one document, and the one with
+    the least text stays; texts of other classes under the same id are not lost, as their class keeps a row of its own.
+    Texts without words, null texts among them, are one class. Rows without an id all stay, as no class can name them.
+    Very long texts are read whole, extra columns stay whatever their names, an empty table gives an empty result.
     """
-    lead = near_duplicates(docs.filter("doc_id is not null")).filter("doc_id = component_id").select(F.col("doc_id").alias("_lead")).distinct()
+    prints = store(with_fingerprint(docs.filter("doc_id is not null")))
+    roots = components(links(prints.select("fp").distinct(), pair_bucket))
+    same = prints.groupBy("fp").agg(F.min("doc_id").alias("_id"))
+    lead = (
+        same.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("class"))
+        .agg(F.min(F.struct("_id", "fp")).alias("l")).select(F.col("l._id").alias("_lead"), F.col("l.fp").alias("_print")))
+    # an id with texts of several fingerprints: which of its rows lead is told by the text
+    mixed = prints.groupBy(F.col("doc_id").alias("_id")).agg((F.min("fp") < F.max("fp")).alias("_mixed"))
+    lead = store(lead.join(mixed, F.col("_lead") == F.col("_id")).select("_lead", "_print", "_mixed"))
+
+    @F.pandas_udf("bigint")
+    def own(texts: pd.Series) -> pd.Series:
+        return pd.Series(fingerprints_of(texts.tolist()).view(np.int64), index=texts.index)
+
     rows = packed(docs)
+    led = rows.join(lead, F.col("_row.doc_id") == F.col("_lead"))
+    told = led.filter("_mixed").withColumn("_own", own(F.coalesce("_row.text", F.lit("")))).filter("_own = _print").drop("_own")
     first = (
-        rows.join(lead, F.col("_row.doc_id") == F.col("_lead")).groupBy("_lead")
+        led.filter("not _mixed").union(told).groupBy("_lead", "_print")
         .agg(F.min_by("_row", F.coalesce("_row.text", F.lit(""))).alias("_row")).select("_row"))
     return first.union(rows.filter("_row.doc_id is null")).select("_row.*")

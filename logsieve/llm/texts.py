@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = " \t\n\x0b\x0c\r"           # the characters [\x20\x09-\x0D]
@@ -26,6 +29,23 @@ def fold_of(doc_id: int | None, n: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % n
 
 
+def shipped(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A broadcast of `value` and of the classes it is made of, so that workers need no copy of this package."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
+def longest_within(rows: DataFrame, column: str, total: int) -> int:
+    """The length in bytes up to which all texts of `rows`, few by construction, have `total` bytes together at most."""
+    spent, longest = 0, 0
+    for length in sorted(r.n for r in rows.select(F.octet_length(column).alias("n")).filter("n is not null").collect()):
+        spent += length
+        if spent > total:
+            return longest
+        longest = length
+    return longest
+
+
 def packed(df: DataFrame) -> DataFrame:
     """All columns as one struct `_row`, so that no name of an input column can clash with one of an operator."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.llm.language import bag_of_words
-from logsieve.llm.texts import fold, slices
+from logsieve.llm.texts import fold, longest_within, shipped, slices
 
 WINDOW, STEP = 48, 32       # words; neighbours overlap by a third
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 13, 1 << 14
@@ -27,6 +27,7 @@ NGRAMS = (3, 5)
 APART = 4.0                 # standard errors from which a word or n-gram sets texts apart
 WIDTH, STATE, ATTENTION = 8, 8, 8
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1_000, 2_000      # labelled texts that are fitted, about
+SAMPLE_BYTES = 1 << 26     # that the fitted texts have together, at most; the longest are left out where they pass it
 WINDOWS_PER_TEXT = 4        # of a clean text that an epoch draws
 EPOCHS, LEAST_STEPS = 8, 300
 BLOCK_TEXTS = 200           # whose n-grams are counted at once
@@ -313,14 +314,16 @@ def calibrate(model: Model, texts: pa.Array, y: np.ndarray) -> Model:
 
 
 def sample_of(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """About `SAMPLE_TOXIC` toxic and `SAMPLE_CLEAN` clean texts, whole, chosen by a hash of their id."""
+    """About `SAMPLE_TOXIC` toxic and `SAMPLE_CLEAN` clean texts, whole, chosen by a hash of their id; `SAMPLE_BYTES` at most."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.select(F.col("doc_id").alias("labelled"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     chance = F.when(F.col("toxic") == 1, F.lit(SAMPLE_TOXIC / max(1, counts.get(1, 0)))).otherwise(F.lit(SAMPLE_CLEAN / max(1, counts.get(0, 0))))
     drawn = F.pmod(F.xxhash64("labelled", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.filter(drawn < chance)           # a few thousand rows, by the two constants
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "toxic").collect()
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "toxic")
+    longest = longest_within(found, "text", SAMPLE_BYTES)
+    rows = found.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).collect()
     rows = sorted(rows, key=lambda r: (r.doc_id, r.text or ""))
     return [r.text or "" for r in rows], [r.toxic for r in rows]
 
@@ -332,12 +335,13 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     or null ids included, and equal texts equal scores. Only doc_id and text are read, so extra columns cannot clash;
     an empty table gives no rows. A model fitted without labels of both kinds gives every text the same score.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shipped(docs.sparkSession, model)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = sent()
         for batch in slices(batches, bytes_each=4_000_000):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sent.value.scores(batch.column("text")), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fitted.scores(batch.column("text")), pa.float64())], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(apply, f"doc_id {id_type}, score double")
 

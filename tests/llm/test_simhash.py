@@ -123,3 +123,9 @@ def test_one_document_of_each_class_stays(table, clashes):
     df = S.keep_one(table(rows, **clashes))
     assert df.columns == table([], **clashes).columns
     assert sorted(repr(r.doc_id) for r in df.collect()) == ["2", "9", "None"]
+
+
+def test_no_text_is_lost_where_an_id_has_several(table):
+    a, b = "first text with words of its own", "second thing, nothing in common here"
+    rows = [(1, a), (1, b), (2, b), (3, a), (1, a)]
+    assert sorted((r.doc_id, r.text) for r in S.keep_one(table(rows)).collect()) == [(1, a), (1, b)]
