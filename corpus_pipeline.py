@@ -8,17 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsieve.llm import decontam, line_dedup, packing, quality, similar
+from logsieve.llm import decontam, line_dedup, packing, quality, simhash
 from logsieve.session import shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects."""
+    """Documents that no rule rejects. A null or empty text has no words and goes."""
     return quality.keep_good(docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that five documents or more share; n_chars is that of the new text."""
+    """Texts without the lines that five documents or more share; n_chars is that of the new text.
+
+    A null text stays null, rows without an id stay as they are, repeated rows lose the same lines.
+    """
     cut = line_dedup.dedup_lines(docs)
     changed = {"text": F.when(F.col("_row.text").isNotNull(), F.col("_cut.text"))}
     if "n_chars" in docs.columns:
@@ -27,17 +30,20 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each class whose texts share 0.8 or more of their five-word shingles."""
-    return similar.keep_one(docs, words=5, similarity=0.8)
+    """One document, that with the smallest id, of each class whose fingerprints are linked by two differing bits or fewer.
+
+    Fingerprints are those of three-word shingles. Rows without an id all stay.
+    """
+    return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands."""
+    """Documents in which no benchmark item stands; null and empty texts hold none."""
     return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces with their places in sequences of 2048 tokens."""
+    """The documents' pieces with their places in sequences of 2048 tokens; a null text is empty, equal rows are packed each."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -54,7 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other, each written as Parquet and read again by the next."""
+    """The stages one after the other, each written as Parquet and read again by the next.
+
+    Texts of any length are whole in every stage, extra columns of documents are carried to the last stage whatever
+    their names, and an empty table runs through to an empty result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
