@@ -28,7 +28,7 @@ from logsieve.session import materialise, store
 
 AUTO_SAMPLES = 256
 SUBTREE_ROWS = 50_000
-TREES_PER_POOL = 100
+RANKED_ROWS = 1_000                # of a sample that is found by ranks; Spark limits those where rows are read
 MAX_BROADCAST_NODES = 4_000_000    # of a chunk of trees: 20 bytes each
 MAX_BROADCAST_SPLITS = 500_000
 LEVELS_PER_CHECKPOINT = 4
@@ -143,55 +143,56 @@ def samples_per_tree(n: int, max_samples: str | float) -> int:
     return max(1, min(n, int(float(max_samples) * n)))
 
 
-def _rates(sizes: dict[str, int], samples: dict[str, int]) -> list[tuple]:
-    """Per model the hash cuts of the row pool of a block of trees and of a tree within it, with slack for chance."""
-    out = []
-    for model, n in sizes.items():
-        psi = samples[model]
-        pool = min(n, TREES_PER_POOL * psi)
-        pool_rate = 1.0 if pool == n else min(1.0, (pool + 6 * math.sqrt(pool)) / n)
-        tree_rate = min(1.0, (psi + 6 * math.sqrt(psi) + 10) / pool)
-        out.append((model, int(pool_rate * _HASH_RANGE), int(tree_rate * _HASH_RANGE), psi))
-    return out
-
-
 def _rows(df: DataFrame, key: str, features: list[str], by: str | None) -> DataFrame:
     model = F.col(by).cast("string") if by else F.lit(ONE_MODEL)
     return df.select(model.alias("model"), F.col(key).cast("string").alias("key"),
                      *[F.col(f).cast("float").alias(f) for f in features])
 
 
-def tree_samples(rows: DataFrame, sizes: dict[str, int], samples: dict[str, int], trees: int,
-                 seed: int) -> DataFrame:
-    """Exactly `samples` rows per tree, without replacement, as `(model, tree_id, key, features)`.
+def _own(rows: DataFrame) -> Column:
+    """A hash of the whole row, which orders the copies of a key."""
+    return F.pmod(F.xxhash64(*rows.columns), F.lit(_HASH_RANGE))
 
-    Every block of TREES_PER_POOL trees has a pool of rows, a range of a first hash, and only pool rows are hashed per
-    tree; the shuffle does not grow with the table. The least hashes of a tree are its sample, which depends on the
-    tree and not on how many there are: fewer trees are a prefix of more.
-    """
-    spark = rows.sparkSession
-    rates = spark.createDataFrame(_rates(sizes, samples), "model string, pool_cut bigint, tree_cut bigint, psi int")
-    last_block = (trees - 1) // TREES_PER_POOL
-    pooled = (
-        rows.join(F.broadcast(rates), "model").withColumn("_u", _hash(F.lit(seed), F.lit("pool"), F.col("key")))
-        .filter(F.col("_u") < F.col("pool_cut") * (last_block + 1))
-    )
 
-    def of_block(b: Column) -> Column:
-        here = F.pmod(F.col("_u") - b * F.col("pool_cut"), F.lit(_HASH_RANGE)) < F.col("pool_cut")
-        trees_of = F.sequence(b * TREES_PER_POOL, F.least((b + 1) * TREES_PER_POOL, F.lit(trees)) - 1)
-        return F.when(here, F.filter(trees_of, lambda t: _hash(F.lit(seed), F.col("key"), t) < F.col("tree_cut")))
+def tree_samples(rows: DataFrame, sizes: dict[str, int], samples: dict[str, int], trees: int, seed: int) -> DataFrame:
+    """Exactly `samples` rows per tree, without replacement, as `(model, tree_id, key, features)`; at most RANKED_ROWS each.
 
-    chosen = F.flatten(F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(last_block)), of_block)))
-    drawn = pooled.withColumn("tree_id", F.explode(chosen)).withColumn(
-        "_h", _hash(F.lit(seed), F.col("key"), F.col("tree_id")))
+    A tree's sample are the rows with its least hashes of the key, those of the same key by a hash of the whole row, and
+    copies of a row are as good as each other: `_tree_rows` has the same rule, so samples depend on the tree, not on how
+    many there are or how large they are. Only rows below a cut are ranked. Where keys repeat a tree may find too few
+    there; it tries again with a wider cut until its sample is full. Ranks are limited in the tasks that read the rows,
+    so the shuffle holds as many rows of a tree as there are such tasks, times its sample, whatever shares a key.
+    """
+    spark = rows.sparkSession
+    most = max(samples.values())
+    share = {m: min(1.0, (samples[m] + 6 * math.sqrt(samples[m]) + 10) / n) for m, n in sizes.items()}
+    open_trees = {m: list(range(trees)) for m in sizes}
+    parts, kept = [], [F.col(c) for c in [*rows.columns, "tree_id"]]
+    rank = F.row_number().over(W.partitionBy("model", "tree_id").orderBy("_h", "_own"))
+    while open_trees:
+        tries = spark.createDataFrame([(m, t, int(share[m] * _HASH_RANGE)) for m, t in open_trees.items()], "_m string, _trees array<int>, _cut bigint")    # a number per tree
+        drawn = (
+            rows.join(F.broadcast(tries), F.col("model") == F.col("_m"))
+            .withColumn("tree_id", F.explode("_trees"))         # in generated code, so faster than a function over the array
+            .withColumn("_h", _hash(F.lit(seed), F.col("key"), F.col("tree_id"))).filter(F.col("_h") < F.col("_cut"))
+            .withColumn("_own", _own(rows))
+            .withColumn("_r", rank).filter(F.col("_r") <= most))
+        sized = spark.createDataFrame(list(samples.items()), "_s string, psi bigint")
+        found = store(drawn.join(F.broadcast(sized), F.col("model") == F.col("_s")).filter("_r <= psi").select(*kept))
+        full = {(r.model, r.tree_id) for r in found.groupBy("model", "tree_id").agg(F.count(F.lit(1)).alias("n")).collect()     # a row per tree
+                if r.n >= samples[r.model] or share[r.model] >= 1.0}
+        if len(full) < sum(map(len, open_trees.values())):
+            done = spark.createDataFrame(sorted(full), "_m string, _i int")
+            found = found.join(F.broadcast(done), (F.col("model") == F.col("_m")) & (F.col("tree_id") == F.col("_i"))).select(*kept)
+        parts.append(found)
+        left = {m: [t for t in own if (m, t) not in full] for m, own in open_trees.items()}
+        open_trees = {m: own for m, own in left.items() if own}
+        share = {m: min(1.0, 4 * s) for m, s in share.items()}
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     # A given number of partitions keeps adaptive execution from merging these small but CPU-heavy groups.
-    width = min(trees * len(sizes), 2 * spark.sparkContext.defaultParallelism)
-    rank = F.row_number().over(W.partitionBy("model", "tree_id").orderBy("_h", "key"))
-    return (
-        drawn.repartition(width, "model", "tree_id").withColumn("_r", rank).filter(F.col("_r") <= F.col("psi"))
-        .drop("_h", "_r", "_u", "pool_cut", "tree_cut", "psi")
-    )
+    return out.repartition(min(trees * len(sizes), 2 * spark.sparkContext.defaultParallelism), "model", "tree_id")
 
 
 def _tree_rows(rows: DataFrame, sizes: dict, samples: dict, trees: int, seed: int) -> DataFrame:
@@ -204,7 +205,7 @@ def _tree_rows(rows: DataFrame, sizes: dict, samples: dict, trees: int, seed: in
     as the sample has room for.
     """
     spark = rows.sparkSession
-    own = F.pmod(F.xxhash64(*rows.columns), F.lit(_HASH_RANGE))
+    own = _own(rows)
     around = []
     for m, n in sizes.items():
         psi = samples[m]
@@ -343,30 +344,42 @@ def fit_forest(df: DataFrame, key: str, n_estimators: int = 100, max_samples: st
     """Fit one forest, or one per value of `by`, and set the offset at the contamination quantile.
 
     `key` identifies a row; copies of a key are drawn together as far as the sample has room. Samples have their
-    exact size, whatever it is: the rows with the least hashes of the tree.
+    exact size, whatever it is and whatever shares a key: the rows with the least hashes of the tree.
     """
     check_feature_schema(df, features)
     rows = _rows(df, key, features, by)
     sizes = model_sizes(rows)
     samples = {m: samples_per_tree(n, max_samples) for m, n in sizes.items()}
     limits = {m: height_limit(psi) for m, psi in samples.items()}
+    draw = tree_samples if max(samples.values()) <= RANKED_ROWS else _tree_rows
     if max(samples.values()) <= subtree_rows:
-        drawn = tree_samples(rows, sizes, samples, n_estimators, seed)
+        drawn = draw(rows, sizes, samples, n_estimators, seed)
         state = drawn.withColumn("node_id", F.lit(1).cast("bigint")).withColumn("depth", F.lit(0))
         nodes = _build_in_tasks(state, limits, features, seed)
     else:
-        nodes = build_by_levels(_tree_rows(rows, sizes, samples, n_estimators, seed), limits, features, seed,
+        nodes = build_by_levels(draw(rows, sizes, samples, n_estimators, seed), limits, features, seed,
                                 subtree_rows)
     forest = Forest(materialise(nodes), samples, n_estimators, list(features), {}, by)
     if contamination is not None:
-        scored = score_samples(df, forest).select(
-            *([by] if by else []), F.col("score_sample"))
-        cuts = contamination_threshold(scored.persist(), contamination, "score_sample", by)
-        forest.offsets = {str(r[by]): r["threshold"] for r in cuts.collect()} if by else {ONE_MODEL: cuts}   # a row per model
+        scored = score_samples(df, forest).select(*([by] if by else []), "score_sample").persist()
+        forest.offsets = _offsets(scored, contamination, by)
         scored.unpersist()
     return forest
 
 
+def _offsets(scored: DataFrame, contamination: float, by: str | None) -> dict[str, float]:
+    cuts = contamination_threshold(scored, contamination, "score_sample", by)
+    return {str(r[by]): r["threshold"] for r in cuts.collect()} if by else {ONE_MODEL: cuts}   # a row per model
+
+
+def fit_and_score(df: DataFrame, key: str, contamination: float = 0.08, **options) -> tuple[Forest, DataFrame]:
+    """The forest of `fit_forest` and `score_forest` of its own training rows, which pass through the trees once."""
+    forest = fit_forest(df, key, contamination=None, **options)
+    scored = store(score_samples(df, forest))
+    forest.offsets = _offsets(scored, contamination, forest.by)
+    return forest, decide(scored, forest)
+
+
 # Scoring -------------------------------------------------------------------------------------------------------
 
 

@@ -1056,15 +1056,14 @@ def _line_forest(spark, sf):
 @query()
 def forest_scores(spark, sf):
     """100 trees over the whole lineitem table, every line scored."""
-    lines, model = _line_forest(spark, sf)
-    return iforest.score_forest(lines, model).select("line", F.round("score", 9).alias("score"), "prediction")
+    scored = iforest.fit_and_score(_lines(spark, sf), "line", features=PRICE_FEATURES)[1]
+    return scored.select("line", F.round("score", 9).alias("score"), "prediction")
 
 
 @query("""SELECT COUNT(*) AS n, 0.08::DOUBLE AS expected, 0.08::DOUBLE AS measured FROM lineitem""")
 def forest_flagged(spark, sf):
     """The flagged share of the training rows, to three places, next to the contamination that was asked for."""
-    lines, model = _line_forest(spark, sf)
-    scored = iforest.score_forest(lines, model)
+    scored = iforest.fit_and_score(_lines(spark, sf), "line", features=PRICE_FEATURES)[1]
     share = F.avg((F.col("prediction") == -1).cast("double"))
     return scored.agg(F.count("*").alias("n"), F.lit(0.08).alias("expected"), F.round(share, 3).alias("measured"))
 
@@ -1086,6 +1085,14 @@ def forest_tree_shape(spark, sf):
     return _shape(_line_forest(spark, sf)[1])
 
 
+@query("""SELECT t::INTEGER AS tree_id, 256::BIGINT AS sample, 256::BIGINT AS in_leaves, 1::BIGINT AS leaves_over_splits, TRUE AS within_height
+FROM (SELECT unnest(range(50)) AS t)""")
+def forest_tree_shape_of_hot_keys(spark, sf):
+    """50 trees where one key has a third of the rows and the others repeat: every sample is full."""
+    lines = table(spark, sf, "lineitem").select(F.when(F.col("l_orderkey") % 3 == 0, 0).otherwise(F.col("l_orderkey")).alias("order"), *PRICE_FEATURES)
+    return _shape(iforest.fit_forest(lines, "order", n_estimators=50, contamination=None, features=PRICE_FEATURES))
+
+
 @query("""SELECT t::INTEGER AS tree_id, FLOOR(n * 0.8::DOUBLE)::BIGINT AS sample, FLOOR(n * 0.8::DOUBLE)::BIGINT AS in_leaves, 1::BIGINT AS leaves_over_splits,
   TRUE AS within_height FROM (SELECT COUNT(*) AS n FROM lineitem), (SELECT unnest(range(5)) AS t)""")
 def forest_tree_shape_of_shares(spark, sf):
@@ -1117,8 +1124,7 @@ def stream_forest_rows(spark, sf):
 def forest_on_features(spark, sf):
     """The 18-feature table of the trail: fit, score, name, count by label."""
     rows = store(labelled_features(spark, sf))
-    model = iforest.fit_forest(rows, "event_id")
-    scored = iforest.score_forest(rows, model).withColumn("outcome", iforest.anomaly_name())
+    scored = iforest.fit_and_score(rows, "event_id")[1].withColumn("outcome", iforest.anomaly_name())
     return scored.groupBy("outcome", LABEL).agg(F.count("*").alias("n"))
 
 

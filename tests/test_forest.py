@@ -82,9 +82,7 @@ def test_partitioning_does_not_change_the_model(table, model):
         assert other.offsets == model.offsets
 
 
-@pytest.mark.parametrize("block", [100, 2])
-def test_pool_gives_exact_samples_without_replacement(spark, monkeypatch, block):
-    monkeypatch.setattr(fo, "TREES_PER_POOL", block)
+def test_exact_samples_without_replacement(spark):
     table = spark.range(20_000).select("id", (F.col("id") % 97).cast("float").alias("a"), F.rand(1).alias("b"))
     rows = fo._rows(table, "id", ["a", "b"], None)
     drawn = fo.tree_samples(rows, {"all": 20_000}, {"all": 64}, 5, 7)
