@@ -188,13 +188,13 @@ def keep_one(docs: DataFrame, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
     mixed = prints.groupBy(F.col("doc_id").alias("_id")).agg((F.min("fp") < F.max("fp")).alias("_mixed"))
     lead = store(lead.join(mixed, F.col("_lead") == F.col("_id")).select("_lead", "_print", "_mixed"))
 
-    @F.pandas_udf("bigint")
-    def own(texts: pd.Series) -> pd.Series:
-        return pd.Series(fingerprints_of(texts.tolist()).view(np.int64), index=texts.index)
+    @F.pandas_udf("boolean")
+    def leads(texts: pd.Series, prints: pd.Series) -> pd.Series:      # needs both sides of the join, so only its rows get here
+        return pd.Series(fingerprints_of(texts.tolist()).view(np.int64) == prints.to_numpy(), index=texts.index)
 
     rows = packed(docs)
     led = rows.join(lead, F.col("_row.doc_id") == F.col("_lead"))
-    told = led.filter("_mixed").withColumn("_own", own(F.coalesce("_row.text", F.lit("")))).filter("_own = _print").drop("_own")
+    told = led.filter("_mixed").filter(leads(F.coalesce("_row.text", F.lit("")), F.col("_print")))
     first = (
         led.filter("not _mixed").union(told).groupBy("_lead", "_print")
         .agg(F.min_by("_row", F.coalesce("_row.text", F.lit(""))).alias("_row")).select("_row"))
