@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,3 +35,18 @@ def start(stream: DataFrame, process, checkpoint: str, every: str | None = None)
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(process)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocks_db(spark: SparkSession) -> Iterator[None]:
+    """The state store that keyed state with timers needs, for the streams that start inside."""
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKS_DB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before)

@@ -1,4 +1,4 @@
-"""Scoring stream: new log files to features, scores and two outputs; broken documents to the attempts table."""
+"""Scoring stream: new log files to features, scores and two outputs; broken documents to the failures that are retried."""
 
 from __future__ import annotations
 
@@ -11,14 +11,13 @@ from logsieve.operators.labels import check_drift
 from logsieve.operators.triage import flagged_events, scored_message
 from logsieve.schema import CORRUPT, DOCUMENT
 from logsieve.sources.json_logs import split_corrupt, stream_new_files, wrapped_events
-from logsieve.streaming.batches import read_batches, start, write_batch
+from logsieve.streaming.batches import start, write_batch
+from logsieve.streaming.retries import DEAD_LETTER_DAYS, MAX_ATTEMPTS, add_failures
 
-# Threshold, cadence, files per run, attempts before the dead-letter table, days it is kept.
+# Threshold, cadence, files per run.
 THRESHOLD = -0.1
 POLL_EVERY = "5 minutes"
 MAX_FILES = 10
-MAX_ATTEMPTS = 3
-DEAD_LETTER_DAYS = 14
 
 ATTEMPTS = "message_id string, raw string, attempts int, at timestamp"
 
@@ -33,7 +32,10 @@ def score_events(events: DataFrame, forest: Forest, dialect: Dialect = CANONICAL
 def start_scoring(spark: SparkSession, logs: str, out: str, checkpoint: str, forest: Forest,
                   registered_hash: str | None = None, threshold: float = THRESHOLD, max_files: int = MAX_FILES,
                   every: str | None = None):
-    """Start the stream; a model with other features stops it before the first file."""
+    """Start the stream; a model with other features stops it before the first file.
+
+    Documents that do not parse go to `{out}/failures`, which `start_retries` reads.
+    """
     check_drift(registered_hash, forest.features)
 
     def process(batch: DataFrame, batch_id: int) -> None:
@@ -44,9 +46,7 @@ def start_scoring(spark: SparkSession, logs: str, out: str, checkpoint: str, for
             write_batch(scored_message(scored), f"{out}/events-raw", batch_id)
             write_batch(flagged_events(scored, threshold), f"{out}/anomalies-flagged", batch_id)
         if not bad.isEmpty():
-            failures = bad.select(F.col("source_file").alias("message_id"), "raw")
-            prior = read_batches(spark, f"{out}/attempts", ATTEMPTS, batch_id)
-            write_batch(record_attempts(failures, prior), f"{out}/attempts", batch_id)
+            add_failures(bad.select(F.col("source_file").alias("message_id"), "raw"), f"{out}/failures", f"scoring-{batch_id}")
         scored.unpersist()
         documents.unpersist()
 

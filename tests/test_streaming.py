@@ -56,8 +56,8 @@ def test_scoring_goes_on_from_its_checkpoint(spark, tmp_path, event, model):
     assert "b" in {r.eventID for r in flagged.collect()} and flagged.first().raw.eventID is not None
     messages = read_batches(spark, f"{out}/events-raw", "key string, value string").collect()
     assert set(json.loads(messages[0].value)) == {"eventID", "eventTime", "eventName", "score"}
-    attempts = read_batches(spark, f"{out}/attempts", sc.ATTEMPTS).collect()
-    assert len(attempts) == 1 and attempts[0].attempts == 1 and attempts[0].message_id.endswith("3.json")
+    failures = spark.read.parquet(f"{out}/failures").collect()
+    assert len(failures) == 1 and failures[0].message_id.endswith("3.json")
 
 
 def test_files_per_batch_are_limited(spark, tmp_path, event, model):
