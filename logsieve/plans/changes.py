@@ -16,7 +16,7 @@ from logsieve.operators.retrieval import (
 from logsieve.operators.upsert import rows_to_insert, upsert_counts, upsert_replace
 from logsieve.schema import CHUNKS, INDEXED_CHANGE_NAMES, LOOKUP_CHANGE_NAMES
 from logsieve.sources.json_logs import scan_since
-from logsieve.sources.tables import VersionedTable
+from logsieve.sources.bucketed import BucketedTable
 
 LOOKUP_LIMIT = 500
 LOOKUP_TOP = 3
@@ -51,11 +51,12 @@ def named_change_chunks(events: DataFrame, layout: dict[str, str] = CLOUDTRAIL)
     )
 
 
-def build_change_index(spark: SparkSession, logs: str, since_ts: str, table: VersionedTable,
+def build_change_index(spark: SparkSession, logs: str, since_ts: str, table: BucketedTable,
                        vectoriser: TextVectoriser | None = None, replace: bool = True) -> tuple[TextVectoriser, DataFrame]:
     """Index the changes in files written after `since_ts`; returns the vectoriser and the upsert counts.
 
-    `replace` overwrites text and vector of a known event, otherwise known events stay as they are.
+    `replace` overwrites text and vector of a known event, otherwise known events stay as they are. Only the buckets of
+    the table that the changes touch are read and rewritten.
     """
     events = scan_since(spark, logs, since_ts, inclusive=False, require_rows=False)
     chunks = change_chunks(events)
@@ -64,16 +65,16 @@ def build_change_index(spark: SparkSession, logs: str, since_ts: str, table: Ver
     good, _ = split_by_dimension(good, vectoriser.dim)
     rows = good.filter(F.col("event_id").isNotNull() & F.col("event_time").isNotNull()).withColumn(
         "indexed_at", F.current_timestamp()).select(*CHUNKS.fieldNames()).persist()
-    target = table.read()
-    counts = upsert_counts(target, rows, "event_id")
+    counts = upsert_counts(table.read(buckets=table.touched(rows)), rows, "event_id")
     report = counts.first()
     order = F.struct("event_time", "raw_text")
-    if replace:
-        merged = upsert_replace(target, rows, "event_id", ["raw_text", "embedding"], order,
-                                ("indexed_at", F.current_timestamp()))
-    else:
-        merged = target.unionByName(rows_to_insert(target, rows, "event_id", order))
-    table.write(merged)
+
+    def merge(target: DataFrame, source: DataFrame) -> DataFrame:
+        if replace:
+            return upsert_replace(target, source, "event_id", ["raw_text", "embedding"], order, ("indexed_at", F.current_timestamp()))
+        return target.unionByName(rows_to_insert(target, source, "event_id", order))
+
+    table.upsert(rows, merge)
     rows.unpersist()
     return vectoriser, spark.createDataFrame([tuple(report)], counts.schema)
 

@@ -14,7 +14,8 @@ from logsieve.operators.triage import (
 )
 from logsieve.operators.upsert import first_per_key
 from logsieve.schema import DECISION_LOG, EVENT
-from logsieve.streaming.batches import read_batches, start, write_batch
+from logsieve.sources.keyed_log import KeyedLog
+from logsieve.streaming.batches import start, write_batch
 
 SMALL_BATCH = 1_000_000
 
@@ -57,11 +58,15 @@ def start_triage(spark: SparkSession, flagged: DataFrame, out: str, checkpoint:
     """Start the stream over flagged events that carry a `kafka_offset`.
 
     A batch that runs again reads the log of earlier batches only and overwrites its own folders, so its rows are
-    the same and no event is logged or announced twice.
+    the same and no event is logged or announced twice. Of the log only files that may hold an event of the batch are
+    read.
     """
+    decisions = KeyedLog(spark, f"{out}/agent_log", DECISION_LOG, "event_id")
+
     def process(batch: DataFrame, batch_id: int) -> None:
-        log = read_batches(spark, f"{out}/agent_log", DECISION_LOG, batch_id)
         batch.persist()
+        asked = batch.select(F.col("eventID").alias("key")).union(spark.range(1).select(F.lit("").alias("key")))
+        log = decisions.rows_for(asked, batch_id).persist()
         done = classify(batch, log, chunks(), since_ts, vectoriser, respond).persist()
         if not done.isEmpty():
             rows = decision_rows(done).filter(F.col("event_id").isNotNull())
@@ -73,8 +78,9 @@ def start_triage(spark: SparkSession, flagged: DataFrame, out: str, checkpoint:
             write_batch(pager_payload(done), f"{out}/pager", batch_id)
             write_batch(chat_payload(done), f"{out}/chat", batch_id)
             write_batch(rejected, f"{out}/quarantine", batch_id)
-            write_batch(valid, f"{out}/agent_log", batch_id)
+            decisions.append(valid, batch_id)
         done.unpersist()
+        log.unpersist()
         batch.unpersist()
 
     return start(flagged, process, checkpoint, every)

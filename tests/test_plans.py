@@ -19,7 +19,8 @@ from logsieve.plans.training import (
 from logsieve.schema import CHUNKS, FEATURES, feature_hash
 from logsieve.sources.json_logs import read_json_any, read_ndjson, read_records_json
 from logsieve.sources.synthetic import synthetic_trail
-from logsieve.sources.tables import VersionedTable, get_state, read_or_empty, read_runs
+from logsieve.sources.bucketed import BucketedTable
+from logsieve.sources.tables import get_state, read_or_empty, read_runs
 
 
 def write_logs(root, event, n=600, seed=1, start=0):
@@ -156,7 +157,7 @@ def test_federated_rounds(spark):
 def test_change_index(spark, tmp_path, event):
     events = write_logs(tmp_path / "logs", event, 200)
     changes = {e["eventID"] for e in events if not e["readOnly"] and e["eventName"] in ("CreateUser", "RunInstances", "PutRule")}
-    table = VersionedTable(spark, str(tmp_path / "index"), CHUNKS)
+    table = BucketedTable(spark, str(tmp_path / "index"), CHUNKS, "event_id", 8)
     vectoriser, counts = build_change_index(spark, str(tmp_path / "logs"), "1970-01-01T00:00:00Z", table)
     assert counts.first() == (len(changes), 0, len(changes))
     rows = table.read().collect()
