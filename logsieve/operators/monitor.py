@@ -12,6 +12,7 @@ from logsieve.session import materialise
 
 FLAGGED_WINDOW = "5 minutes"
 DECISION_WINDOW = "1 hour"
+SLICES = 64                 # of a window, that the samples of a series are dealt out by
 REPEAT_HOURS = 4
 FOLD_ROWS = 1_000_000
 
@@ -105,22 +106,33 @@ def latency_quantiles(df: DataFrame, value: str, quantiles: list[float], by: str
 
 
 def counter_increase(df: DataFrame, series: list[str], ts: str, value: str, seconds: int,
-                     extrapolate: bool = True) -> DataFrame:
+                     extrapolate: bool = True, slices: int = SLICES) -> DataFrame:
     """Increase and per-second rate of a counter per series and aligned window of `seconds`.
 
     A drop of the value is a reset and counts from 0. With `extrapolate` the increase is scaled from the sampled
-    interval to the window, as far as 1.1 times the mean sample distance, and not below a zero counter. Samples
-    only meet samples of their own window, so a long or hot series is many small groups.
+    interval to the window, as far as 1.1 times the mean sample distance, and not below a zero counter.
+
+    Samples only meet samples of their own time slice, `slices` to a window, so a hot series is many groups within a
+    window too. A slice leaves one row with its first and last sample, and the step from one slice to the next is taken
+    from these: `slices` rows at most for a series and window.
     """
     at = F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)
     samples = df.select(*series, at.alias("_t"), F.col(value).cast("double").alias("_v"))
     samples = samples.withColumn("_start", (F.floor(F.col("_t") / seconds) * seconds).cast("double"))
     by = [*series, "_start"]
-    before = F.lag("_v").over(W.partitionBy(*by).orderBy("_t", "_v"))
-    step = F.when(before.isNull(), 0.0).when(F.col("_v") >= before, F.col("_v") - before).otherwise(F.col("_v"))
-    grouped = samples.withColumn("_d", step).groupBy(*by).agg(
+    samples = samples.withColumn("_slice", F.floor((F.col("_t") - F.col("_start")) * slices / seconds))
+
+    def step(before: Column, value: str) -> Column:
+        return F.when(before.isNull(), 0.0).when(F.col(value) >= before, F.col(value) - before).otherwise(F.col(value))
+
+    within = step(F.lag("_v").over(W.partitionBy(*by, "_slice").orderBy("_t", "_v")), "_v")
+    sliced = samples.withColumn("_d", within).groupBy(*by, "_slice").agg(
         F.count("*").alias("n"), F.sum("_d").alias("raw"), F.min("_t").alias("t0"), F.max("_t").alias("t1"),
-        F.min_by("_v", F.struct("_t", "_v")).alias("v0"),
+        F.min_by("_v", F.struct("_t", "_v")).alias("_first"), F.max_by("_v", F.struct("_t", "_v")).alias("_last"))
+    carried = step(F.lag("_last").over(W.partitionBy(*by).orderBy("_slice")), "_first")
+    grouped = sliced.withColumn("_carried", carried).groupBy(*by).agg(
+        F.sum("n").alias("n"), F.sum(F.col("raw") + F.col("_carried")).alias("raw"), F.min("t0").alias("t0"), F.max("t1").alias("t1"),
+        F.min_by("_first", "_slice").alias("v0"),
     ).filter("n > 1 and t1 > t0")
     sampled = F.col("t1") - F.col("t0")
     mean_gap = sampled / (F.col("n") - 1)

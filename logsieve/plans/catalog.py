@@ -36,6 +36,8 @@ from logsieve.plans.federated import federated_rounds
 from logsieve.plans.training import MONTHLY_SEARCH, current_stages, draw_trials, search_trials, serving_version
 from logsieve.schema import INDEXED_CHANGE_NAMES, LABEL, LOOKUP_CHANGE_NAMES
 from logsieve.session import shared_dir, store
+from logsieve.sources.bucketed import BucketedTable
+from logsieve.sources.keyed_log import KeyedLog
 from logsieve.sources.json_logs import all_events, read_documents
 from logsieve.sources.tables import read_runs, retained, spread
 from logsieve.streaming.batches import read_batches, start, write_batch
@@ -693,6 +695,30 @@ def upsert_replace(spark, sf):
     return upsert.upsert_replace(target, source, "principal", ["event_name", "metric_value"], F.struct("event_time", "event_id"))
 
 
+@query(_upsert_sql("DESC") + """
+SELECT l.principal, COALESCE(t.event_id, l.event_id) AS event_id, l.event_name, l.metric_value
+FROM latest l LEFT JOIN target t USING (principal)
+UNION ALL SELECT principal, event_id, event_name, metric_value FROM target WHERE principal NOT IN (SELECT principal FROM latest)""")
+def upsert_in_buckets(spark, sf):
+    """The same upsert on a table in buckets, of which only the touched ones are rewritten."""
+    target, source = _upsert_sides(spark, sf)
+    held = BucketedTable(spark, f"{_work(spark)}/index", target.schema, "principal", 16)
+    held.write(target)
+    held.upsert(source, lambda old, new: upsert.upsert_replace(old, new, "principal", ["event_name", "metric_value"], F.struct("event_time", "event_id")))
+    return held.read()
+
+
+@query("""SELECT event_id, event_type, value FROM (SELECT 'e' || event_id AS event_id, event_type, value FROM events WHERE event_id % 4 < 2)
+WHERE event_id IN (SELECT 'e' || l_orderkey FROM lineitem)""")
+def log_lookup(spark, sf):
+    """The events that the first two batches of a log have, of those with the id of an order; files without one stay closed."""
+    rows = table(spark, sf, "events").select(F.concat(F.lit("e"), "event_id").alias("event_id"), "event_type", "value", (F.col("event_id") % 4).alias("batch"))
+    log = KeyedLog(spark, f"{_work(spark)}/log", rows.drop("batch").schema, "event_id", 5_000)
+    for batch in range(3):
+        log.append(rows.filter(F.col("batch") == batch).drop("batch"), batch)
+    return log.rows_for(table(spark, sf, "lineitem").select(F.concat(F.lit("e"), "l_orderkey").alias("key")), before=2)
+
+
 @query(_upsert_sql("DESC") + """
 SELECT event_name, SUM((principal NOT IN (SELECT principal FROM target))::INTEGER)::BIGINT AS inserted,
   SUM((principal IN (SELECT principal FROM target))::INTEGER)::BIGINT AS updated, COUNT(*) AS upserted FROM latest GROUP BY 1""")
@@ -980,10 +1006,10 @@ def node_busy_ratio(spark, sf):
 
 
 @query("""SELECT user_id, ROUND(1 - MAX(CASE WHEN event_type = 'view' THEN value END) / MAX(CASE WHEN event_type = 'click' THEN value END), 6) AS used
-FROM events WHERE event_type NOT IN ('click') OR value > 0 GROUP BY 1""")
+FROM events GROUP BY 1""")
 def memory_used_ratio(spark, sf):
-    gauges = table(spark, sf, "events").filter((F.col("event_type") != "click") | (F.col("value") > 0))
-    return mon.used_ratio(gauges, ["user_id"], "event_type", "value", "view", "click").withColumn("used", F.round("used", 6))
+    """A total of zero has no ratio; DuckDB's division gives null there too."""
+    return mon.used_ratio(table(spark, sf, "events"), ["user_id"], "event_type", "value", "view", "click").withColumn("used", F.round("used", 6))
 
 
 @query("SELECT o_custkey, COALESCE(BOOL_AND(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus = 'O' END), TRUE) AS ready FROM orders GROUP BY 1")
@@ -1184,6 +1210,40 @@ def stream_flagged_counts(spark, sf):
     return counts.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n")
 
 
+@query("""WITH RECURSIVE t AS (SELECT event_type, user_id % 4 AS shard, ts FROM events),
+c AS (SELECT event_type, shard, MIN(ts) AS ts FROM t GROUP BY 1, 2
+  UNION ALL SELECT c.event_type, c.shard, (SELECT MIN(t.ts) FROM t WHERE t.event_type = c.event_type AND t.shard = c.shard
+    AND t.ts >= c.ts + INTERVAL '4 hours') AS ts FROM c WHERE c.ts IS NOT NULL)
+SELECT event_type, shard, ts FROM c WHERE ts IS NOT NULL""")
+def stream_alerts(spark, sf):
+    """Alerts as a stream: the last time sent of a group is state."""
+    from logsieve.streaming.monitoring import start_alerts
+
+    out = _work(spark)
+    alerts = _event_stream(spark, sf).select("event_type", (F.col("user_id") % 4).alias("shard"), "ts")
+    start_alerts(spark, alerts, ["event_type", "shard"], "ts", out, f"{out}/checkpoint").awaitTermination()
+    return read_batches(spark, f"{out}/sent", alerts.schema)
+
+
+@query("""SELECT user_id::VARCHAR AS message_id, COUNT(*)::INTEGER AS attempts FROM events WHERE event_type = 'error' GROUP BY 1 HAVING COUNT(*) >= 3""")
+def stream_dead_letters(spark, sf):
+    """Failures as a stream of files: messages that failed three times or more are dead letters."""
+    from logsieve.streaming.retries import add_failures, dead_letter_table, start_retries
+
+    out = _work(spark)
+    errors = table(spark, sf, "events").filter(F.col("event_type") == "error")
+    add_failures(errors.select(F.col("user_id").cast("string").alias("message_id"), F.col("props").alias("raw")), f"{out}/failures", "scoring-0")
+    running = start_retries(spark, out, f"{out}/checkpoint", every="1 second", retry_after=86_400)
+    try:
+        while not any(p.numInputRows for p in running.recentProgress) and running.isActive:
+            running.awaitTermination(1)
+    finally:
+        running.stop()
+    if running.exception() is not None:
+        raise running.exception()
+    return dead_letter_table(spark, out).select("message_id", "attempts")
+
+
 @query()
 def stream_forest_scores(spark, sf):
     """A stream of events scored with a forest that was fitted on the same features in a batch."""

@@ -113,3 +113,16 @@ def test_readiness(spark):
     assert got == {"a": ("Running", True), "b": ("Unknown", False), "c": ("Pending", True)}
     rows = spark.createDataFrame([("a", True), ("b", True), ("b", False), ("c", None)], "pod string, ready boolean")
     assert {r.pod: r.ready for r in mon.all_ready_rows(rows, "pod", "ready").collect()} == {"a": True, "b": False, "c": True}
+
+
+def test_a_hot_series_is_dealt_out_by_time(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 < 8, "hot").otherwise((F.col("id") % 3).cast("string")).alias("s"),
+                                      F.timestamp_micros(F.pmod(F.xxhash64("id"), F.lit(7200 * 10 ** 6))).alias("ts"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1000)).cast("double").alias("v"))
+    whole = mon.counter_increase(rows, ["s"], "ts", "v", 3600, slices=1).collect()
+    sliced = mon.counter_increase(rows, ["s"], "ts", "v", 3600, slices=50).collect()
+    by = lambda found: sorted((r.s, r.window_start, round(r.increase, 3), round(r.rate, 6)) for r in found)
+    assert by(whole) == by(sliced) and len(whole) == 8
+    few = spark.createDataFrame([("a", t, v) for t, v in ((5, 1.0), (5, 2.0), (3599, 9.0), (3600, 1.0))], "s string, t bigint, v double").withColumn("ts", F.timestamp_seconds("t"))
+    for extrapolate in (False, True):
+        one, many = (mon.counter_increase(few, ["s"], "ts", "v", 3600, extrapolate, n).collect() for n in (1, 64))
+        assert one == many and len(one) == 1
