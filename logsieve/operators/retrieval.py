@@ -2,15 +2,19 @@
 
 A search scans the index once: every Arrow batch is multiplied with the broadcast query matrix and only the best k
 rows per query and task leave Python. Pairs are never materialised and index rows are never shuffled. Queries beyond
-the broadcast bound are matched block by block, again with k rows per query leaving a block.
+the broadcast bound search an index of lists and rings, and the triangle inequality tells which of those they must meet.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
@@ -21,13 +25,22 @@ from pyspark.sql import functions as F
 
 from logsieve.functions.scalars import text
 from logsieve.operators.labels import split_by_rule, valid_dimension
-from logsieve.session import materialise
+from logsieve.session import materialise, shared_dir, store
 
 MAX_QUERY_VALUES = 4_000_000       # numbers in the broadcast query matrix: 32 MB as doubles
 MAX_PAIRS = 4_000_000              # distances in memory at a time
 BLOCK_ROWS = 20_000
 LISTS = 100
 TRAIN_ROWS_PER_LIST = 10_000
+MAX_EXACT_LISTS = 1024
+CENTRE_SAMPLE = 32                 # different vectors a list from which the centres of an exact index come
+RINGS = 16                         # per unit of distance; unit vectors are at most 2 apart
+LIST_FILES = 16
+FIRST_RINGS = 2                    # a query asks for in its first round
+LEAST_BLOCK = 256
+PAIRS_PER_TASK = 200_000_000
+SALTS = 16
+SLACK = 1e-6                       # more than what distances of unit vectors lose in floating point
 
 # Vector functions ----------------------------------------------------------------------------------------------
 
@@ -182,8 +195,7 @@ def nearest(queries: DataFrame, index: DataFrame, k: int, query_id: str, row_id:
     schema = f"_q {q_type}, _i {i_type}, distance double"
     frame = _query_frame(queries, query_id, query_vector, _dimension(queries, query_vector))
     if frame is None:
-        return _final(_nearest_by_blocks(queries, index, k, query_id, row_id, query_vector, vector, metric,
-                                         schema, block_rows), k, query_id, row_id)
+        return nearest_exact(queries, exact_index(index, row_id, vector, metric), k, query_id, row_id, query_vector, block_rows)
     shared = spark.sparkContext.broadcast((frame["q"].to_numpy(), _matrix(frame["v"], metric)))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,28 +211,225 @@ def nearest(queries: DataFrame, index: DataFrame, k: int, query_id: str, row_id:
     return _final(partial, k, query_id, row_id)
 
 
-def _nearest_by_blocks(queries: DataFrame, index: DataFrame, k: int, query_id: str, row_id: str, query_vector: str,
-                       vector: str, metric: str, schema: str, block_rows: int) -> DataFrame:
-    """Block against block by an equi join on the pair of blocks; each task holds two blocks of bounded size."""
-    n_q = max(1, -(-queries.count() // block_rows))
-    n_i = max(1, -(-index.count() // block_rows))
-    q = queries.select(
-        F.col(query_id).alias("id"), F.col(query_vector).alias("v"),
-        F.pmod(F.xxhash64(query_id), F.lit(n_q)).alias("qb"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_i - 1).cast("bigint"))).alias("ib"))
-    rows = index.select(
-        F.col(row_id).alias("id"), F.col(vector).alias("v"),
-        F.pmod(F.xxhash64(row_id), F.lit(n_i)).alias("ib"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint"))).alias("qb"))
-
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        best = _Best(len(left), k)
-        if len(left) and len(right):
-            best.offer(np.arange(len(left)), _matrix(left["v"], metric), _matrix(right["v"], metric),
-                       right["id"].to_numpy(), metric)
-        return best.frame(left["id"].to_numpy())
-
-    return q.groupBy("qb", "ib").cogroup(rows.groupBy("qb", "ib")).applyInPandas(match, schema)
+# Exact search of large query sets ------------------------------------------------------------------------------
+
+
+@dataclass
+class ExactIndex:
+    """Index rows as `(list, ring, i, v)`, stored by list, and what decides which of them a query must meet.
+
+    `rings` holds the least and greatest distance to the centre and the rows of every ring. Distances are those of
+    unit vectors: cosine compares directions, and for inner products rows are divided by the longest one and given a
+    further number that makes them unit vectors, so the nearest is the one with the largest product.
+    """
+
+    rows: DataFrame
+    rings: pd.DataFrame
+    centres: np.ndarray
+    scale: float
+    metric: str
+
+
+def _on_sphere(m: np.ndarray, metric: str, scale: float, rows: bool) -> np.ndarray:
+    """Unit vectors in which the nearest by `metric` is the nearest by distance; nan where there is no direction."""
+    if metric == "cosine":
+        return _unit_rows(m)
+    if not rows:
+        return np.hstack([_unit_rows(m), np.zeros((len(m), 1))])
+    m = m / scale
+    return np.hstack([m, np.sqrt(np.maximum(0.0, 1.0 - np.einsum("ij,ij->i", m, m)))[:, None]])
+
+
+def _to_centres(m: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    squares = np.einsum("ij,ij->i", m, m)[:, None] + np.einsum("ij,ij->i", centres, centres) - 2.0 * (m @ centres.T)
+    return np.sqrt(np.maximum(0.0, squares))
+
+
+def _centres(index: DataFrame, vector: str, n: int, lists: int, metric: str, scale: float) -> np.ndarray:
+    """Centres by a few rounds of k-means over a sample of about CENTRE_SAMPLE different vectors a list."""
+    wanted, v = lists * CENTRE_SAMPLE, F.col(vector).cast("array<double>")
+    share, found = min(1.0, wanted / max(n, 1)), []
+    place = F.pmod(F.xxhash64(v), F.lit(2**40))
+    while True:
+        # Copies share a hash and count once, so the sample stays small whatever repeats; it is widened if too few differ.
+        some = index.filter(place < int(share * 2**40)).groupBy(place.alias("h")).agg(F.first(v).alias("v"))
+        found = some.orderBy("h").limit(wanted).collect()
+        if share >= 1.0 or 4 * len(found) >= wanted:
+            break
+        share = min(1.0, 8 * share)
+    if not found:
+        return np.empty((0, 0))
+    m = _on_sphere(np.array([r.v for r in found], dtype=float), metric, scale, rows=True)
+    m = m[~np.isnan(m).any(axis=1)]
+    centres = m[:lists]
+    for _ in range(8 if len(m) > lists else 0):
+        own = _to_centres(m, centres).argmin(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, m)
+        size = np.bincount(own, minlength=len(centres))[:, None]
+        centres = np.where(size > 0, sums / np.maximum(size, 1), centres)
+    return centres
+
+
+def exact_index(index: DataFrame, row_id: str, vector: str = "embedding", metric: str = "cosine",
+                lists: int | None = None) -> ExactIndex:
+    """Every row with the list of its nearest centre and its ring, the distance to that centre in steps of 1 / RINGS.
+
+    Centres come from a bounded sample and only decide how much a search can leave out, never what it finds. A row
+    without a direction has list -1. An empty table has no rings.
+    """
+    spark, v = index.sparkSession, F.col(vector).cast("array<double>")
+    longest = index.agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(dot(v, v))).alias("m")).first()
+    scale = longest["m"] or 1.0
+    lists = lists or max(1, min(MAX_EXACT_LISTS, math.isqrt(longest["n"])))
+    centres = _centres(index, vector, longest["n"], lists, metric, scale)
+    shared = spark.sparkContext.broadcast(centres)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            m = _on_sphere(np.stack(batch["v"].to_numpy()).astype(float), metric, scale, rows=True)
+            lost = np.isnan(m).any(axis=1)
+            m[lost] = 0.0
+            if len(shared.value):
+                far = _to_centres(m, shared.value)
+                own = far.argmin(axis=1)
+                r = far[np.arange(len(m)), own]
+            else:
+                own, r = np.zeros(len(m), dtype=int), np.zeros(len(m))
+            ring = (r * RINGS).astype(int)
+            yield pd.DataFrame({"list": np.where(lost, -1, own), "ring": np.where(lost, 0, ring), "r": np.where(lost, 0.0, r),
+                                "i": batch["i"], "v": batch["v"]})
+
+    i_type = index.schema[row_id].dataType.simpleString()
+    placed = index.select(F.col(row_id).alias("i"), v.alias("v")).mapInPandas(place, f"list int, ring int, r double, i {i_type}, v array<double>")
+    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    # A list is dealt over several tasks, so that one that holds much of the table is written by many.
+    placed.repartition("list", F.pmod(F.xxhash64("i"), F.lit(LIST_FILES))).write.partitionBy("list").parquet(path)
+    rows = spark.read.schema(placed.schema).parquet(path)
+    rings = rows.groupBy("list", "ring").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.count(F.lit(1)).alias("n"))
+    frame = rings.orderBy("list", "ring").toPandas()        # at most a few rings a list
+    frame["number"] = np.arange(len(frame))
+    return ExactIndex(rows, frame, centres, scale, metric)
+
+
+def _next_rings(ix: ExactIndex, step: int):
+    """A function over open queries: the next `step` rings of each that may hold one of its k nearest.
+
+    A row at distance r of its centre is at least |r - d| from a query at distance d of it. Rings are taken in the
+    order of that bound, and a query is done when the bound of the next one is beyond its k-th neighbour.
+    """
+    metric, scale = ix.metric, ix.scale
+    shared = ix.rows.sparkSession.sparkContext.broadcast(
+        (ix.centres, ix.rings["list"].to_numpy(), ix.rings["low"].to_numpy(), ix.rings["high"].to_numpy()))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centres, lists, low, high = shared.value
+        size = max(1, MAX_PAIRS // max(1, len(lists)))
+        for batch in batches:
+            for start in range(0, len(batch), size):
+                part = batch.iloc[start:start + size]
+                raw = np.stack(part["v"].to_numpy()).astype(float)
+                m = _on_sphere(raw, metric, scale, rows=False)
+                blind = np.isnan(m).any(axis=1)         # as near to all rows
+                far = _to_centres(np.where(blind[:, None], 0.0, m), centres)[:, np.maximum(lists, 0)] if len(centres) else np.zeros((len(m), len(lists)))
+                bound = np.maximum(0.0, np.maximum(far - high, low - far))
+                bound[blind] = 0.0
+                bound[:, lists < 0] = np.inf
+                worst = part["tau"].to_numpy() + 1e-9   # distances are rounded to nine places
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    over = worst if metric == "cosine" else 1.0 + worst / (scale * np.sqrt(np.einsum("ij,ij->i", raw, raw)))
+                    reach = np.where(blind | np.isinf(worst), np.inf, np.sqrt(np.maximum(0.0, 2.0 * over)) + SLACK)
+                order = np.argsort(bound, axis=1, kind="stable")
+                n_open = (bound <= reach[:, None]).sum(axis=1)
+                reached = part["reached"].to_numpy()
+                until = np.minimum(n_open, reached + step)
+                left = np.flatnonzero(until > reached)
+                yield pd.DataFrame({"qid": part["qid"].to_numpy()[left], "v": part["v"].to_numpy()[left], "reached": until[left],
+                                    "asked": pd.Series([order[j, reached[j]:until[j]] for j in left], dtype=object)})
+
+    return ask
+
+
+def _match_blocks(k: int, metric: str, schema: str):
+    """A function over rows sorted by block, index rows first: a block is held, the queries that ask for it pass by."""
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, vectors, held = None, [], [], None
+        for batch in batches:
+            number, sub, kind = (batch.column(c).to_numpy() for c in ("number", "sub", "kind"))
+            changes = (np.diff(number) != 0) | (np.diff(sub) != 0) | (np.diff(kind) != 0)
+            starts = [0, *(np.flatnonzero(changes) + 1), batch.num_rows] if batch.num_rows else []
+            for a, b in zip(starts, starts[1:]):
+                part = batch.slice(a, b - a)
+                if block != (number[a], sub[a]):
+                    block, ids, vectors, held = (number[a], sub[a]), [], [], None
+                m = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
+                m = _unit_rows(m) if metric == "cosine" else m
+                if kind[a] == 0:
+                    ids.append(np.array(part.column("i").to_pylist(), dtype=object))
+                    vectors.append(m)
+                elif ids:
+                    held = held or (np.concatenate(ids), np.vstack(vectors))
+                    best = _Best(b - a, k)
+                    best.offer(np.arange(b - a), m, held[1], held[0], metric)
+                    frame = best.frame(part.column("qid").to_numpy())
+                    out = pa.schema([("qid", pa.int64()), ("i", batch.schema.field("i").type), ("distance", pa.float64())])
+                    yield pa.RecordBatch.from_pandas(frame.set_axis(out.names, axis=1), schema=out, preserve_index=False)
+
+    return match
+
+
+def nearest_exact(queries: DataFrame, ix: ExactIndex, k: int, query_id: str, row_id: str, query_vector: str = "embedding",
+                  block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The k nearest rows of any number of queries, exactly: `(query_id, row_id, distance, rank)`.
+
+    Queries of one vector search together. In every round an open query asks for its next rings, only the lists that
+    hold one are read, and the queries go to the rows: an index row goes to one block, of at most about `block_rows`
+    rows, fewer where many queries ask for it, and a query to the blocks of its rings. Rounds take four times
+    the rings of the one before, and end when no ring left can hold a nearer row.
+    """
+    spark = ix.rows.sparkSession
+    salt = F.pmod(F.xxhash64(query_id), F.lit(SALTS))       # copies of one vector are some groups, not one
+    named = queries.select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v"), salt.alias("s"))
+    groups = store(named.groupBy("v", "s").agg(F.count(F.lit(1)).alias("n")).select("v", "s", F.monotonically_increasing_id().alias("qid")))
+    rows = ix.rows.join(F.broadcast(spark.createDataFrame(ix.rings[["list", "ring", "number"]], "list int, ring int, number int")), ["list", "ring"]) if len(ix.rings) else None
+    i_type = ix.rows.schema["i"].dataType.simpleString()
+    schema = f"qid bigint, i {i_type}, distance double"
+    best = spark.createDataFrame([], schema)
+    nearest_first = W.partitionBy("qid").orderBy(F.col("distance").asc_nulls_last(), F.col("i"))
+    state = groups.select("qid", "v", F.lit(0).alias("reached"), F.lit(math.inf).alias("tau"))
+    step = FIRST_RINGS
+    while rows is not None:
+        asked = store(state.mapInPandas(_next_rings(ix, step), "qid bigint, v array<double>, reached int, asked array<int>"))
+        probes = asked.select("qid", "v", F.explode("asked").alias("number"))
+        counts = {r["number"]: r["n"] for r in probes.groupBy("number").agg(F.count(F.lit(1)).alias("n")).collect()}    # a row per ring
+        if not counts:
+            break
+        plan = []
+        for number, n in counts.items():
+            size = int(ix.rings["n"].iat[number])
+            plan.append((number, max(1, -(-size // block_rows), min(-(-size // LEAST_BLOCK), -(-size * n // PAIRS_PER_TASK)))))
+        plan = F.broadcast(spark.createDataFrame(plan, "number int, subs int"))
+        lists = sorted({int(ix.rings["list"].iat[number]) for number in counts})
+        sides = ["number", "sub", "kind", "qid", "i", "v"]
+        held = (
+            rows.filter(F.col("list").isin(lists)).join(plan, "number")
+            .withColumn("sub", F.pmod(F.xxhash64("i"), F.col("subs")).cast("int"))
+            .withColumns({"kind": F.lit(0), "qid": F.lit(-1).cast("bigint")}).select(sides))
+        passing = (
+            probes.join(plan, "number").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+            .withColumns({"kind": F.lit(1), "i": F.lit(None).cast(i_type)}).select(sides))
+        met = (
+            held.unionByName(passing).repartition("number", "sub").sortWithinPartitions("number", "sub", "kind")
+            .mapInArrow(_match_blocks(k, ix.metric, schema), schema))
+        best = store(best.unionByName(met).withColumn("_r", F.row_number().over(nearest_first)).filter(F.col("_r") <= k).drop("_r"))
+        worst = best.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce("distance", F.lit(math.inf))).alias("far"))
+        state = asked.join(worst, "qid", "left").select("qid", "v", "reached", F.when(F.col("n") >= k, F.col("far")).otherwise(math.inf).alias("tau"))
+        step *= 4
+    ranked = best.withColumn("rank", F.row_number().over(nearest_first))
+    members = named.join(groups, ["v", "s"]).select("q", "qid")
+    return members.join(ranked, "qid").select(F.col("q").alias(query_id), F.col("i").alias(row_id), "distance", "rank")
 
 
 def split_by_dimension(df: DataFrame, dim: int, vector: str = "embedding") -> tuple[DataFrame, DataFrame]:

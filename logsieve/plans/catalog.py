@@ -29,7 +29,8 @@ from logsieve.operators.labels import (
     flag_below, is_infra_change, is_named_change, rule_label, split_by_rule, valid_decision,
 )
 from logsieve.operators.retrieval import (
-    TextVectoriser, assign_lists, cosine_distance, dot, nearest, nearest_in_lists, split_by_dimension, with_payload,
+    TextVectoriser, assign_lists, cosine_distance, dot, exact_index, nearest, nearest_exact, nearest_in_lists, split_by_dimension,
+    with_payload,
 )
 from logsieve.plans.changes import lookup_changes
 from logsieve.plans.federated import federated_rounds
@@ -627,6 +628,31 @@ def topk_ivf(spark, sf):
     return hits.withColumn("distance", F.round("distance", 6))
 
 
+def _exact_sql(distance: str, k: int) -> str:
+    return f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, ROUND({distance}, 9) AS distance
+  FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, vec_id, ROUND(distance, 6) AS distance, rank FROM r WHERE rank <= {k}"""
+
+
+def _exact(spark, sf, metric: str, k: int) -> DataFrame:
+    """Every hundredth vector against all of them, in lists and rings."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    queries = vectors.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    hits = nearest_exact(queries, exact_index(vectors, "vec_id", metric=metric), k, "query_id", "vec_id")
+    return hits.withColumn("distance", F.round("distance", 6))
+
+
+@query(_exact_sql("1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])", 5))
+def exact_search_cosine(spark, sf):
+    return _exact(spark, sf, "cosine", 5)
+
+
+@query(_exact_sql("-list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])", 3))
+def exact_search_inner_product(spark, sf):
+    return _exact(spark, sf, "inner", 3)
+
+
 @query("""SELECT vec_id, ROUND(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS norm2,
   ROUND(1 - list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS distance FROM embeddings""")
 def vector_expressions(spark, sf):

@@ -52,6 +52,26 @@ def test_search_equals_brute_force_on_both_ways(vectors, monkeypatch, metric):
     assert found(rt.nearest(queries, vectors, 5, "q", "id", metric=metric, block_rows=50)) == expected
 
 
+def test_exact_search_meets_a_part_of_the_lists(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(24, 12))
+    rows = [(i, [float(x) for x in middles[i % 24] + 0.02 * rng.normal(size=12)]) for i in range(960)]
+    rows += [(i, rows[7][1]) for i in range(960, 1440)]         # a third of the rows are one vector
+    vectors = spark.createDataFrame(rows, "id int, embedding array<float>").repartition(4)
+    queries = vectors.withColumnRenamed("id", "q").filter("q % 40 = 7")
+    asked, kept = [], rt.store
+    monkeypatch.setattr(rt, "store", lambda df: (asked.append(out := kept(df)), out)[1])
+    monkeypatch.setattr(rt, "LEAST_BLOCK", 16)
+    monkeypatch.setattr(rt, "PAIRS_PER_TASK", 500)
+    ix = rt.exact_index(vectors, "id", lists=24)
+    hits = rt.nearest_exact(queries, ix, 4, "q", "id", block_rows=100)
+    assert found(hits) == brute(vectors, queries, 4)
+    size = ix.rings["n"]
+    met = sum(int(size.iloc[a].sum()) for df in asked if "asked" in df.columns for (a,) in df.select("asked").collect())
+    groups = sum(len(df.select("qid").collect()) for df in asked if "asked" in df.columns and df.filter("reached > 2").isEmpty())
+    assert met < 0.5 * groups * len(rows)
+
+
 def test_partitioning_and_k_beyond_the_table(vectors):
     queries = vectors.withColumnRenamed("id", "q").filter("q = 7")
     hits = rt.nearest(queries, vectors.limit(3), 5, "q", "id")
