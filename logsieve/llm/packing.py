@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from logsieve.llm.bpe import encoder
-from logsieve.llm.texts import slices
+from logsieve.llm.texts import release_memory, slices
 from logsieve.session import store
 
 SEQUENCE = 2048
@@ -111,8 +111,9 @@ def pieces(docs: DataFrame, path: str, kind: str = "word", end_id: int = 0, size
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         encode = encoder(path, kind).encode
-        for batch in slices(batches, bytes_each=8_000_000):
+        for batch in slices(batches):
             ids, bounds = encode(batch.column("text"))
             rows, out = [], []
             for i in range(batch.num_rows):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import zlib
 from collections.abc import Callable, Iterator
@@ -59,3 +60,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", bytes_each:
         step = max(1, int(batch.num_rows * bytes_each / max(1, batch.column(column).nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+
+
+def release_memory() -> None:
+    """Gives back what Arrow and the C library keep of freed memory: a worker may have run other stages before this one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc alone has it
+    if trim is not None:
+        trim(0)
