@@ -6,6 +6,7 @@ against an independent computation in the tests.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -38,6 +39,7 @@ from logsieve.plans.training import MONTHLY_SEARCH, current_stages, draw_trials,
 from logsieve.schema import INDEXED_CHANGE_NAMES, LABEL, LOOKUP_CHANGE_NAMES
 from logsieve.session import shared_dir, store
 from logsieve.sources.bucketed import BucketedTable
+from logsieve.sources.file_ledger import FileLedger
 from logsieve.sources.keyed_log import KeyedLog
 from logsieve.sources.json_logs import all_events, read_documents
 from logsieve.sources.tables import read_runs, retained, spread
@@ -569,6 +571,26 @@ def histogram_quantiles(spark, sf):
     return found.withColumn("value", F.round("value", 6))
 
 
+# Incremental scans ----------------------------------------------------------------------------------------------
+
+
+@query("""SELECT CONCAT('e', CAST(event_id AS STRING)) AS event_id, event_type FROM events
+WHERE ts >= TIMESTAMP '2024-01-20 06:00:00'""")
+def scan_since_event_time(spark, sf):
+    """The log as files of a day each, whose later half comes first; the ledger opens those that reach the time."""
+    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    ts = F.col("ts").cast("timestamp")
+    log = table(spark, sf, "events").select(
+        F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("eventID"), F.col("event_type").alias("eventName"),
+        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("eventTime"), F.to_date(ts).alias("day"))
+    ledger = FileLedger(spark, f"{base}/ledger", f"{base}/logs", multiline=False)
+    late = F.col("day") < "2024-01-22"
+    for part in (log.filter(late.isNull() | ~late), log.filter(late)):
+        part.repartition("day", F.pmod(F.xxhash64("eventID"), F.lit(4))).write.mode("append").partitionBy("day").json(f"{base}/logs")
+        ledger.refresh()
+    return ledger.scan_since("2024-01-20T06:00:00Z").select(F.col("eventID").alias("event_id"), F.col("eventName").alias("event_type"))
+
+
 # Similarity ----------------------------------------------------------------------------------------------------
 
 
