@@ -17,9 +17,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -69,23 +70,33 @@ class TextVectoriser:
     def __init__(self, dim: int = 256, max_chars: int | None = None):
         self.dim, self.max_chars, self.model = dim, max_chars, None
 
-    def _input(self, df: DataFrame, column: str) -> DataFrame:
+    def words(self, df: DataFrame, column: str) -> DataFrame:
+        """Add `_text` and its lower-case words, `_words`."""
         t = text(column)
-        return df.withColumn("_text", F.substring(t, 1, self.max_chars) if self.max_chars else t)
+        cut = df.withColumn("_text", F.substring(t, 1, self.max_chars) if self.max_chars else t)
+        return RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+").transform(cut)
 
-    def fit(self, corpus: DataFrame, column: str) -> TextVectoriser:
-        stages = Pipeline(stages=[
-            RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
+    def _stages(self, weigh) -> Pipeline:
+        return Pipeline(stages=[
             HashingTF(inputCol="_words", outputCol="_tf", numFeatures=self.dim),
-            IDF(inputCol="_tf", outputCol="_tfidf"),
+            weigh,
             Normalizer(inputCol="_tfidf", outputCol="_unit", p=2.0),
         ])
-        self.model = stages.fit(self._input(corpus, column).select("_text"))
+
+    def fit(self, corpus: DataFrame, column: str) -> TextVectoriser:
+        words = self.words(corpus, column).select("_words")
+        self.model = self._stages(IDF(inputCol="_tf", outputCol="_tfidf")).fit(words)
+        return self
+
+    def weighted(self, spark: SparkSession, weights: list[float]) -> TextVectoriser:
+        """With given weights of the hashed words, as those of a vocabulary's version, nothing is fitted."""
+        weigh = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="_tf", outputCol="_tfidf")
+        self.model = self._stages(weigh).fit(spark.createDataFrame([], "_words array<string>"))
         return self
 
     def transform(self, df: DataFrame, column: str, output: str = "embedding") -> DataFrame:
         """Add the vector; a text without words has none (null) and counts as failed."""
-        done = self.model.transform(self._input(df, column))
+        done = self.model.transform(self.words(df, column))
         return (
             done.withColumn(output, F.when(F.size("_words") > 0, vector_to_array("_unit", "float32")))
             .drop("_text", "_words", "_tf", "_tfidf", "_unit")

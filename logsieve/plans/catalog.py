@@ -29,15 +29,17 @@ from logsieve.operators.features import (
 from logsieve.operators.labels import (
     flag_below, is_infra_change, is_named_change, rule_label, split_by_rule, valid_decision,
 )
+from logsieve.operators.vocabulary import Vocabulary
 from logsieve.operators.retrieval import (
     TextVectoriser, assign_lists, cosine_distance, dot, exact_index, nearest, nearest_exact, nearest_in_lists, split_by_dimension,
     with_payload,
 )
 from logsieve.plans.changes import lookup_changes
 from logsieve.plans.federated import federated_rounds
+from logsieve.plans.journal import Journal
 from logsieve.plans.training import MONTHLY_SEARCH, current_stages, draw_trials, search_trials, serving_version
 from logsieve.schema import INDEXED_CHANGE_NAMES, LABEL, LOOKUP_CHANGE_NAMES
-from logsieve.session import shared_dir, store
+from logsieve.session import path_exists, shared_dir, store
 from logsieve.sources.bucketed import BucketedTable
 from logsieve.sources.file_ledger import FileLedger
 from logsieve.sources.keyed_log import KeyedLog
@@ -700,6 +702,21 @@ def text_vectors(spark, sf):
     return vectors.filter(v.isNotNull()).select("doc_id", F.size(v).alias("dim"), F.round(F.sqrt(dot(v, v)), 3).alias("norm"))
 
 
+@query(r"""SELECT doc_id, regexp_matches(COALESCE(text, ''), '[\p{L}\p{N}]') AS has_vector, 0.0::DOUBLE AS difference, 2::BIGINT AS version FROM documents""")
+def text_vectors_of_increments(spark, sf):
+    """Vectors with a vocabulary of two increments, the second added twice, against those of one fit to all texts."""
+    documents = table(spark, sf, "documents", heavy=True).select("doc_id", "text")
+    vocabulary = Vocabulary(spark, _work(spark), 1024)
+    first = F.pmod(F.col("doc_id"), F.lit(3)) == 0
+    vocabulary.add(documents.filter(first), "text", "first")
+    for _ in range(2):
+        version = vocabulary.add(documents.filter(~first), "text", "others")
+    both = vocabulary.vectoriser(version).transform(documents, "text", "by_increments")
+    both = TextVectoriser(1024).fit(documents, "text").transform(both, "text", "refitted")
+    gap = F.aggregate(F.zip_with("by_increments", "refitted", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda m, d: F.greatest(m, d.cast("double")))
+    return both.select("doc_id", F.col("by_increments").isNotNull().alias("has_vector"), F.coalesce(F.round(gap, 5), F.lit(0.0)).alias("difference"), F.lit(version).alias("version"))
+
+
 # Joins, dedup, upsert ------------------------------------------------------------------------------------------
 
 
@@ -1111,6 +1128,43 @@ def alert_repeat_suppression(spark, sf):
     return mon.suppress_repeats(alerts, ["event_type", "shard"], "ts")
 
 
+# Jobs ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, COUNT(*) AS n, ROUND(SUM(value), 4) AS total, 2::BIGINT AS tries FROM events GROUP BY 1, 2")
+def resumed_job(spark, sf):
+    """A job of two steps that dies within each, after its work and before its commit: the third run ends it, published once."""
+    out = _work(spark)
+    died = set()
+
+    def dying(step: str, work):
+        def run(again: bool):
+            if not (again and path_exists(spark, f"{out}/{step}")):
+                work(f"{out}/{step}")
+            if step not in died:
+                died.add(step)
+                raise RuntimeError(f"died in {step}")
+        return run
+
+    def days(path):
+        day = F.date_format("ts", "yyyy-MM-dd").alias("day")
+        table(spark, sf, "events").groupBy("event_type", day).agg(F.count("*").alias("n"), F.sum("value").alias("total")).write.parquet(path)
+
+    def publish(path):
+        spark.read.parquet(f"{out}/days").write.mode("append").parquet(path)
+
+    for _ in range(3):
+        journal = Journal(spark, f"{out}/journal", "days")
+        try:
+            journal.step("days", dying("days", days))
+            journal.step("publish", dying("publish", publish))
+        except RuntimeError:
+            continue
+    tries = journal.status().filter("step = 'publish' and committed").select("tries")
+    found = spark.read.parquet(f"{out}/publish").join(F.broadcast(tries))      # one row
+    return found.select("event_type", "day", "n", F.round("total", 4).alias("total"), "tries")
+
+
 # Forest --------------------------------------------------------------------------------------------------------
 
 PRICE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

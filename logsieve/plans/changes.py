@@ -13,6 +13,7 @@ from logsieve.operators.labels import is_infra_change, is_named_change
 from logsieve.operators.retrieval import (
     TextVectoriser, embedded, first_documents, nearest, split_by_dimension, with_payload,
 )
+from logsieve.operators.vocabulary import Vocabulary
 from logsieve.operators.upsert import rows_to_insert, upsert_counts, upsert_replace
 from logsieve.schema import CHUNKS, INDEXED_CHANGE_NAMES, LOOKUP_CHANGE_NAMES
 from logsieve.sources.json_logs import scan_since
@@ -52,14 +53,18 @@ def named_change_chunks(events: DataFrame, layout: dict[str, str] = CLOUDTRAIL)
 
 
 def build_change_index(spark: SparkSession, logs: str, since_ts: str, table: BucketedTable,
-                       vectoriser: TextVectoriser | None = None, replace: bool = True) -> tuple[TextVectoriser, DataFrame]:
+                       vectoriser: TextVectoriser | None = None, replace: bool = True,
+                       vocabulary: Vocabulary | None = None) -> tuple[TextVectoriser, DataFrame]:
     """Index the changes in files written after `since_ts`; returns the vectoriser and the upsert counts.
 
     `replace` overwrites text and vector of a known event, otherwise known events stay as they are. Only the buckets of
-    the table that the changes touch are read and rewritten.
+    the table that the changes touch are read and rewritten. With a `vocabulary` the chunks are its increment of this
+    time, counted once however often the job runs, and nothing is fitted.
     """
     events = scan_since(spark, logs, since_ts, inclusive=False, require_rows=False)
     chunks = change_chunks(events)
+    if vocabulary is not None:
+        vectoriser = vocabulary.vectoriser(vocabulary.add(chunks, "raw_text", since_ts))
     vectoriser = vectoriser or TextVectoriser().fit(chunks, "raw_text")
     good, _ = embedded(vectoriser.transform(chunks, "raw_text"))
     good, _ = split_by_dimension(good, vectoriser.dim)

@@ -7,6 +7,7 @@ import random
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from logsieve.operators.metrics import best_trial, binary_metrics, predicted_ano
 from logsieve.operators.quantiles import exact_quantiles
 from logsieve.operators.split import stratified_split
 from logsieve.operators.upsert import last_per_key
+from logsieve.plans.journal import Journal
 from logsieve.schema import FEATURES, LABEL, STAGES, feature_hash
 from logsieve.sources.json_logs import scan_since
 from logsieve.sources.tables import advance_watermark, get_state, read_or_empty
@@ -172,6 +174,11 @@ class ModelRegistry:
     def stage_events(self) -> DataFrame:
         return read_or_empty(self.spark, f"{self.root}/stages", STAGE_EVENTS)
 
+    def has(self, version: str, stage: str | None = None) -> bool:
+        """Whether the version is listed, or was ever put in a stage."""
+        rows = self.stage_events().filter(F.col("stage") == stage) if stage else read_or_empty(self.spark, f"{self.root}/registry", REGISTRY)
+        return not rows.filter((F.col("name") == self.name) & (F.col("version") == version)).isEmpty()
+
     def promote(self, version: str, stage: str) -> None:
         if stage not in STAGES:
             raise ValueError(f"invalid stage {stage!r}: must be one of {STAGES}")
@@ -229,26 +236,51 @@ def training_run(spark: SparkSession, logs: str, registry: ModelRegistry, state:
                  work: str | None = None, seed: int = 42) -> dict:
     """Fetch, features, search, train, register, promote, index changes, and only then advance the watermark.
 
-    A step that raises ends the run: nothing after it happens and the next run starts at the old watermark.
+    A step that raises ends the run: nothing after it happens and a run of another version starts at the old watermark.
+    A run of the same version goes on after the last committed step of the journal and publishes once. `index_changes`
+    may be called again if it ended without a commit, so it should be an upsert.
     """
-    since = get_state(spark, state, "last_train_ts", "1970-01-01T00:00:00Z")
-    events = scan_since(spark, logs, since, inclusive=True)
-    m = member_columns(events, CLOUDTRAIL)
-    labelled = events.withColumn(LABEL, rule_label(m["error_code"], m["event_name"], m["identity_type"]))
-    table = features(labelled, CANONICAL, CLOUDTRAIL, keep=("eventID", LABEL))
     work = work or f"{registry.root}/work"
-    conform(table, keep=("eventID",), label=LABEL).write.mode("overwrite").parquet(f"{work}/features/{version}")
+    journal = Journal(spark, f"{work}/journal", version)
+    since = journal.step("since", lambda again: get_state(spark, state, "last_train_ts", "1970-01-01T00:00:00Z"))
+
+    def make_features(again: bool) -> None:
+        events = scan_since(spark, logs, since, inclusive=True)
+        m = member_columns(events, CLOUDTRAIL)
+        labelled = events.withColumn(LABEL, rule_label(m["error_code"], m["event_name"], m["identity_type"]))
+        table = features(labelled, CANONICAL, CLOUDTRAIL, keep=("eventID", LABEL))
+        conform(table, keep=("eventID",), label=LABEL).write.mode("overwrite").parquet(f"{work}/features/{version}")
+
+    journal.step("features", make_features)
     stored = spark.read.parquet(f"{work}/features/{version}")
-    trials = search_trials(stored, "eventID", draw_trials(space, seed), LABEL, seed)
-    write_best_parameters(best_parameters(trials, space), f"{work}/best/{version}")
-    best = spark.read.parquet(f"{work}/best/{version}").first()
-    forest, metrics = train_and_evaluate(stored, "eventID", best["n_estimators"], best["contamination"],
-                                         best["max_samples"], seed)
-    metrics = materialise(metrics)
-    registry.register(forest, version, metrics)
-    registry.promote(version, "Production")
+
+    def search(again: bool) -> None:
+        trials = search_trials(stored, "eventID", draw_trials(space, seed), LABEL, seed)
+        write_best_parameters(best_parameters(trials, space), f"{work}/best/{version}")
+
+    journal.step("search", search)
+
+    def register(again: bool) -> dict:
+        best = spark.read.parquet(f"{work}/best/{version}").first()
+        forest, metrics = train_and_evaluate(stored, "eventID", best["n_estimators"], best["contamination"],
+                                             best["max_samples"], seed)
+        metrics = materialise(metrics)
+        if not (again and registry.has(version)):
+            registry.register(forest, version, metrics)
+        return metrics.first().asDict()
+
+    metrics = journal.step("register", register)
+
+    def promote(again: bool) -> None:
+        if not (again and registry.has(version, "Production")):
+            registry.promote(version, "Production")
+
+    journal.step("promote", promote)
     if index_changes is not None:
-        index_changes(since)
-    return {"since": since, "watermark": advance_watermark(spark, state), **metrics.first().asDict()}
+        journal.step("index", lambda again: index_changes(since))
+    ended = journal.step("ended", lambda again: datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S"))
 
+    def advance(again: bool) -> str:
+        return advance_watermark(spark, state, at=datetime.fromisoformat(ended))
 
+    return {"since": since, "watermark": journal.step("watermark", advance), **metrics}

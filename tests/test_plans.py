@@ -209,3 +209,30 @@ def test_half_split_when_a_node_is_too_small(spark):
     df = synthetic_trail(spark, 100, 10).withColumn("raw_source", F.lit("sns"))
     counts = {r.node: r["count"] for r in split.node_split(df, "raw_source", "event_id").groupBy("node").count().collect()}
     assert counts == {"node1": 55, "node2": 55}
+
+
+@pytest.mark.parametrize("step, kind", [("features", "commit"), ("register", "commit"), ("promote", "commit"), ("watermark", "intent")])
+def test_a_killed_training_run_goes_on(spark, tmp_path, event, monkeypatch, step, kind):
+    from logsieve.plans.journal import Journal
+
+    write_logs(tmp_path / "logs", event, 300)
+    registry, state = ModelRegistry(spark, str(tmp_path / "models")), str(tmp_path / "state")
+    space = SearchSpace(1, 0.99, (5, 5), (0.1, 0.1), ["auto"])
+    write, indexed = Journal._write, []
+
+    def dying(self, name, what, outcome=None):
+        if (name, what) == (step, kind) and not killed:
+            killed.append(name)
+            raise RuntimeError("killed")
+        write(self, name, what, outcome)
+
+    killed = []
+    monkeypatch.setattr(Journal, "_write", dying)
+    run = lambda: training_run(spark, str(tmp_path / "logs"), registry, state, "1", space, indexed.append)
+    with pytest.raises(RuntimeError):
+        run()
+    assert get_state(spark, state, "last_train_ts") is None
+    result = run()
+    assert registry.versions().count() == 1 and registry.stage_events().count() == 1 and indexed == [result["since"]]
+    assert spark.read.parquet(f"{registry.root}/registry").count() == 1
+    assert get_state(spark, state, "last_train_ts") == result["watermark"] == run()["watermark"]
