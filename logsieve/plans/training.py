@@ -277,7 +277,10 @@ def training_run(spark: SparkSession, logs: str, registry: ModelRegistry, state:
 
     journal.step("promote", promote)
     if index_changes is not None:
-        journal.step("index", lambda again: index_changes(since))
+        def index(again: bool) -> None:
+            index_changes(since)
+
+        journal.step("index", index)
     ended = journal.step("ended", lambda again: datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S"))
 
     def advance(again: bool) -> str:

@@ -211,7 +211,7 @@ def test_half_split_when_a_node_is_too_small(spark):
     assert counts == {"node1": 55, "node2": 55}
 
 
-@pytest.mark.parametrize("step, kind", [("features", "commit"), ("register", "commit"), ("promote", "commit"), ("watermark", "intent")])
+@pytest.mark.parametrize("step, kind", [("register", "commit"), ("watermark", "intent")])
 def test_a_killed_training_run_goes_on(spark, tmp_path, event, monkeypatch, step, kind):
     from logsieve.plans.journal import Journal
 
