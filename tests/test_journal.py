@@ -66,3 +66,22 @@ def test_increments_equal_one_fit_and_versions_stay(spark, tmp_path):
         vocabulary.vectoriser(9)
     weight = math.log((len(texts) + 1) / (3 + 1))
     assert any(abs(w - weight) < 1e-12 for w in [math.log((total.n + 1) / (f + 1)) for f in total.frequencies])
+
+
+def test_change_index_with_a_vocabulary(spark, tmp_path, event):
+    import json
+
+    from logsieve.plans.changes import build_change_index
+    from logsieve.schema import CHUNKS
+    from logsieve.sources.bucketed import BucketedTable
+
+    (tmp_path / "logs").mkdir()
+    names = ["CreateUser", "RunInstances", "PutBucketPolicy"]
+    records = [event(eventID=f"e{i}", eventName=names[i % 3], readOnly=False, managementEvent=True) for i in range(9)]
+    (tmp_path / "logs" / "a.json").write_text(json.dumps({"Records": records}))
+    index = BucketedTable(spark, str(tmp_path / "index"), CHUNKS, "event_id", 4)
+    vocabulary = Vocabulary(spark, str(tmp_path / "words"))
+    for _ in range(2):
+        build_change_index(spark, str(tmp_path / "logs"), "1970-01-01T00:00:00Z", index, vocabulary=vocabulary)
+    assert vocabulary.latest() == 1 and vocabulary.versions().first().n == 9
+    assert index.read().count() == 9 and all(len(r.embedding) == 256 for r in index.read().collect())
