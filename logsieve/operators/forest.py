@@ -1,8 +1,8 @@
 """Isolation forest whose model is a table of tree nodes.
 
 Fitting: Spark draws the per-tree samples by row-key hash and shuffles only sampled rows, then each tree is built in
-its own task. A sample too large for one task is split level by level with distributed aggregations until every
-open node fits. Scoring: whole trees are packed and broadcast in chunks of a checked size, rows pass through vectorised
+its own task. For large samples a row is kept once, with its weight and its node in every tree; nodes too large for one
+task are split level by level with distributed aggregations until every open node fits. Scoring: whole trees are packed and broadcast in chunks of a checked size, rows pass through vectorised
 Arrow UDFs and their path sums are added up; a tree beyond the bound is walked by joins with the node table.
 
 Model, tree and node seed every random draw and rows are chosen by key hash, so partitioning never changes a result.
@@ -17,6 +17,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,6 +27,7 @@ from logsieve.operators.labels import check_feature_schema
 from logsieve.operators.quantiles import contamination_threshold, order_statistics
 from logsieve.schema import FEATURES
 from logsieve.session import materialise, store
+from logsieve.sources.tables import spread
 
 AUTO_SAMPLES = 256
 SUBTREE_ROWS = 50_000
@@ -33,10 +36,16 @@ MAX_BROADCAST_NODES = 4_000_000    # of a chunk of trees: 20 bytes each
 MAX_BROADCAST_SPLITS = 500_000
 LEVELS_PER_CHECKPOINT = 4
 SCORE_ROWS = 1024                  # rows scored at a time: the arrays of all trees stay in the cache
+LARGE_TREE = 4096                  # nodes of a tree on average, above which trees are walked one after the other
+BLOCK_VALUES = 1024                # of a record of several rows with their weights and places
+COMBINE_ROWS = 65_536              # rows among which a task looks for equal ones
+SUBTREE_MB = 32                    # of rows of nodes that a task finishes
 ONE_MODEL = "all"
 
 NODES = ("model string, tree_id int, node_id bigint, depth int, is_leaf boolean, feature int, threshold double, "
          "left bigint, right bigint, n_samples bigint")
+_NODE_TYPES = pa.schema([("model", pa.string()), ("tree_id", pa.int32()), ("node_id", pa.int64()), ("depth", pa.int32()), ("is_leaf", pa.bool_()),
+                         ("feature", pa.int32()), ("threshold", pa.float64()), ("left", pa.int64()), ("right", pa.int64()), ("n_samples", pa.int64())])
 _HASH_RANGE = 2**53
 
 
@@ -94,17 +103,22 @@ def _choose_splits(low: np.ndarray, high: np.ndarray, seed: int, model, tree, no
 
 
 def build_subtree(x: np.ndarray, seed: int, model: str, tree: int, limit: int, root: int = 1,
-                  depth: int = 0) -> pd.DataFrame:
-    """Node rows of the tree below `root` for the rows of one (bounded) sample, a whole level at a time."""
+                  depth: int = 0, weights: np.ndarray | None = None) -> pd.DataFrame:
+    """Node rows of the tree below `root` for the rows of one (bounded) sample, a whole level at a time.
+
+    A row with weight w stands for w equal rows.
+    """
     levels = []
+    weights = np.ones(len(x), dtype=np.int64) if weights is None else weights.astype(np.int64)
     nodes, rows, starts = np.array([root], dtype=np.int64), np.arange(len(x)), np.array([0])
     while len(nodes):
         part = x[rows]
         counts = np.diff(starts, append=len(rows))
+        n = np.add.reduceat(weights[rows], starts)
         low, high = np.minimum.reduceat(part, starts, axis=0), np.maximum.reduceat(part, starts, axis=0)
         feature, threshold = _choose_splits(low, high, seed, _model_number(model), tree, nodes)
-        splits = (feature >= 0) & (counts > 1) & (depth < limit)
-        levels.append((nodes, np.full(len(nodes), depth), splits, feature, threshold, counts))
+        splits = (feature >= 0) & (n > 1) & (depth < limit)
+        levels.append((nodes, np.full(len(nodes), depth), splits, feature, threshold, n))
         # Rows of split nodes, grouped by child; the least and the greatest value make both children non-empty.
         place = np.repeat(np.arange(len(nodes)), counts)
         inside = splits[place]
@@ -195,8 +209,8 @@ def tree_samples(rows: DataFrame, sizes: dict[str, int], samples: dict[str, int]
     return out.repartition(min(trees * len(sizes), 2 * spark.sparkContext.defaultParallelism), "model", "tree_id")
 
 
-def _tree_rows(rows: DataFrame, sizes: dict, samples: dict, trees: int, seed: int) -> DataFrame:
-    """Exactly `samples` rows per tree, each row once per tree that takes it, for samples too large for a task.
+def _tree_cuts(rows: DataFrame, sizes: dict, samples: dict, trees: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their hashes for every tree, and (_m, _i, cut, cut_own, row, copies): where the sample of a tree ends.
 
     As in `tree_samples` the least hashes of a tree are its sample. Copies of a key share that hash, and are told apart
     by a second one, of the whole row. Where keys are unique the cut of a tree lies within a few standard deviations
@@ -212,10 +226,9 @@ def _tree_rows(rows: DataFrame, sizes: dict, samples: dict, trees: int, seed: in
         slack = (8 * math.sqrt(psi * (1 - psi / n)) + 10) / n
         around.append((m, int(max(0.0, psi / n - slack) * _HASH_RANGE), int(min(1.0, psi / n + slack) * _HASH_RANGE), psi, int(2 * slack * n) + SUBTREE_ROWS))
     near = spark.createDataFrame(around, "model string, lo bigint, hi bigint, psi bigint, most bigint")
-    hashes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree_id"), _hash(F.lit(seed), F.col("key"), t).alias("h")))
     placed = (
-        rows.join(F.broadcast(near), "model").withColumn("_t", F.explode(hashes))
-        .select(F.struct(*rows.columns).alias("row"), "model", "lo", "hi", F.col("_t.tree_id").alias("tree_id"), F.col("_t.h").alias("h"), own.alias("own")))
+        rows.join(F.broadcast(near), "model").withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))     # in generated code, as above
+        .select(F.struct(*rows.columns).alias("row"), "model", "lo", "hi", "tree_id", _hash(F.lit(seed), F.col("key"), F.col("tree_id")).alias("h"), own.alias("own")))
     counts = placed.groupBy(F.col("model").alias("_m"), F.col("tree_id").alias("_i")).agg(F.count_if(F.col("h") < F.col("lo")).alias("below"), F.count_if(F.col("h") < F.col("hi")).alias("upto"))
     counts = store(
         counts.join(F.broadcast(near), F.col("_m") == F.col("model"))
@@ -232,7 +245,13 @@ def _tree_rows(rows: DataFrame, sizes: dict, samples: dict, trees: int, seed: in
     elsewhere = counts.filter("not inside")
     if not elsewhere.isEmpty():
         cuts = cuts.unionByName(_cuts_elsewhere(placed.join(F.broadcast(elsewhere), same_tree)))
-    cuts = store(cuts)
+    return placed, store(cuts)
+
+
+def _tree_rows(rows: DataFrame, sizes: dict, samples: dict, trees: int, seed: int) -> DataFrame:
+    """The samples of `_tree_cuts` as rows: exactly `samples` per tree, each row once per tree that takes it."""
+    placed, cuts = _tree_cuts(rows, sizes, samples, trees, seed)
+    same_tree = (F.col("model") == F.col("_m")) & (F.col("tree_id") == F.col("_i"))
     before = (F.col("h") < F.col("cut")) | (F.col("h") == F.col("cut")) & (F.col("own") < F.col("cut_own"))
     columns = [*[F.col(f"row.`{c}`") for c in rows.columns], "tree_id"]
     at_cut = (
@@ -331,6 +350,277 @@ def build_by_levels(state: DataFrame, limits: dict[str, int], features: list[str
     return nodes
 
 
+# Fitting large samples -----------------------------------------------------------------------------------------
+#
+# A row is held once for all trees: its features `x`, its weight `w` in every tree (how many equal rows of the sample it
+# stands for) and its place `at`, the number of its node in a table of the nodes split so far (-1: in no open node). A
+# record holds some rows, one after the other.
+
+_BLOCKS = "x array<float>, w array<int>, at array<int>"
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The rows of `values` as lists that begin at the rows `starts`."""
+    ends = np.append(starts, len(values)) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.ascontiguousarray(values).ravel()))
+
+
+def _records(x: np.ndarray, w: np.ndarray, at: np.ndarray, each: int | None = None) -> pa.RecordBatch:
+    each = each or max(1, BLOCK_VALUES // (x.shape[1] + 2 * w.shape[1]))
+    starts = np.arange(0, len(x), each)
+    return pa.RecordBatch.from_arrays([_lists(v, starts) for v in (x, w, at)], ["x", "w", "at"])
+
+
+def _combine(number: np.ndarray, x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal rows of a model become one, with the sums of their weights."""
+    whole = np.column_stack([number.astype(np.float32), x])
+    _, first, group = np.unique(whole.view(f"V{4 * whole.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    if len(first) == len(x):
+        return number, x, w
+    order = np.argsort(group, kind="stable")
+    starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+    return number[first], x[first], np.add.reduceat(w[order], starts, axis=0, dtype=np.int32)
+
+
+def _in_chunks(parts: Iterator[tuple], most: int, always: bool) -> Iterator[pa.RecordBatch]:
+    """Records of the rows `(number of the model, x, w)`, where equal rows among `most` are one as long as that saves something."""
+    held, n, worth = [], 0, True
+    def release():
+        nonlocal worth
+        number, x, w = (np.concatenate(v) for v in zip(*held))
+        if worth or always:
+            before = len(x)
+            number, x, w = _combine(number, x, w)
+            worth = len(x) < 0.8 * before
+        trees = w.shape[1]
+        return _records(x, w, np.where(w > 0, (number * trees)[:, None] + np.arange(trees), -1).astype(np.int32))
+
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= most:
+            yield release()
+            held, n = [], 0
+    if n:
+        yield release()
+
+
+def _sample_blocks(rows: DataFrame, cuts: DataFrame, models: list[str], trees: range, seed: int, features: list[str]) -> DataFrame:
+    """Every row that a tree of `trees` takes, with its weights; equal rows are one as far as they meet."""
+    spark, width, count = rows.sparkSession, len(features), len(trees)
+    mine = cuts.filter(F.col("_i").between(trees.start, trees.stop - 1))
+    cut, cut_own = np.full((len(models), count), -1), np.full((len(models), count), -1)
+    for r in mine.select("_m", "_i", "cut", "cut_own").collect():      # a row per tree
+        cut[models.index(r._m), r._i - trees.start], cut_own[models.index(r._m), r._i - trees.start] = r.cut, r.cut_own
+    most = int(np.clip(2**24 // count, 1024, COMBINE_ROWS))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts():
+            for batch in batches:
+                number = pc.fill_null(pc.index_in(batch.column("model"), value_set=pa.array(models)), -1).to_numpy(zero_copy_only=False)
+                h, own = _matrix(batch.column("h"), count), batch.column("own").to_numpy()[:, None]
+                w = (h < cut[number]) | (h == cut[number]) & (own < cut_own[number])
+                some = w.any(axis=1) & (number >= 0)
+                yield number[some].astype(np.int64), _matrix(batch.column("x"), width)[some].astype(np.float32), w[some].astype(np.int32)
+
+        yield from _in_chunks((p for p in parts() if len(p[0])), most, False)
+
+    hashes = F.array(*[_hash(F.lit(seed), F.col("key"), F.lit(t)) for t in trees])
+    drawn = rows.select("model", F.array(*features).alias("x"), hashes.alias("h"), _own(rows).alias("own")).mapInArrow(weigh, _BLOCKS)
+    # The row at the cut of a tree, as often as the sample has room for it.
+    place = F.element_at(F.create_map(*[F.lit(v) for i, m in enumerate(models) for v in (m, i * count)]), F.col("_m"))
+    each = lambda value, other: F.transform(F.sequence(F.lit(trees.start), F.lit(trees.stop - 1)), lambda t: F.when(t == F.col("_i"), value(t)).otherwise(other).cast("int"))
+    at_cut = mine.select(F.array(*[F.col(f"row.`{f}`") for f in features]).alias("x"),
+                         each(lambda t: F.col("copies"), 0).alias("w"), each(lambda t: place + t - trees.start, -1).alias("at"))
+    blocks = store(drawn.unionByName(at_cut))
+    held = blocks.agg(F.sum(F.size("x"))).first()[0] // width
+    if held > 0.5 * rows.count():
+        return blocks
+
+    # Equal rows of several tasks; each of them has one for a value, so none of these groups is large.
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, w, at = _matrix(batch.column("x"), width), _matrix(batch.column("w"), count), _matrix(batch.column("at"), count)
+            for start in range(0, len(x), most):
+                yield _records(x[start:start + most], w[start:start + most], at[start:start + most], 1)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts():
+            for batch in batches:
+                x, w, at = _matrix(batch.column("x"), width), _matrix(batch.column("w"), count), _matrix(batch.column("at"), count)
+                yield at.max(axis=1).astype(np.int64) // count, x, w
+
+        yield from _in_chunks((p for p in parts() if len(p[0])), most, True)
+
+    tasks = max(2 * spark.sparkContext.defaultParallelism, held * (width + 2 * count) * 4 // (64 << 20))
+    return store(blocks.mapInArrow(alone, _BLOCKS).repartition(tasks, "x").mapInArrow(merge, _BLOCKS))
+
+
+class _Split:
+    """The nodes above and among the open ones, of all models and trees, by their number."""
+
+    def __init__(self, models: np.ndarray, trees: np.ndarray):
+        n = len(trees)
+        self.model, self.tree, self.node, self.depth = models, trees, np.ones(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        self.feature, self.threshold, self.left = np.zeros(n, dtype=np.int32), np.full(n, np.inf), np.arange(n, dtype=np.int32)
+        self.waits, self.ends = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+
+    def split(self, at: np.ndarray, feature: np.ndarray, threshold: np.ndarray) -> None:
+        """Nodes `at` get two children each, with the next free numbers. A node without children leads to itself."""
+        first, n = len(self.tree), 2 * len(at)
+        self.feature[at], self.threshold[at], self.left[at] = feature, threshold, first + 2 * np.arange(len(at))
+        blank = {"feature": 0, "threshold": np.inf, "waits": False, "ends": False}
+        more = {"model": np.repeat(self.model[at], 2), "tree": np.repeat(self.tree[at], 2), "depth": np.repeat(self.depth[at] + 1, 2),
+                "node": np.repeat(2 * self.node[at], 2) + np.tile([0, 1], len(at)), "left": np.arange(first, first + n)}
+        for name, values in ({k: np.full(n, v) for k, v in blank.items()} | more).items():
+            mine = getattr(self, name)
+            setattr(self, name, np.concatenate([mine, values.astype(mine.dtype)]))
+
+
+def _walked(batch: pa.RecordBatch, width: int, count: int, known: dict, steps: int):
+    """Chunks of `(x, w, at, where, node)`: the entries of `at` that hold a node and the node `steps` levels below."""
+    xs, ws, ats = _matrix(batch.column("x"), width), _matrix(batch.column("w"), count), _matrix(batch.column("at"), count)
+    most = max(1, 2**19 // count)
+    for start in range(0, len(xs), most):
+        x, w, at = xs[start:start + most], ws[start:start + most], ats[start:start + most]
+        values, where = np.ascontiguousarray(x).ravel(), np.flatnonzero(at.ravel() >= 0)
+        node, row = at.ravel()[where], where // count * width
+        for _ in range(steps):
+            goes_right = values.take(row + known["feature"].take(node)) > known["threshold"].take(node)
+            node = known["left"].take(node) + goes_right
+        yield x, w, at, where, node
+
+
+def _build_large(rows: DataFrame, cuts: DataFrame, models: list[str], limits: dict[str, int], trees: range, seed: int,
+                 features: list[str], subtree_rows: int, samples: dict[str, int]) -> DataFrame:
+    """Node rows of `trees` for samples of any size.
+
+    Per level one pass finds the ranges of the open nodes, combined in the tasks first. The driver sees a row per open
+    node, each of more than `subtree_rows` rows, and its two children. The other nodes wait and are finished in tasks.
+    """
+    spark, width, count = rows.sparkSession, len(features), len(trees)
+    blocks = _sample_blocks(rows, cuts, models, trees, seed, features)
+    known = _Split(np.repeat(np.arange(len(models)), count), np.tile(np.asarray(trees), len(models)))
+    names, numbers = np.array(models, dtype=object), np.array([_model_number(m) for m in models], dtype=np.uint64)
+    limit, done, first, steps = np.array([limits[m] for m in models]), [], 0, 0
+    ranges = [f"{side}{j}" for side in ("lo", "hi") for j in range(width)]
+
+    def shared():
+        return spark.sparkContext.broadcast({k: getattr(known, k) for k in ("feature", "threshold", "left", "waits", "ends")})
+
+    def measure(first: int, last: int, steps: int, table):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(last - first, dtype=np.int64)
+            lo, hi = np.full((width, last - first), np.inf, dtype=np.float32), np.full((width, last - first), -np.inf, dtype=np.float32)
+            for batch in batches:
+                for x, w, _, where, node in _walked(batch, width, count, table.value, steps):
+                    mine = np.flatnonzero(node >= first)
+                    if not len(mine):
+                        continue
+                    node, where = node[mine] - first, where[mine]
+                    order = np.argsort(node.astype(np.uint16), kind="stable") if last - first < 2**16 else np.argsort(node)
+                    node, where = node[order], where[order]
+                    starts = np.flatnonzero(np.diff(node, prepend=-1))
+                    node = node[starts]
+                    n[node] += np.add.reduceat(w.ravel()[where].astype(np.int64), starts)
+                    row, columns = where // count, np.ascontiguousarray(x.T)
+                    for j in range(width):
+                        value = columns[j].take(row)
+                        lo[j, node] = np.minimum(lo[j, node], np.minimum.reduceat(value, starts))
+                        hi[j, node] = np.maximum(hi[j, node], np.maximum.reduceat(value, starts))
+            met = np.flatnonzero(n)
+            if len(met):
+                yield pa.RecordBatch.from_arrays([pa.array((met + first).astype(np.int32)), pa.array(n[met]), *[pa.array(v[met]) for v in (*lo, *hi)]], ["at", "n", *ranges])
+
+        return run
+
+    def advance(steps: int, table):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for x, w, at, where, node in _walked(batch, width, count, table.value, steps):
+                    moved = at.copy()
+                    moved.ravel()[where] = np.where(table.value["ends"].take(node), -1, node)
+                    some = (moved >= 0).any(axis=1)
+                    if some.any():
+                        yield _records(x[some], w[some], moved[some])
+
+        return run
+
+    if max(samples.values()) <= subtree_rows:
+        known.waits[:] = True
+    while not known.waits[first:].all():
+        last = len(known.tree)
+        stats = blocks.mapInArrow(measure(first, last, steps, shared()), "at int, n bigint, " + ", ".join(f"{c} float" for c in ranges))
+        # A missing value makes the greatest one NaN, in the tasks and here, and such a feature is not split.
+        stats = stats.groupBy("at").agg(F.sum("n").alias("n"), *[(F.min if c.startswith("lo") else F.max)(c).alias(c) for c in ranges]).toPandas()
+        at, n = stats["at"].to_numpy(), stats["n"].to_numpy()
+        low, high = (stats[[f"{side}{j}" for j in range(width)]].to_numpy(dtype=np.float32) for side in ("lo", "hi"))
+        model, tree, node, depth = known.model[at], known.tree[at], known.node[at], known.depth[at]
+        feature, threshold = _choose_splits(low, high, seed, numbers[model], tree, node)
+        splits = (feature >= 0) & (n > 1) & (depth < limit[model])
+        large = splits & (n > subtree_rows)
+        ready = ~splits | large
+        done.append(_node_frame(names[model], tree, node, depth, splits, feature, threshold, n)[ready])
+        known.ends[at], known.waits[at] = ~splits, splits & ~large
+        known.split(at[large], feature[large], threshold[large])
+        first = last
+        if not large.any():
+            break
+        steps += 1
+        if steps == LEVELS_PER_CHECKPOINT:
+            blocks, steps = store(blocks.mapInArrow(advance(steps, shared()), _BLOCKS)), 0
+
+    table = shared()
+
+    def waiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, w, _, where, node in _walked(batch, width, count, table.value, steps):
+                mine = np.flatnonzero(table.value["waits"].take(node))
+                if not len(mine):
+                    continue
+                mine = mine[np.argsort(node[mine])]
+                node, where = node[mine], where[mine]
+                starts = np.flatnonzero(np.diff(node, prepend=-1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node[starts].astype(np.int32)), _lists(x[where // count], starts), _lists(w.ravel()[where][:, None], starts)], ["at", "x", "w"])
+
+    waits = np.flatnonzero(known.waits)
+    nodes = spark.createDataFrame(pa.Table.from_pandas(pd.concat(done, ignore_index=True), _NODE_TYPES, preserve_index=False), NODES) if done else None
+    if len(waits):
+        which = {k: v[waits] for k, v in (("model", names[known.model]), ("tree", known.tree), ("node", known.node), ("depth", known.depth))}
+        which = spark.sparkContext.broadcast(which | {"at": waits})
+
+        def build(frame: pd.DataFrame) -> pd.DataFrame:
+            i = int(np.searchsorted(which.value["at"], frame["at"].iloc[0]))
+            model, tree, node, depth = (which.value[k][i] for k in ("model", "tree", "node", "depth"))
+            x, w = np.concatenate(list(frame["x"])).astype(np.float32).reshape(-1, width), np.concatenate(list(frame["w"]))
+            return build_subtree(x, seed, model, int(tree), limits[model], int(node), int(depth), w)
+
+        # A given number of partitions: adaptive execution would merge these small but CPU-heavy groups.
+        size = blocks.agg(F.sum(F.size(F.filter("at", lambda a: a >= 0)))).first()[0] * (width + 1) * 4
+        tasks = max(4 * spark.sparkContext.defaultParallelism, size // (SUBTREE_MB << 20))
+        built = blocks.mapInArrow(waiting, "at int, x array<float>, w array<int>").repartition(tasks, "at").groupBy("at").applyInPandas(build, NODES)
+        nodes = built if nodes is None else nodes.unionByName(built)
+    return nodes
+
+
+def _build_groups(rows: DataFrame, sizes: dict, samples: dict, limits: dict, trees: int, seed: int, features: list[str], subtree_rows: int) -> DataFrame:
+    """`_build_large` for as many trees at a time as have a bounded number of open nodes."""
+    rows = spread(rows, again=True)
+    cuts = _tree_cuts(rows, sizes, samples, trees, seed)[1]
+    open_nodes = max(1, sum(samples.values()) // max(subtree_rows, 1))
+    each = max(1, MAX_BROADCAST_SPLITS // open_nodes)
+    out = None
+    for start in range(0, trees, each):
+        part = store(_build_large(rows, cuts, sorted(sizes), limits, range(start, min(start + each, trees)), seed, features, subtree_rows, samples))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def model_sizes(rows: DataFrame) -> dict[str, int]:
     found = rows.groupBy("model").count().collect()      # a row per model
     if not found:
@@ -351,15 +641,16 @@ def fit_forest(df: DataFrame, key: str, n_estimators: int = 100, max_samples: st
     sizes = model_sizes(rows)
     samples = {m: samples_per_tree(n, max_samples) for m, n in sizes.items()}
     limits = {m: height_limit(psi) for m, psi in samples.items()}
-    draw = tree_samples if max(samples.values()) <= RANKED_ROWS else _tree_rows
-    if max(samples.values()) <= subtree_rows:
-        drawn = draw(rows, sizes, samples, n_estimators, seed)
+    if max(samples.values()) > RANKED_ROWS:
+        nodes = _build_groups(rows, sizes, samples, limits, n_estimators, seed, features, subtree_rows)
+    elif max(samples.values()) <= subtree_rows:
+        drawn = tree_samples(rows, sizes, samples, n_estimators, seed)
         state = drawn.withColumn("node_id", F.lit(1).cast("bigint")).withColumn("depth", F.lit(0))
-        nodes = _build_in_tasks(state, limits, features, seed)
+        nodes = materialise(_build_in_tasks(state, limits, features, seed))
     else:
-        nodes = build_by_levels(draw(rows, sizes, samples, n_estimators, seed), limits, features, seed,
-                                subtree_rows)
-    forest = Forest(materialise(nodes), samples, n_estimators, list(features), {}, by)
+        nodes = materialise(build_by_levels(tree_samples(rows, sizes, samples, n_estimators, seed), limits, features, seed,
+                                            subtree_rows))
+    forest = Forest(nodes, samples, n_estimators, list(features), {}, by)
     if contamination is not None:
         scored = score_samples(df, forest).select(*([by] if by else []), "score_sample").persist()
         forest.offsets = _offsets(scored, contamination, by)
@@ -388,10 +679,8 @@ def pack(nodes: pd.DataFrame) -> dict:
     # Level order within a tree puts the two children of a node next to each other.
     nodes = nodes.sort_values(["tree_id", "node_id"], ignore_index=True)
     leaf = nodes["is_leaf"].to_numpy(dtype=bool)
-    child = nodes.loc[~leaf, ["tree_id"]].assign(node_id=2 * nodes.loc[~leaf, "node_id"])
-    places = pd.MultiIndex.from_frame(nodes[["tree_id", "node_id"]])
     left = np.arange(len(nodes))
-    left[~leaf] = places.get_indexer(pd.MultiIndex.from_frame(child))
+    left[~leaf] = np.flatnonzero(nodes["node_id"].to_numpy() % 2 == 0)     # left children are in the order of their parents
     return {
         "roots": np.flatnonzero(nodes["node_id"].to_numpy() == 1),
         "feature": np.where(leaf, 0, nodes["feature"].fillna(0).to_numpy(dtype=np.int64)).astype(np.int16),
@@ -402,6 +691,26 @@ def pack(nodes: pd.DataFrame) -> dict:
     }
 
 
+def _sums_by_tree(model: dict, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Per row the path lengths of the first trees, added up in their order, for each number in `counts`.
+
+    A tree at a time: the nodes of one large tree stay in the cache, those of all would not.
+    """
+    values = np.ascontiguousarray(x, dtype=float).ravel()
+    start = np.arange(len(x)) * x.shape[1]
+    out, total = np.zeros((len(x), len(counts))), np.zeros(len(x))
+    ends = np.append(model["roots"][1:], len(model["left"]))
+    for t, (root, end) in enumerate(zip(model["roots"], ends)):
+        feature, threshold, left = (model[k][root:end] for k in ("feature", "threshold", "left"))
+        at = np.full(len(x), root, dtype=np.int32)
+        for _ in range(model["depth"]):
+            at -= root
+            at = left.take(at) + (values.take(feature.take(at) + start) > threshold.take(at))
+        total += model["path"].take(at)
+        out[:, counts == t + 1] = total[:, None]
+    return out
+
+
 def _paths(model: dict, x: np.ndarray) -> np.ndarray:
     """Path length of every row in every tree."""
     values = np.ascontiguousarray(x, dtype=float).ravel()
@@ -434,13 +743,16 @@ def _path_sums(forest: Forest, trees: tuple[int, int], prefixes: list[int]) -> C
 
     The packed trees are broadcast once per executor and only the feature columns cross to Python.
     """
-    nodes = forest.nodes.filter((F.col("tree_id") >= trees[0]) & (F.col("tree_id") < trees[1])).toPandas()
+    nodes = forest.nodes.filter((F.col("tree_id") >= trees[0]) & (F.col("tree_id") < trees[1])).toArrow().to_pandas()
     packed = {m: pack(part) for m, part in nodes.groupby("model")}
     shared = forest.nodes.sparkSession.sparkContext.broadcast(packed)
     counts = np.clip(np.asarray(prefixes) - trees[0], 0, trees[1] - trees[0])
     has_model = forest.by is not None
 
     def sums(x: np.ndarray, model: dict) -> np.ndarray:
+        if len(model["left"]) > LARGE_TREE * len(model["roots"]):
+            alike = np.unique(np.ascontiguousarray(x).view(f"V{4 * x.shape[1]}").ravel(), return_index=True, return_inverse=True)
+            return _sums_by_tree(model, x[alike[1]], counts)[alike[2]]
         out = np.zeros((len(x), len(counts)))
         for start in range(0, len(x), SCORE_ROWS):
             paths = _paths(model, x[start:start + SCORE_ROWS]).cumsum(axis=1)
