@@ -2,8 +2,9 @@
 
 A histogram over the current bracket of a group finds the bin that holds a wanted rank; the bracket shrinks to that bin
 until the rank is at one of its ends or all its values are equal. Each pass is one aggregation with map-side combine
-and a window over at most BINS rows a bracket. Brackets, bins and results are tables: the driver sees one bit a pass,
-and neither the number of groups nor of rows that share a value is bounded.
+and a window over at most BINS rows a bracket. Brackets, bins and results are tables: the driver sees a number a pass,
+and neither the number of groups nor of rows that share a value is bounded. Quantiles of groups of at most SORTED_ROWS
+rows come from one shuffle by group and a sort of each; the histogram is for the larger ones.
 """
 
 from __future__ import annotations
@@ -15,6 +16,13 @@ from pyspark.sql import functions as F
 from logsieve.session import store
 
 BINS = 2048
+SORTED_ROWS = 50_000            # of a group that one task sorts
+MAX_BROADCAST_GROUPS = 500_000
+
+
+def broadcast_few(df: DataFrame, n: int) -> DataFrame:
+    """The n rows marked for a broadcast if they are few: a join with a few groups needs no shuffle of the other side."""
+    return F.broadcast(df) if n <= MAX_BROADCAST_GROUPS else df
 
 
 def group_column(value: str, by: str | None) -> Column:
@@ -47,9 +55,9 @@ def order_statistics(df: DataFrame, value: str, wanted: DataFrame, by: str | Non
         .select("g", "lo", "hi", F.lit(0).cast("bigint").alias("below"), "ks", F.lit(None).cast("bigint").alias("k"),
                 F.lit(None).cast("double").alias("value")))
     steps = [step]
-    while not step.filter("ks is not null").isEmpty():
-        brackets = step.filter("ks is not null").select(F.col("g").alias("_g"), "lo", "hi", "below", "ks")
-        inside = rows.join(brackets.select("_g", "lo", "hi"), _same_group("_g") & F.col("v").between(F.col("lo"), F.col("hi")))
+    while n_open := step.filter("ks is not null").count():
+        brackets = broadcast_few(step.filter("ks is not null").select(F.col("g").alias("_g"), "lo", "hi", "below", "ks"), n_open)
+        inside = rows.join(broadcast_few(brackets.select("_g", "lo", "hi"), n_open), _same_group("_g") & F.col("v").between(F.col("lo"), F.col("hi")))
         width = F.col("hi") / BINS - F.col("lo") / BINS
         place = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(BINS - 1))).otherwise(F.lit(0))
         bins = (
@@ -85,8 +93,41 @@ def exact_quantiles(df: DataFrame, value: str, qs: list[float], by: str | None =
     """
     if method not in ("linear", "index"):
         raise ValueError(f"unknown method {method}")
+    if not by:
+        return _by_histogram(df, value, qs, None, method).select("quantile", "value")
+    sizes = group_sizes(df, value, by)
+    large = store(sizes.filter(F.col("n") > SORTED_ROWS).select(F.col("g").alias("_b")))
+    n_large = large.count()
+    rows = _rows(df, value, by)
+    if not n_large:
+        return _by_sort(rows, qs, method).select(F.col("g").alias(by), "quantile", "value")
+    large = broadcast_few(large, n_large)
+    found = _by_sort(rows.join(large, _same_group("_b"), "left_anti"), qs, method)
+    rest = _by_histogram(rows.join(large, _same_group("_b"), "left_semi"), "v", qs, "g", method)
+    return found.unionByName(rest).select(F.col("g").alias(by), "quantile", "value")
+
+
+def _place(n: Column, q: Column, method: str) -> Column:
+    """Where the quantile lies among n ordered values, counted from 0."""
+    return q * (n - 1) if method == "linear" else F.least(F.floor(n * q), n - 1)
+
+
+def _by_sort(rows: DataFrame, qs: list[float], method: str) -> DataFrame:
+    """(g, quantile, value) of groups that a task can sort, from (g, v)."""
+    group = W.partitionBy("g")
+    n, q = F.col("n"), F.col("quantile")
+    ordered = rows.withColumn("i", F.row_number().over(group.orderBy("v")) - 1).withColumn("next", F.lead("v").over(group.orderBy("v"))).withColumn("n", F.count("*").over(group))
+    # Only rows at a wanted place are taken apart.
+    here = lambda c: F.floor(_place(n, c, method)) == F.col("i")
+    met = ordered.withColumn("quantile", F.explode(F.filter(F.array(*[F.lit(float(v)) for v in qs]), here)))
+    weight = _place(n, q, method) - F.col("i")
+    return met.select("g", "quantile", F.when(weight > 0, F.col("v") + (F.coalesce("next", "v") - F.col("v")) * weight).otherwise(F.col("v")).alias("value"))
+
+
+def _by_histogram(df: DataFrame, value: str, qs: list[float], by: str | None, method: str) -> DataFrame:
+    """(g, quantile, value) of groups of any size."""
     places = group_sizes(df, value, by).select(F.col("g").alias("_p"), "n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("quantile"))
-    at = F.col("quantile") * (F.col("n") - 1) if method == "linear" else F.least(F.floor(F.col("n") * F.col("quantile")), F.col("n") - 1)
+    at = _place(F.col("n"), F.col("quantile"), method)
     places = store(
         places.withColumn("at", at).withColumn("low", F.floor("at").cast("bigint"))
         .withColumn("high", F.least(F.ceil("at").cast("bigint"), F.col("n") - 1)).withColumn("weight", F.col("at") - F.col("low")))
@@ -98,7 +139,7 @@ def exact_quantiles(df: DataFrame, value: str, qs: list[float], by: str | None =
         places.join(low, _same_group("_l", "_p") & (F.col("low") == F.col("_lk")))
         .join(high, _same_group("_h", "_p") & (F.col("high") == F.col("_hk"))))
     mixed = F.when(F.col("weight") > 0, F.col("_lv") + (F.col("_hv") - F.col("_lv")) * F.col("weight")).otherwise(F.col("_lv"))
-    return both.select(*([F.col("_p").alias(by)] if by else []), "quantile", mixed.alias("value"))
+    return both.select(F.col("_p").alias("g"), "quantile", mixed.alias("value"))
 
 
 def contamination_threshold(scores: DataFrame, contamination: float, score: str = "score",
