@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logsieve.functions.scalars import unit_hash
 from logsieve.operators.labels import source_matches
-from logsieve.operators.quantiles import group_column, group_sizes, order_statistics
+from logsieve.operators.quantiles import broadcast_few, group_column, group_sizes, order_statistics
 from logsieve.session import store
 
 # Which node holds the events of which services, and the size below which a half split is used.
@@ -18,28 +18,36 @@ NODE_PATTERNS = {"node1": "iam", "node2": "s3|ec2|compute"}
 MIN_NODE_ROWS = 1000
 
 
-def _cut(hashed: DataFrame, wanted: DataFrame, by: str | None) -> DataFrame:
+def _hashes(hashed: DataFrame, by: str | None) -> DataFrame:
+    """(_of, _h, _h2): group and hashes of every row, stored: they are scanned in every pass and dear to compute."""
+    return store(hashed.select(group_column("_h", by).alias("_of"), "_h", "_h2"))
+
+
+def _cut(hashes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(_g, cut, cut2): per group the hash pair up to which exactly k + 1 rows lie, for `wanted` (g, k).
 
     Rows with the same key have the same first hash. Where a cut falls among such rows the second hash, of the whole
     row, decides; only copies of a whole row cannot be told apart.
     """
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    cuts = order_statistics(hashed, "_h", wanted, by).select(F.col("g").alias("_g"), "k", F.col("value").alias("cut"))
-    marked = hashed.select(group_column("_h", by).alias("_of"), "_h", "_h2").join(cuts, same("_of", "_g"))
+    cuts = order_statistics(hashes, "_h", wanted, "_of").select(F.col("g").alias("_g"), "k", F.col("value").alias("cut"))
+    cuts = broadcast_few(cuts, cuts.count())
     ties = store(
-        marked.groupBy("_g", "k", "cut").agg(F.count_if(F.col("_h") < F.col("cut")).alias("under"), F.count_if(F.col("_h") == F.col("cut")).alias("tied")))
+        hashes.join(cuts, same("_of", "_g")).groupBy("_g", "k", "cut").agg(F.count_if(F.col("_h") < F.col("cut")).alias("under"), F.count_if(F.col("_h") == F.col("cut")).alias("tied")))
     inside = ties.filter(F.col("under") + F.col("tied") > F.col("k") + 1)
-    if inside.isEmpty():
+    n_inside = inside.count()
+    if not n_inside:
         return ties.select("_g", "cut", F.lit(float("inf")).alias("cut2"))
-    tied = marked.join(inside.select(F.col("_g").alias("_t")), same("_g", "_t"), "left_semi").filter(F.col("_h") == F.col("cut"))
+    here = broadcast_few(inside.select(F.col("_g").alias("_t"), "cut"), n_inside)
+    tied = store(hashes.join(here, same("_of", "_t") & (F.col("_h") == F.col("cut"))).select("_of", "_h2"))
     second = order_statistics(tied, "_h2", inside.select(F.col("_g").alias("g"), (F.col("k") - F.col("under")).alias("k")), "_of")
     second = second.select(F.col("g").alias("_s"), F.col("value").alias("cut2"))
     return ties.join(second, same("_g", "_s"), "left").select("_g", "cut", F.coalesce("cut2", F.lit(float("inf"))).alias("cut2"))
 
 
 def _flag(hashed: DataFrame, cuts: DataFrame, by: str | None, column: str) -> DataFrame:
-    joined = hashed.withColumn("_of", group_column("_h", by)).join(cuts, F.col("_of").eqNullSafe(F.col("_g")), "left")
+    cuts = store(cuts)
+    joined = hashed.withColumn("_of", group_column("_h", by)).join(broadcast_few(cuts, cuts.count()), F.col("_of").eqNullSafe(F.col("_g")), "left")
     within = (F.col("_h") < F.col("cut")) | (F.col("_h") == F.col("cut")) & (F.col("_h2") <= F.col("cut2"))
     return joined.withColumn(column, F.coalesce(within, F.lit(False))).drop("_h", "_h2", "_of", "_g", "cut", "cut2")
 
@@ -57,7 +65,8 @@ def stratified_split(df: DataFrame, key: str, label: str = "label", test_size: f
     any other. Rows are told apart by their columns: copies of a whole row stay together.
     """
     hashed = df.withColumn("_h", unit_hash(F.lit(str(seed)), F.col(key).cast("string"))).withColumn("_h2", _second_hash(df))
-    sizes = store(group_sizes(hashed, "_h", label))
+    hashes = _hashes(hashed, label)
+    sizes = store(group_sizes(hashes, "_h", "_of"))
     total = sizes.agg(F.sum("n").alias("n")).first()["n"]
     if not total:
         raise ValueError("cannot split an empty table")
@@ -68,15 +77,16 @@ def stratified_split(df: DataFrame, key: str, label: str = "label", test_size: f
     rest = n_train - shares.agg(F.sum("k").alias("k")).first()["k"]
     order = W.orderBy((F.col("k") - F.col("exact")).asc(), F.col("g").cast("string"))
     topped = shares.withColumn("k", F.col("k") + (F.row_number().over(order) <= rest).cast("bigint"))
-    cuts = _cut(hashed, topped.filter("k > 0").select("g", (F.col("k") - 1).alias("k")), label)
+    cuts = _cut(hashes, topped.filter("k > 0").select("g", (F.col("k") - 1).alias("k")))
     return _flag(hashed, cuts, label, column)
 
 
 def half_split(df: DataFrame, key: str, column: str = "is_first") -> DataFrame:
     """True for exactly floor(n / 2) rows, those with the smallest key hashes; ties as in `stratified_split`."""
     hashed = df.withColumn("_h", unit_hash(F.col(key).cast("string"))).withColumn("_h2", _second_hash(df))
-    wanted = group_sizes(hashed, "_h").select("g", (F.floor(F.col("n") / 2) - 1).cast("bigint").alias("k")).filter("k >= 0")
-    return _flag(hashed, _cut(hashed, wanted, None), None, column)
+    hashes = _hashes(hashed, None)
+    wanted = group_sizes(hashes, "_h", "_of").select("g", (F.floor(F.col("n") / 2) - 1).cast("bigint").alias("k")).filter("k >= 0")
+    return _flag(hashed, _cut(hashes, wanted), None, column)
 
 
 def node_membership(source: Column, patterns: dict[str, str] = NODE_PATTERNS) -> Column:
