@@ -33,6 +33,7 @@ AUTO_SAMPLES = 256
 SUBTREE_ROWS = 50_000
 RANKED_ROWS = 1_000                # of a sample that is found by ranks; Spark limits those where rows are read
 MAX_BROADCAST_NODES = 4_000_000    # of a chunk of trees: 20 bytes each
+CHUNKS_AT_ONCE = 4
 MAX_BROADCAST_SPLITS = 500_000
 LEVELS_PER_CHECKPOINT = 4
 SCORE_ROWS = 1024                  # rows scored at a time: the arrays of all trees stay in the cache
@@ -794,10 +795,19 @@ def score_expression(forest: Forest, prefixes: list[int] | None = None) -> Colum
     if chunks is None:
         return None
     counts = prefixes or [forest.n_estimators]
-    sums = None
+    return _scores(forest, _added(forest, chunks, counts), prefixes)
+
+
+def _added(forest: Forest, chunks: list[tuple[int, int]], counts: list[int], sums: Column | None = None) -> Column:
+    """`sums` and the path sums of the trees of `chunks`, in their order."""
     for trees in chunks:
         part = _path_sums(forest, trees, counts)
         sums = part if sums is None else F.zip_with(sums, part, lambda a, b: a + b)
+    return sums
+
+
+def _scores(forest: Forest, sums: Column, prefixes: list[int] | None) -> Column:
+    counts = prefixes or [forest.n_estimators]
     scale = _scales(forest, F.col(forest.by).cast("string") if forest.by else F.lit(ONE_MODEL))
     numbers = F.array(*[F.lit(float(c)) for c in counts])
     scores = F.zip_with(sums, numbers, lambda s, n: F.when(F.isnan(s), F.lit(float("nan"))).otherwise(
@@ -809,8 +819,15 @@ def score_samples(df: DataFrame, forest: Forest, prefixes: list[int] | None = No
                   column: str = "score_sample") -> DataFrame:
     """Add the raw score, the lower the more unusual; an array of scores with `prefixes`.
 
-    A table whose model has a tree too large to broadcast gets a row number first and is scored by joins.
+    A table whose model has a tree too large to broadcast gets a row number first and is scored by joins. One whose
+    model has many chunks is scored in passes, so a worker holds CHUNKS_AT_ONCE of them.
     """
+    chunks = tree_chunks(forest)
+    if chunks is not None and len(chunks) > CHUNKS_AT_ONCE and not df.isStreaming:
+        counts, summed = prefixes or [forest.n_estimators], df
+        for i in range(0, len(chunks), CHUNKS_AT_ONCE):
+            summed = store(summed.withColumn("_sums", _added(forest, chunks[i:i + CHUNKS_AT_ONCE], counts, F.col("_sums") if i else None)))
+        return summed.withColumn(column, _scores(forest, F.col("_sums"), prefixes)).drop("_sums")
     scores = score_expression(forest, prefixes)
     if scores is not None:
         return df.withColumn(column, scores)

@@ -39,12 +39,14 @@ def test_trees_are_those_of_the_plain_samples(spark, values, subtree_rows):
     assert model.nodes.exceptAll(plain).count() == 0 and plain.exceptAll(model.nodes).count() == 0
 
 
-def test_large_trees_score_as_small_ones(spark, monkeypatch):
+@pytest.mark.parametrize("chunks", [2, 6])
+def test_large_trees_score_as_small_ones(spark, monkeypatch, chunks):
     table = _rows(spark, "many")
     model = fo.fit_forest(table, "key", 6, 0.7, None, 5, ["a", "b"])
     want = fo.score_samples(table, model, [1, 4, 6], "s").select("a", "b", "s")
     monkeypatch.setattr(fo, "LARGE_TREE", 0)
-    monkeypatch.setattr(fo, "MAX_BROADCAST_NODES", model.nodes.count() // 2)
+    monkeypatch.setattr(fo, "MAX_BROADCAST_NODES", {2: model.nodes.count() // 2, 6: model.nodes.groupBy("tree_id").count().agg(F.max("count")).first()[0]}[chunks])
+    assert len(fo.tree_chunks(model)) >= min(chunks, fo.CHUNKS_AT_ONCE + 1)
     got = fo.score_samples(table, model, [1, 4, 6], "s").select("a", "b", "s")
     close = lambda df: df.select("a", "b", F.transform("s", lambda v: F.round(v, 12)).alias("s"))
     assert close(got).exceptAll(close(want)).count() == 0 and got.count() == 8000
