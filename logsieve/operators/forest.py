@@ -36,6 +36,7 @@ MAX_BROADCAST_NODES = 4_000_000    # of a chunk of trees: 20 bytes each
 CHUNKS_AT_ONCE = 4
 MAX_BROADCAST_SPLITS = 500_000
 LEVELS_PER_CHECKPOINT = 4
+LEVELS_PER_STORE = 8               # of large samples: rows walk that many levels again sooner than they are rewritten
 SCORE_ROWS = 1024                  # rows scored at a time: the arrays of all trees stay in the cache
 LARGE_TREE = 4096                  # nodes of a tree on average, above which trees are walked one after the other
 BLOCK_VALUES = 1024                # of a record of several rows with their weights and places
@@ -572,7 +573,7 @@ def _build_large(rows: DataFrame, cuts: DataFrame, models: list[str], limits: di
         if not large.any():
             break
         steps += 1
-        if steps == LEVELS_PER_CHECKPOINT:
+        if steps == LEVELS_PER_STORE:
             blocks, steps = store(blocks.mapInArrow(advance(steps, shared()), _BLOCKS)), 0
 
     table = shared()
