@@ -2,8 +2,9 @@
 
 Fitting: Spark draws the per-tree samples by row-key hash and shuffles only sampled rows, then each tree is built in
 its own task. For large samples a row is kept once, with its weight and its node in every tree; nodes too large for one
-task are split level by level with distributed aggregations until every open node fits. Scoring: whole trees are packed and broadcast in chunks of a checked size, rows pass through vectorised
-Arrow UDFs and their path sums are added up; a tree beyond the bound is walked by joins with the node table.
+task are split level by level with distributed aggregations until every open node fits. Scoring: a forest of few nodes is
+broadcast and rows pass through a vectorised Arrow UDF; of others, tasks meet some of the packed trees with some of the
+different rows, and the model never reaches the driver; a tree beyond a bound is walked by joins with the node table.
 
 Model, tree and node seed every random draw and rows are chosen by key hash, so partitioning never changes a result.
 """
@@ -11,6 +12,7 @@ Model, tree and node seed every random draw and rows are chosen by key hash, so
 from __future__ import annotations
 
 import math
+import threading
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,6 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,13 +35,16 @@ from logsieve.sources.tables import spread
 AUTO_SAMPLES = 256
 SUBTREE_ROWS = 50_000
 RANKED_ROWS = 1_000                # of a sample that is found by ranks; Spark limits those where rows are read
-MAX_BROADCAST_NODES = 4_000_000    # of a chunk of trees: 20 bytes each
-CHUNKS_AT_ONCE = 4
+MAX_BROADCAST_NODES = 4_000_000    # of a tree, 22 bytes each, that a task holds
+CHUNK_NODES = 250_000              # of a chunk of trees, as far as one tree has no more
+CHUNKS_AT_ONCE = 1                 # that are broadcast: trees of more are scored in tasks
+DRIVER_NODES = 131_072             # of a forest that the driver packs: there a node takes some hundred bytes for a moment
 MAX_BROADCAST_SPLITS = 500_000
 LEVELS_PER_CHECKPOINT = 4
 LEVELS_PER_STORE = 8               # of large samples: rows walk that many levels again sooner than they are rewritten
 SCORE_ROWS = 1024                  # rows scored at a time: the arrays of all trees stay in the cache
 LARGE_TREE = 4096                  # nodes of a tree on average, above which trees are walked one after the other
+SCORE_VALUES = 1 << 23             # path lengths that a task makes for a chunk of trees
 BLOCK_VALUES = 1024                # of a record of several rows with their weights and places
 COMBINE_ROWS = 65_536              # rows among which a task looks for equal ones
 SUBTREE_MB = 32                    # of rows of nodes that a task finishes
@@ -48,7 +54,9 @@ NODES = ("model string, tree_id int, node_id bigint, depth int, is_leaf boolean,
          "left bigint, right bigint, n_samples bigint")
 _NODE_TYPES = pa.schema([("model", pa.string()), ("tree_id", pa.int32()), ("node_id", pa.int64()), ("depth", pa.int32()), ("is_leaf", pa.bool_()),
                          ("feature", pa.int32()), ("threshold", pa.float64()), ("left", pa.int64()), ("right", pa.int64()), ("n_samples", pa.int64())])
+_PACKED = {"feature": np.int16, "threshold": np.float64, "left": np.int32, "path": np.float64}
 _HASH_RANGE = 2**53
+_ON_DRIVER = threading.Lock()      # forests are scored side by side
 
 
 @dataclass
@@ -693,24 +701,71 @@ def pack(nodes: pd.DataFrame) -> dict:
     }
 
 
-def _sums_by_tree(model: dict, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Per row the path lengths of the first trees, added up in their order, for each number in `counts`.
+def _packed(forest: Forest, n: int) -> DataFrame:
+    """The `n` nodes of a forest as a row per tree with the arrays of `pack`, made in tasks."""
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        tree = pack(frame)
+        return pd.DataFrame({"model": frame["model"].iloc[:1], "tree_id": frame["tree_id"].iloc[:1], "depth": tree["depth"],
+                             **{k: [tree[k].tobytes()] for k in _PACKED}})
+
+    spark = forest.nodes.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, n // CHUNK_NODES)
+    nodes = forest.nodes.select("model", "tree_id", "node_id", "depth", "is_leaf", "feature", "threshold", "n_samples")
+    return store(nodes.repartition(tasks, "model", "tree_id").groupBy("model", "tree_id").applyInPandas(
+        run, "model string, tree_id int, depth int, " + ", ".join(f"{k} binary" for k in _PACKED)))
+
+
+def _is_large(model: dict) -> bool:
+    return len(model["left"]) > LARGE_TREE * len(model["roots"])
+
+
+def _joined(trees: list[dict]) -> dict:
+    """Trees, each by itself from `pack`, as `pack` has them together."""
+    if len(trees) == 1:
+        return trees[0]
+    roots = np.cumsum([0, *[len(t["left"]) for t in trees[:-1]]])
+    out = {k: np.concatenate([t[k] for t in trees]) for k in ("feature", "threshold", "path")}
+    out["left"] = np.concatenate([t["left"] + np.int32(root) for t, root in zip(trees, roots)])
+    return out | {"roots": roots, "depth": max(t["depth"] for t in trees)}
+
+
+def _unpacked(rows: pa.Table) -> dict[str, dict]:
+    """The trees of `_packed` by model."""
+    trees: dict[str, list[dict]] = {}
+    for row in sorted(rows.to_pylist(), key=lambda r: r["tree_id"]):
+        arrays = {k: np.frombuffer(row[k], dtype=kind) for k, kind in _PACKED.items()}
+        trees.setdefault(row["model"], []).append(arrays | {"roots": np.zeros(1, dtype=np.int64), "depth": row["depth"]})
+    return {m: _joined(trees.pop(m)) for m in list(trees)}
+
+
+def _share(forest: Forest, sizes: list[int]) -> list[tuple[int, Broadcast]]:
+    """Per chunk its first tree and its packed trees, by model, once per executor. The driver holds one chunk at a time."""
+    packed = _packed(forest, sum(sizes)) if sum(sizes) > DRIVER_NODES else None
+    out = []
+    for first, end in _chunks(sizes):
+        mine = F.col("tree_id").between(first, end - 1)
+        with _ON_DRIVER:
+            if packed is None:
+                models = {m: pack(part) for m, part in forest.nodes.filter(mine).toArrow().to_pandas().groupby("model")}
+            else:
+                models = _unpacked(packed.filter(mine).toArrow())
+            out.append((first, forest.nodes.sparkSession.sparkContext.broadcast(models)))
+            del models
+    return out
 
-    A tree at a time: the nodes of one large tree stay in the cache, those of all would not.
-    """
+
+def _paths_by_tree(model: dict, x: np.ndarray) -> Iterator[np.ndarray]:
+    """Path length of every row in one tree after the other: the nodes of one large tree stay in the cache, those of all would not."""
     values = np.ascontiguousarray(x, dtype=float).ravel()
     start = np.arange(len(x)) * x.shape[1]
-    out, total = np.zeros((len(x), len(counts))), np.zeros(len(x))
     ends = np.append(model["roots"][1:], len(model["left"]))
-    for t, (root, end) in enumerate(zip(model["roots"], ends)):
+    for root, end in zip(model["roots"], ends):
         feature, threshold, left = (model[k][root:end] for k in ("feature", "threshold", "left"))
         at = np.full(len(x), root, dtype=np.int32)
         for _ in range(model["depth"]):
             at -= root
             at = left.take(at) + (values.take(feature.take(at) + start) > threshold.take(at))
-        total += model["path"].take(at)
-        out[:, counts == t + 1] = total[:, None]
-    return out
+        yield model["path"].take(at)
 
 
 def _paths(model: dict, x: np.ndarray) -> np.ndarray:
@@ -725,56 +780,74 @@ def _paths(model: dict, x: np.ndarray) -> np.ndarray:
     return model["path"].take(at)
 
 
-def tree_chunks(forest: Forest) -> list[tuple[int, int]] | None:
-    """Ranges of tree numbers whose nodes, of all models, may be broadcast together; None if one tree alone is too large."""
+def _tree_sizes(forest: Forest) -> list[int]:
+    """Nodes per tree, of all models."""
     counts = {r["tree_id"]: r["n"] for r in forest.nodes.groupBy("tree_id").agg(F.count("*").alias("n")).collect()}    # a row per tree
+    return [counts.get(t, 0) for t in range(forest.n_estimators)]
+
+
+def _chunks(sizes: list[int], most: int | None = None) -> list[tuple[int, int]] | None:
+    """Ranges of neighbouring trees of at most `most` nodes, or of one tree; None if one tree alone is too large."""
     chunks, first, held = [], 0, 0
-    for t in range(forest.n_estimators):
-        n = counts.get(t, 0)
-        if n > MAX_BROADCAST_NODES:
-            return None
-        if held + n > MAX_BROADCAST_NODES:
+    if max(sizes, default=0) > MAX_BROADCAST_NODES:
+        return None
+    for t, n in enumerate(sizes):
+        if held and held + n > (most or min(CHUNK_NODES, MAX_BROADCAST_NODES)):
             chunks.append((first, t))
             first, held = t, 0
         held += n
-    return [*chunks, (first, forest.n_estimators)]
+    return [*chunks, (first, len(sizes))]
 
 
-def _path_sums(forest: Forest, trees: tuple[int, int], prefixes: list[int]) -> Column:
-    """Per prefix the sum of a row's path lengths over those of the trees `trees` that it covers, as an array column.
+def tree_chunks(forest: Forest) -> list[tuple[int, int]] | None:
+    """Ranges of tree numbers whose nodes, of all models, may be broadcast together; None if one tree alone is too large."""
+    return _chunks(_tree_sizes(forest))
 
-    The packed trees are broadcast once per executor and only the feature columns cross to Python.
+
+def _path_sums(forest: Forest, shared: list[tuple[int, Broadcast]], prefixes: list[int]) -> Column:
+    """Per prefix the sum of a row's path lengths over its trees, as an array column.
+
+    Lengths are added in the order of the trees, so chunks don't change a sum. Only the feature columns cross to Python.
     """
-    nodes = forest.nodes.filter((F.col("tree_id") >= trees[0]) & (F.col("tree_id") < trees[1])).toArrow().to_pandas()
-    packed = {m: pack(part) for m, part in nodes.groupby("model")}
-    shared = forest.nodes.sparkSession.sparkContext.broadcast(packed)
-    counts = np.clip(np.asarray(prefixes) - trees[0], 0, trees[1] - trees[0])
-    has_model = forest.by is not None
-
-    def sums(x: np.ndarray, model: dict) -> np.ndarray:
-        if len(model["left"]) > LARGE_TREE * len(model["roots"]):
-            alike = np.unique(np.ascontiguousarray(x).view(f"V{4 * x.shape[1]}").ravel(), return_index=True, return_inverse=True)
-            return _sums_by_tree(model, x[alike[1]], counts)[alike[2]]
-        out = np.zeros((len(x), len(counts)))
-        for start in range(0, len(x), SCORE_ROWS):
-            paths = _paths(model, x[start:start + SCORE_ROWS]).cumsum(axis=1)
-            out[start:start + SCORE_ROWS] = np.where(counts > 0, paths[:, np.maximum(counts, 1) - 1], 0.0)
+    has_model, asked = forest.by is not None, np.minimum(prefixes, forest.n_estimators)
+
+    def walk(x: np.ndarray, models: list[tuple[int, dict]]) -> np.ndarray:
+        total, out = np.zeros(len(x)), np.zeros((len(x), len(asked)))
+        for first, model in models:
+            if _is_large(model):
+                for t, path in enumerate(_paths_by_tree(model, x), first + 1):
+                    total += path
+                    out[:, asked == t] = total[:, None]
+                continue
+            counts = asked - first
+            here = (counts > 0) & (counts <= len(model["roots"]))
+            for start in range(0, len(x), SCORE_ROWS):
+                rows = slice(start, start + SCORE_ROWS)
+                sums = np.column_stack([total[rows], _paths(model, x[rows])]).cumsum(axis=1)
+                out[rows, here] = sums[:, counts[here]]
+                total[rows] = sums[:, -1]
         return out
 
+    def sums(x: np.ndarray, models: list[tuple[int, dict]]) -> np.ndarray:
+        if not any(_is_large(model) for _, model in models):
+            return walk(x, models)
+        _, each, alike = np.unique(np.ascontiguousarray(x).view(f"V{4 * x.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        return walk(x[each], models)[alike]
+
     def run(batches):
-        models = shared.value
+        chunks = [(first, chunk.value) for first, chunk in shared]
         for columns in batches:
             columns = columns if isinstance(columns, tuple) else (columns,)     # one column comes bare
             names = columns[0] if has_model else None
             x = np.column_stack([c.to_numpy(dtype=np.float32) for c in columns[1 if has_model else 0:]])
             if names is None:
-                result = sums(x, models[ONE_MODEL])
+                result = sums(x, [(first, models[ONE_MODEL]) for first, models in chunks])
             else:
-                result = np.full((len(x), len(counts)), np.nan)
+                result = np.full((len(x), len(asked)), np.nan)
                 for name in names.unique():
                     rows = (names == name).to_numpy()
-                    if name in models:
-                        result[rows] = sums(x[rows], models[name])
+                    if name in chunks[0][1]:
+                        result[rows] = sums(x[rows], [(first, models[name]) for first, models in chunks])
             yield pd.Series(list(result))
 
     @F.pandas_udf("array<double>")
@@ -792,24 +865,69 @@ def _scales(forest: Forest, model: Column) -> Column:
 
 def score_expression(forest: Forest, prefixes: list[int] | None = None) -> Column | None:
     """Score of a row, or with `prefixes` one score per number of leading trees; None if a tree cannot be broadcast."""
-    chunks = tree_chunks(forest)
-    if chunks is None:
+    return _expression(forest, _tree_sizes(forest), prefixes)
+
+
+def _expression(forest: Forest, sizes: list[int], prefixes: list[int] | None) -> Column | None:
+    if _chunks(sizes) is None:
         return None
-    counts = prefixes or [forest.n_estimators]
-    return _scores(forest, _added(forest, chunks, counts), prefixes)
+    return _scores(forest, F.lit(ONE_MODEL) if forest.by is None else F.col(forest.by).cast("string"), _path_sums(forest, _share(forest, sizes), prefixes or [forest.n_estimators]), prefixes)
 
 
-def _added(forest: Forest, chunks: list[tuple[int, int]], counts: list[int], sums: Column | None = None) -> Column:
-    """`sums` and the path sums of the trees of `chunks`, in their order."""
-    for trees in chunks:
-        part = _path_sums(forest, trees, counts)
-        sums = part if sums is None else F.zip_with(sums, part, lambda a, b: a + b)
-    return sums
+def _score_in_tasks(df: DataFrame, forest: Forest, sizes: list[int], prefixes: list[int] | None, column: str) -> DataFrame:
+    """`score_samples` for a forest of many nodes: a task meets a chunk of trees with a block of the different rows.
+
+    Neither trees nor rows pass the driver. A row gets its path lengths tree by tree, so they are added in that order.
+    """
+    spark, width = df.sparkSession, len(forest.features)
+    of = F.col(forest.by).cast("string") if forest.by else F.lit(ONE_MODEL)
+    x = F.array(*[F.coalesce(F.col(f).cast("float"), F.lit(float("nan")).cast("float")) for f in forest.features])
+    rows = store(df.withColumn("_model", of).withColumn("_x", x))
+    each = store(rows.select("_model", "_x").distinct().withColumn("_id", F.monotonically_increasing_id()))
+
+    groups = 4 * spark.sparkContext.defaultParallelism
+    chunks = _chunks(sizes, min(CHUNK_NODES, MAX_BROADCAST_NODES, max(sum(sizes) // groups, max(sizes))))
+    blocks = math.ceil(each.count() * max(end - first for first, end in chunks) / SCORE_VALUES) or 1
+    number = F.get(F.array(*[F.lit(i) for i, (first, end) in enumerate(chunks) for _ in range(first, end)]), F.col("tree_id"))
+    trees = _packed(forest, sum(sizes)).withColumn("_chunk", number).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = each.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(len(chunks) - 1)))).withColumn("_block", (F.col("_id") % blocks).cast("int"))
+
+    def meet(key: tuple, rows: pa.Table, trees: pa.Table) -> pa.Table:
+        first, end = chunks[key[0].as_py()]
+        x, names = _matrix(rows.column("_x").combine_chunks(), width), rows.column("_model")
+        paths = np.full((len(x), end - first), np.nan)
+        for name, model in _unpacked(trees).items():
+            mine = np.flatnonzero(pc.fill_null(pc.equal(names, name), False).to_numpy())
+            if _is_large(model):
+                for t, path in enumerate(_paths_by_tree(model, x[mine])):
+                    paths[mine, t] = path
+                continue
+            for start in range(0, len(mine), SCORE_ROWS):
+                some = mine[start:start + SCORE_ROWS]
+                paths[some] = _paths(model, x[some])
+        lists = _lists(paths, np.arange(len(x)))
+        return pa.table({"_id": rows.column("_id"), "_first": pa.array(np.full(len(x), first, dtype=np.int32)), "_paths": lists})
+
+    # A given number of partitions: adaptive execution would merge these small but CPU-heavy groups.
+    tasks, place = max(groups, len(chunks) * blocks), ["_chunk", "_block"]
+    met = asked.repartition(tasks, *place).groupBy(*place).cogroup(trees.repartition(tasks, *place).groupBy(*place)).applyInArrow(
+        meet, "_id bigint, _first int, _paths array<double>")
+    ends = np.minimum(prefixes or [forest.n_estimators], forest.n_estimators) - 1
+
+    @F.pandas_udf("array<double>")
+    def add(paths: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(paths).cumsum(axis=1)[:, ends]))
+
+    paths = met.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_first", "_paths"))).alias("_all")).select(
+        "_id", add(F.flatten("_all._paths")).alias("_sums"))
+    scored = store(each.join(paths, "_id").select(
+        F.col("_model").alias("_of"), F.col("_x").alias("_at"), _scores(forest, F.col("_model"), F.col("_sums"), prefixes).alias(column)))
+    return rows.join(scored, F.col("_model").eqNullSafe(F.col("_of")) & (F.col("_x") == F.col("_at")), "left").drop("_model", "_x", "_of", "_at")
 
 
-def _scores(forest: Forest, sums: Column, prefixes: list[int] | None) -> Column:
+def _scores(forest: Forest, model: Column, sums: Column, prefixes: list[int] | None) -> Column:
     counts = prefixes or [forest.n_estimators]
-    scale = _scales(forest, F.col(forest.by).cast("string") if forest.by else F.lit(ONE_MODEL))
+    scale = _scales(forest, model)
     numbers = F.array(*[F.lit(float(c)) for c in counts])
     scores = F.zip_with(sums, numbers, lambda s, n: F.when(F.isnan(s), F.lit(float("nan"))).otherwise(
         -F.pow(F.lit(2.0), -F.when(scale > 0, s / n / scale).otherwise(F.lit(1.0)))))
@@ -820,16 +938,14 @@ def score_samples(df: DataFrame, forest: Forest, prefixes: list[int] | None = No
                   column: str = "score_sample") -> DataFrame:
     """Add the raw score, the lower the more unusual; an array of scores with `prefixes`.
 
-    A table whose model has a tree too large to broadcast gets a row number first and is scored by joins. One whose
-    model has many chunks is scored in passes, so a worker holds CHUNKS_AT_ONCE of them.
+    A table whose model has a tree too large for a task gets a row number first and is scored by joins. One whose
+    model has more than CHUNKS_AT_ONCE chunks of trees is scored in tasks that hold a chunk.
     """
-    chunks = tree_chunks(forest)
+    sizes = _tree_sizes(forest)
+    chunks = _chunks(sizes)
     if chunks is not None and len(chunks) > CHUNKS_AT_ONCE and not df.isStreaming:
-        counts, summed = prefixes or [forest.n_estimators], df
-        for i in range(0, len(chunks), CHUNKS_AT_ONCE):
-            summed = store(summed.withColumn("_sums", _added(forest, chunks[i:i + CHUNKS_AT_ONCE], counts, F.col("_sums") if i else None)))
-        return summed.withColumn(column, _scores(forest, F.col("_sums"), prefixes)).drop("_sums")
-    scores = score_expression(forest, prefixes)
+        return _score_in_tasks(df, forest, sizes, prefixes, column)
+    scores = _expression(forest, sizes, prefixes)
     if scores is not None:
         return df.withColumn(column, scores)
     numbered = store(df.withColumn("_row", F.monotonically_increasing_id()))

@@ -50,3 +50,27 @@ def test_large_trees_score_as_small_ones(spark, monkeypatch, chunks):
     got = fo.score_samples(table, model, [1, 4, 6], "s").select("a", "b", "s")
     close = lambda df: df.select("a", "b", F.transform("s", lambda v: F.round(v, 12)).alias("s"))
     assert close(got).exceptAll(close(want)).count() == 0 and got.count() == 8000
+
+
+def test_nodes_of_a_large_forest_stay_in_tasks(spark, monkeypatch):
+    """The driver gets no nodes but those of a forest of one chunk, as arrays; scores are those of a forest packed at once."""
+    table = _rows(spark, "many").withColumn("b", F.when(F.col("b") > 0, F.col("b")))
+    model = fo.fit_forest(table, "key", 6, 0.7, None, 5, ["a", "b"], "m")
+    asked = table.select("m", "a", "b").unionByName(spark.sql("SELECT 'z' AS m, 1D AS a, 2D AS b UNION ALL SELECT NULL, 1D, 2D UNION ALL SELECT 'x', CAST('NaN' AS DOUBLE), -0D"))
+    trees = model.nodes.toPandas()
+    whole = {m: fo.pack(part) for m, part in trees.groupby("model")}
+    want = fo.score_samples(asked, model, [1, 4, 6], "s")
+
+    seen, plain = [], type(table).toArrow
+    monkeypatch.setattr(type(table), "toArrow", lambda df: (seen.append(plain(df)), seen[-1])[1])
+    for name, value in {"DRIVER_NODES": 0, "CHUNK_NODES": trees.groupby("tree_id").size().max(), "LARGE_TREE": 0, "SCORE_VALUES": 5000}.items():
+        monkeypatch.setattr(fo, name, value, raising=False)
+    got = fo.score_samples(asked, model, [1, 4, 6], "s")
+    assert len(fo.tree_chunks(model)) >= 4 and not seen
+    assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+    monkeypatch.setattr(fo, "CHUNK_NODES", len(trees))
+    (first, shared), = fo._share(model, fo._tree_sizes(model))
+    assert first == 0 and sum(t.nbytes for t in seen) < 30 * len(trees) and shared.value.keys() == whole.keys()
+    for m, arrays in whole.items():
+        assert all(np.array_equal(shared.value[m][k], v) and np.asarray(shared.value[m][k]).dtype == np.asarray(v).dtype for k, v in arrays.items())
