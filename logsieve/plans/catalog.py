@@ -1160,9 +1160,9 @@ def resumed_job(spark, sf):
             journal.step("publish", dying("publish", publish))
         except RuntimeError:
             continue
-    tries = journal.status().filter("step = 'publish' and committed").select("tries")
-    found = spark.read.parquet(f"{out}/publish").join(F.broadcast(tries))      # one row
-    return found.select("event_type", "day", "n", F.round("total", 4).alias("total"), "tries")
+    tries = journal.status().filter("step = 'publish' and committed").first()["tries"]
+    found = spark.read.parquet(f"{out}/publish")
+    return found.select("event_type", "day", "n", F.round("total", 4).alias("total"), F.lit(tries).cast("bigint").alias("tries"))
 
 
 # Forest --------------------------------------------------------------------------------------------------------
